@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm.common import table
+from shelfmark.llm.chat import format_chats, read_back
+from shelfmark.llm.common import shared_folder, table
+from shelfmark.llm.media import store_texts
 from shelfmark.llm.ngram_join import ngram_jaccard_join
+from shelfmark.llm.packing import pack
+from shelfmark.llm.token_counts import WORDS, TokenRollup
+from shelfmark.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,10 +33,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op1_ngram_jaccard_join"] = """
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
   FROM words),
 flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
@@ -42,3 +50,69 @@ reach(doc_id, other) AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, len(s.s)
 """
+
+
+#: Host, path and verdict of the production rules.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op2_url_filter"] = """
+WITH parts AS (
+  SELECT page_id, coalesce(regexp_extract(url, '^(?s:.)*?://([^/?#]*)', 1), '') AS h,
+         coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+split AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+rules(rhost, rpath, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT s.page_id, s.host, s.path, r.rhost || r.rpath AS rule, r.verdict,
+         row_number() OVER (PARTITION BY s.page_id, s.host, s.path ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS k
+  FROM split s LEFT JOIN rules r ON (s.host = r.rhost OR ends_with(s.host, '.' || r.rhost)) AND starts_with(s.path, r.rpath))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1
+"""
+
+
+@query
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after one batch that inserts all documents, committed twice."""
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}", {"byte_bpe_50k/1": public_tokenizers.path("byte_bpe_50k.json"), WORDS: None})
+    changes = table(spark, sf_dir, "documents").select(F.lit("insert").alias("kind"), "source", "lang", "text")
+    rollup.commit("documents", changes)
+    rollup.commit("documents", changes)
+    return rollup.totals()
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024)
+
+
+@query
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each row an event that starts its message, and conversation -1, which streams in deltas."""
+    schema = "conv_id long, turn long, seq long, kind string, role string, text string"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), "role", "text")
+    streamed = [(-1, t, s, kind, role, text) for t, role in enumerate(("user", "assistant")) for s, (kind, text) in enumerate((("start", "<|im_"), ("delta", "end|><|im_start|>assi"), ("delta", "stant ok")))]
+    return read_back(format_chats(rows.unionByName(spark.createDataFrame(streamed, schema))))
+
+
+ORACLES["op8_chat_formatting"] = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
