@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm import quality, toxicity
 from shelfmark.llm.chat import format_chats, read_back
 from shelfmark.llm.common import shared_folder, table
 from shelfmark.llm.media import store_texts
@@ -76,6 +77,12 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"))
@@ -116,3 +123,9 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
