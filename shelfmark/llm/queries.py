@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import quality, toxicity
 from shelfmark.llm.chat import format_chats, read_back
 from shelfmark.llm.common import shared_folder, table
+from shelfmark.llm.decontam import contaminated
 from shelfmark.llm.media import store_texts
 from shelfmark.llm.ngram_join import ngram_jaccard_join
 from shelfmark.llm.packing import pack
@@ -129,3 +130,8 @@ FROM rows GROUP BY conv_id
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
