@@ -30,12 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, rows_a_task: int = 250_000) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts the lineage, and the rows survive the loss of any executor.
+    This cuts the lineage, and the rows survive the loss of any executor. rows: about how many there are, if known;
+    then no more tasks write them than have rows_a_task each, or than there are cores, whichever is more.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // rows_a_task)))
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

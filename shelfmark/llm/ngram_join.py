@@ -6,8 +6,9 @@ the threshold differ in at most `budget` shingles. The sketch is cut into more p
 have equal parts (pigeonhole), and an equi-join on (band, part, flipped bits of the part) finds all of them. A part is
 kept as the XOR of its bits' 64-bit codes. Candidates are verified on the shingle sets themselves.
 
-Groups never expand into all pairs: in a group of equal parts each member is compared with the first; later rounds
-compare more leading members only while a group still holds members of different components.
+Groups never expand into all pairs: in a group of equal parts each member is compared with the one that shares most with
+others. Only groups that then still hold members of different components are looked at again, and there a second, dense
+parity sketch sifts the pairs inside the join, so that those which cannot reach the threshold are never emitted.
 
 Rows without a doc_id are no documents and are left out. Rows that repeat a doc_id are taken one by one. A null, empty
 or blank text has the empty set, which is linked with nothing. Two different sets are told apart by 64-bit digests.
@@ -32,6 +33,10 @@ from shelfmark.llm.shingles import shingle_sets
 BAND_RATIO = 1.6
 #: Members of a hot pivot are verified in so many groups.
 PIVOT_SALTS = 16
+#: Length of the dense parity sketch that sifts pairs before they are verified.
+SKETCH_LONGS = 16
+#: Members of a part that are compared with all others before the rest is.
+LEADERS = 64
 #: Digests that a task remembers so as to emit a copy's parts only once.
 REMEMBERED = 200_000
 
@@ -131,6 +136,20 @@ def _parts(words: int, num: int, den: int):
     return run
 
 
+def _sketches(words: int):
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64())] + [(f"s{k}", pa.int64()) for k in range(SKETCH_LONGS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column(1)):
+                sets = shingle_sets(data, offsets, words)
+                bits = [np.bincount((own >> np.uint64(7)).astype(np.int64) % (64 * SKETCH_LONGS), minlength=64 * SKETCH_LONGS) & 1 for own in sets]
+                words_of = np.packbits(np.array(bits, np.uint8), axis=1).view(np.int64)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([len(own) for own in sets], pa.int64()), *(pa.array(words_of[:, k].copy()) for k in range(SKETCH_LONGS))], schema=schema)
+
+    return run
+
+
 def _verify(words: int, num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -167,24 +186,24 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int)
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(cls, root) of every node of the links (a, b), root being its component's least node, by alternating stars."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    last = None
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), name)
     while True:
+        rows = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
+        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), name, rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = staged(small, name)
+        others = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = staged(others.unionByName(least.select("u", F.col("m").alias("v"))), name, rows)
         drop_staged(edges, large)
-        edges = after
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == last:
+        edges = small
+        # Done when every node hangs from one root and no root hangs from another node.
+        ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")).distinct())
+        open_ends = ends.groupBy("u").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count_if(F.col("v").isNull()).alias("roots"))
+        if not open_ends.where("x <> y OR (x IS NOT NULL AND roots > 0)").limit(1).coalesce(1).count():
             break
-        last = now
     roots = edges.select("v").distinct().select(F.col("v").alias("cls"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(roots)
+    return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).distinct().unionByName(roots)
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -193,10 +212,17 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
     sizes = staged(docs.mapInArrow(_sizes(words), "doc_id long, n long, cls long"), "sizes")
     parts = docs.mapInArrow(_parts(words, num, den), "part long, cls long")
     in_part = W.partitionBy("part").orderBy("cls")
-    members = staged(parts.withColumn("first", F.first("cls").over(in_part)).where("cls <> first"), "members")
-    pairs = staged(members.select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    met = staged(parts.withColumn("first", F.first("cls").over(in_part)).where("cls <> first").select("part", "first", "cls"), "met")
+    rows = met.count()
+    members = met.select("part", "cls").unionByName(met.select("part", F.col("first").alias("cls"))).distinct()
+    # The more a set shares with others, the more likely it links them: it leads the groups of its parts.
+    weight = members.groupBy("part").agg(F.count("*").alias("size")).join(members, "part").groupBy("cls").agg(F.sum("size").alias("weight"))
+    members = staged(members.join(weight, "cls").select("part", "cls", "weight"), "members", rows)
+    lead = members.groupBy("part").agg(F.max(F.struct("weight", "cls")).alias("lead")).select("part", F.col("lead.cls").alias("a"))
+    pairs = staged(members.join(lead, "part").where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "pairs", rows)
+    drop_staged(met)
+
+    wanted = members.select("cls").distinct()
     chosen = sizes.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.join(chosen, "doc_id")
     repeated = sizes.groupBy("doc_id").count().where("count > 1").limit(1).count()
@@ -204,34 +230,33 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
         texts = texts.mapInArrow(_own_class(words), "cls long, text string").dropDuplicates(["cls"])
     texts = staged(texts.select("cls", "text"), "texts")
 
-    links = staged(verified(pairs, texts, words, num, den), "links")
-    held, tested = [links], [pairs]
-    rooted = staged(components(links), "rooted")
-    everyone = members.select("part", "cls").unionByName(members.select("part", F.col("first").alias("cls")).distinct())
-    low, high = 1, 4
-    while True:
-        placed = everyone.join(rooted, "cls", "left").select("part", "cls", F.coalesce("root", "cls").alias("root")).distinct()
-        split = placed.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").where(F.col("size") > low + 1)
-        opened = staged(placed.join(split.select("part"), "part").withColumn("rank", F.row_number().over(in_part) - 1), "opened")
-        if not opened.take(1):
-            drop_staged(opened)
-            break
-        heads = opened.where((F.col("rank") >= low) & (F.col("rank") < high)).select("part", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("rank").alias("rank_a"))
-        more = heads.join(opened, "part").where("rank > rank_a AND root <> root_a").select("a", F.col("cls").alias("b")).distinct()
-        for old in tested:
-            more = more.join(old, ["a", "b"], "left_anti")
-        more = staged(more, "pairs")
-        tested.append(more)
-        if more.take(1):
-            held.append(staged(verified(more, texts, words, num, den), "links"))
-            if held[-1].take(1):
-                every = held[0]
-                for x in held[1:]:
-                    every = every.unionByName(x)
-                rooted = staged(components(every), "rooted")
-        drop_staged(opened)
-        low, high = high, high * 4
-    drop_staged(members, texts, *held, *tested)
+    links = staged(verified(pairs, texts, words, num, den), "links", pairs.count(), 5_000)
+    rooted = staged(components(links), "rooted", rows)
+    drop_staged(links)
+    tested = [pairs]
+    # In parts whose members are not of one component yet, the dense sketches sift the pairs that were not compared: the
+    # distance of two sketches can't exceed the symmetric difference, which can't exceed the sizes' budget.
+    sketches = staged(texts.mapInArrow(_sketches(words), "cls long, n long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))), "sketches", rows)
+    by_weight = W.partitionBy("part").orderBy(F.desc("weight"), F.desc("cls"))
+    distance = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (distance * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
+    for low, high in ((1, LEADERS), (LEADERS, None)):
+        placed = members.join(rooted, "cls", "left").select("part", "cls", "weight", F.coalesce("root", "cls").alias("root"))
+        split = placed.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        ranked = placed.join(split.select("part"), "part").withColumn("rank", F.row_number().over(by_weight) - 1).drop("weight")
+        opened = staged(ranked.join(sketches, "cls"), "opened", rows)
+        heads = opened.where(F.col("rank") >= low)
+        heads = heads.where(F.col("rank") < high) if high else heads
+        apart = (F.col("x.part") == F.col("y.part")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root"))
+        more = heads.alias("x").join(opened.alias("y"), apart & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs", rows)
+        if found := more.count():
+            links = staged(verified(more, texts, words, num, den), "links", found, 5_000)
+            if links.take(1):
+                rooted = staged(components(links.unionByName(rooted.select(F.col("cls").alias("a"), F.col("root").alias("b")))), "rooted", rows)
+            drop_staged(links)
+        drop_staged(opened, more)
+    drop_staged(members, pairs, texts, sketches)
 
     placed = sizes.join(rooted, "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
