@@ -16,6 +16,7 @@ from shelfmark.llm.decontam import contaminated
 from shelfmark.llm.media import store_texts
 from shelfmark.llm.ngram_join import ngram_jaccard_join
 from shelfmark.llm.packing import pack
+from shelfmark.llm.suffix_dedup import deduplicated
 from shelfmark.llm.token_counts import WORDS, TokenRollup
 from shelfmark.llm.url_filter import filter_urls
 
@@ -135,3 +136,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"), length=100)
+
+
+ORACLES["op6_suffix_array_dedup"] = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
+singles AS (SELECT doc_id, h, CAST(unnest(range(length(h) // 2)) AS BIGINT) AS pos FROM texts),
+strings AS (SELECT doc_id, pos, CASE WHEN 2 * (pos + 100) <= length(h) THEN md5_number(h[2 * pos + 1:2 * (pos + 100)]) END AS w, h[2 * pos + 1:2 * pos + 2] AS b FROM singles),
+later AS (SELECT doc_id, pos, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS dup FROM strings),
+covered AS (SELECT doc_id, pos, b, bool_or(dup) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM later),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM covered),
+sums AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY pos) FILTER (NOT gone) AS kept FROM edges GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts t LEFT JOIN sums USING (doc_id)
+"""
