@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Edition words that are taken from titles; own vocabulary.
 EDITIONS = ["deluxe", "expanded", "illustrated", "limited", "revised", "special"]
@@ -17,7 +18,7 @@ CORPORATE = ["publishing", "publishers", "press", "books", "inc", "ltd"]
 _BRACKETS = r"\([^()]*\)|\[[^\[\]]*\]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normalisation, for which there is no built-in function."""
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))

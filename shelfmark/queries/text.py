@@ -97,7 +97,7 @@ def local_days(spark, d):
     return A.table(spark, d, "events").select("event_id", T.local_date(F.col("ts")).alias("local_day"), F.to_date("ts").alias("utc_day"), T.day_label(F.to_date("ts")).alias("label"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 40), '[",\r\n]') THEN '"' || replace(substr(text, 1, 40), '"', '""') || '"' ELSE substr(text, 1, 40) END AS field, regexp_replace(trim(substr(text, 1, 20)), '[^\\p{L}\\p{N}._-]+', '_', 'g') AS file FROM documents""", derived=False)
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[",\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field, regexp_replace(trim(text), '[^\\p{L}\\p{N}._-]+', '_', 'g') AS file FROM documents""", derived=False)
 def csv_fields(spark, d):
-    head = F.substring("text", 1, 40)
-    return A.table(spark, d, "documents").select("doc_id", T.csv_field(head).alias("field"), T.file_name(F.substring("text", 1, 20)).alias("file"))
+    text = F.col("text")
+    return A.table(spark, d, "documents").select("doc_id", T.csv_field(text).alias("field"), T.file_name(text).alias("file"))
