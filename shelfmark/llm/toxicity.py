@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-A window is a word, lower-cased, tiled to at least TILE bytes so that a match can pay off. Two zstandard dictionaries
+A window is a word, lower-cased, tiled to at least TILE bytes so that a match can pay off; a word of over LONGEST bytes
+gives a window for each LONGEST of them. Two zstandard dictionaries
 are made from a bounded sample of labelled documents: the toxic one holds the windows that are RATIO times as frequent
 in toxic documents as in ordinary ones, the ordinary one the windows most ordinary documents share, each in order of
 rising frequency, as the format favours a dictionary's end. (The library's own dictionary trainer picks frequent
@@ -33,6 +34,7 @@ TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 256 << 10
 TILE, GAIN, LEVEL = 24, 3, 19
 #: A toxic window's least frequency among toxic documents, and over that among ordinary ones.
 SHARE, RATIO = 0.008, 8.0
+LONGEST = 64
 THRESHOLD = 0.5
 #: Windows whose gain a worker remembers.
 REMEMBERED = 300_000
@@ -42,7 +44,10 @@ _TABLE = bytes(32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 el
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.translate(_TABLE).split()
+    own = text.translate(_TABLE).split()
+    if max(map(len, own), default=0) <= LONGEST:
+        return own
+    return [w[k : k + LONGEST] for w in own for k in range(0, len(w), LONGEST)]
 
 
 def tile(word: bytes) -> bytes:
@@ -66,7 +71,7 @@ class Distance(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         window = tile(word)
-        gain = len(self.other(window)) - len(self.shorter(window)) if len(window) <= 4096 else 0
+        gain = len(self.other(window)) - len(self.shorter(window))
         self[word] = gain = gain if gain >= GAIN else 0
         return gain
 
@@ -92,7 +97,7 @@ class Classifier:
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            own = sorted({w for w in words(text.as_py()) if len(w) <= 64})
+            own = sorted(set(words(text.as_py())))
             yield pa.record_batch([pa.array(own, pa.binary()), pa.array([label] * len(own), pa.int32())], names=["word", "label"])
 
 
