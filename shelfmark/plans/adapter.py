@@ -94,6 +94,21 @@ def favorites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(part, "part").select("user_id", F.when(F.col("part") % 23 != 0, F.col("part")).alias("book_id"), F.concat_ws(" ", "p_name", F.col("part").cast("string")).alias("title"))
 
 
+def match_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as the matching takes them (operators.matching); stores write some fields of a book differently."""
+    k, s = F.col("part"), F.col("store_id")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.regexp_replace("p_name", " ", "").alias("name"), F.regexp_replace(F.lower("p_brand"), "#", "").alias("brand"))
+    month = F.concat((2000 + k % 20).cast("string"), F.lit("-"), F.lpad((k % 12 + 1).cast("string"), 2, "0"))
+    return store_books(spark, sf_dir).join(part, "part").select(
+        F.col("store_book_id").alias("id"), "store_id", "part", "book_id", F.concat(F.lpad((k % 997).cast("string"), 3, "0"), "name", F.when((s == 3) & (k % 7 == 0), "s").otherwise("")).alias("title"),
+        F.when((s != 1) | (k % 23 != 0), F.concat(F.lit("writer"), (k % 499).cast("string"))).alias("author"),
+        F.when((s != 3) | (k % 17 != 0), F.concat("brand", F.when((s == 2) & (k % 31 == 0), "x").otherwise(""))).alias("publisher"),
+        F.when((s == 2) & (k % 5 == 0), F.array(F.lit("revised"))).otherwise(F.array().cast("array<string>")).alias("editions"), F.when((s == 1) & (k % 29 == 0), 3).alias("set_volumes"),
+        F.when(k % 10 == 0, (k % 7 + F.when((s == 3) & (k % 30 == 0), 2).otherwise(1)).cast("int")).alias("volume"), F.when((s == 3) & (k % 19 == 0), "1999-01").otherwise(month).alias("pub_ym"),
+        F.when((k % 3 == 0) & (s != 3), F.concat(F.lit("978"), F.lpad(k.cast("string"), 10, "0"))).alias("isbn13"), "list_price",
+    )
+
+
 #: The same tables in DuckDB's SQL, as leading CTEs of an oracle.
 ORACLE = """
 books AS (
@@ -124,7 +139,12 @@ book_matches AS (
   SELECT a, b, part, score, CASE WHEN k % 17 = 0 THEN 'manual_merge' WHEN k % 19 = 0 THEN 'manual_split' ELSE auto END AS decision, CASE WHEN k % 29 <> 0 THEN auto END AS auto_decision FROM scored_pairs),
 favorites AS (
   SELECT f.user_id, CASE WHEN f.part % 23 <> 0 THEN f.part END AS book_id, p_name || ' ' || f.part AS title
-  FROM (SELECT DISTINCT o_custkey AS user_id, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey) f JOIN part ON p_partkey = f.part)
+  FROM (SELECT DISTINCT o_custkey AS user_id, l_partkey AS part FROM lineitem JOIN orders ON o_orderkey = l_orderkey) f JOIN part ON p_partkey = f.part),
+match_items AS (
+  SELECT store_book_id AS id, store_id, s.part, book_id, lpad(CAST(s.part % 997 AS VARCHAR), 3, '0') || replace(p_name, ' ', '') || CASE WHEN store_id = 3 AND s.part % 7 = 0 THEN 's' ELSE '' END AS title,
+         CASE WHEN store_id <> 1 OR s.part % 23 <> 0 THEN 'writer' || (s.part % 499) END AS author,
+         CASE WHEN store_id <> 3 OR s.part % 17 <> 0 THEN replace(lower(p_brand), '#', '') || CASE WHEN store_id = 2 AND s.part % 31 = 0 THEN 'x' ELSE '' END END AS publisher, list_price
+  FROM store_books s JOIN part ON p_partkey = s.part)
 """
 
 
