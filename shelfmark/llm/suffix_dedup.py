@@ -8,6 +8,10 @@ strings have equal keys, and runs of strings with one key form segments, about o
 dealt by key. Of equal segments of a key all but the first are covered as a whole; a segment whose key no other has is
 done with, unless it repeats itself. The bytes of the others are fetched and dealt to shards by key.
 
+A key may recur in many different contexts (a short line that many documents hold). The segments of such a hot key are
+dealt by document over blocks of some HOT segments. Each block finds the repeats inside it; of the strings that are new to
+their block, all but the first of each kind over all blocks are covered too, which a grouped minimum of their hashes tells.
+
 A shard's suffix array is built by induced sorting: suffixes are classified by the next byte (smaller or larger type),
 the leftmost of the smaller type are sorted by their substrings, recursively by pairs of ranks until they are told apart
 or reach `length` bytes, and the order of all others is induced from them in two linear passes over the buckets, each
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shelfmark.llm.common import binary, blocks, drop_staged, mix, staged
+from shelfmark.llm.common import binary, blocks, mix, staged
 
 LENGTH = 100
 GRAM = 24
@@ -38,6 +42,8 @@ GRAM = 24
 MOST = 1 << 19
 #: Bytes of text in a shard, unless one key alone has more.
 SHARD = 1 << 20
+#: Different segments of one key that go to one block; a key with more is dealt over several.
+HOT = 1024
 #: A packed place in a document: position, number of strings, and whether the key's gram recurs in the segment.
 _NUMBER_BITS = 20
 
@@ -56,17 +62,29 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any part follows."""
+    up, _ = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODE[data] * up[: len(data)], out=total[1:])
+    return total
+
+
+def _hashes(total: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each part of `size` bytes."""
+    n = len(total) - size
+    return mix((total[size:] - total[:n]) * _tables(len(total))[1][:n])
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(document, key, content hash, packed place) of every segment."""
     n = len(data)
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     if n < length:
         return none
-    up, back = _tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[data] * up[:n], out=total[1:])
-    grams = (total[gram:] - total[: n + 1 - gram]) * back[: n + 1 - gram]
-    grams = mix(grams)
+    _, back = _tables(n + 1)
+    total = _sums(data)
+    grams = _hashes(total, gram)
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     have, reach = 1, length - gram + 1
     while have < reach:
@@ -298,7 +316,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fetched(length: int):
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +329,7 @@ def _fetched(length: int):
                     start, count, _ = unpack(want["place"])
                     part = bytes(raw[start : start + count + length - 1])
                     if len(part) == count + length - 1:  # a row that repeats a doc_id may be shorter
-                        rows.append((want["key"], doc, start, part))
+                        rows.append((want["key"], want["block"], doc, start, part))
                         size += len(part)
                 if size > 8 << 20:
                     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -323,53 +341,65 @@ def _fetched(length: int):
 
 
 def _sharded(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("key", pa.int64()), ("string", pa.int64())])
 
     def covered(rows: list[tuple]) -> pa.RecordBatch:
-        docs, begins, ends = [], [], []
-        for (_, doc, start, _), flags in zip(rows, repeats([r[3] for r in rows], length), strict=True):
+        docs, begins, ends, keys, strings = [], [], [], [], []
+        for (key, block, doc, start, part), flags in zip(rows, repeats([r[-1] for r in rows], length), strict=True):
             first, last = runs(flags)
-            docs += [doc] * len(first)
-            begins += (start + first).tolist()
-            ends += (start + last + length).tolist()
-        return pa.record_batch([pa.array(docs, pa.int64()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], schema=schema)
+            new = np.flatnonzero(~flags) if block is not None else first[:0]
+            docs += [doc] * (len(first) + len(new))
+            begins += [*(start + first).tolist(), *(start + new).tolist()]
+            ends += [*(start + last + length).tolist(), *(start + new + length).tolist()]
+            keys += [None] * len(first) + [key] * len(new)
+            strings += [None] * len(first)
+            if len(new):
+                strings += _hashes(_sums(np.frombuffer(part, np.uint8)), length)[new].view(np.int64).tolist()
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (docs, begins, ends, keys, strings)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "doc_id", "start", "bytes")), strict=True):
-                if held and row[0] != held[-1][0] and size >= SHARD:
+            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "block", "doc_id", "start", "bytes")), strict=True):
+                # A key's blocks stay apart, as documents are in order only within one.
+                if held and row[:2] != held[-1][:2] and (size >= SHARD or row[0] == held[-1][0]):
                     yield covered(held)
                     held, size = [], 0
                 if held and row == held[-1]:
                     continue
                 held.append(row)
-                size += len(row[3])
+                size += len(row[-1])
         if held:
             yield covered(held)
 
     return run
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def covered_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, begin, end) of covered bytes of documents (doc_id, text); spans may overlap."""
     rows = docs.mapInArrow(_segments(length), "doc_id long, key long, content long, place long")
     by_key = W.partitionBy("key").orderBy("content", "doc_id", "place")
     whole = by_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     by_content = W.partitionBy("key", "content").orderBy("doc_id", "place")
-    seen = rows.select("*", F.first("content").over(whole).alias("x"), F.last("content").over(whole).alias("y"), F.first(F.struct("doc_id", "place")).over(by_content).alias("origin"), F.row_number().over(by_content).alias("k"))
+    seen = rows.select("*", F.first(F.struct("doc_id", "place")).over(by_content).alias("origin"), F.row_number().over(by_content).alias("k"))
+    seen = seen.select("*", F.count_if(F.col("k") == 1).over(whole).alias("contents"))
     later = F.struct("doc_id", "place") != F.col("origin")
-    sought = (F.col("k") == 1) & ((F.col("x") != F.col("y")) | (F.col("place").bitwiseAND(1) == 1))
-    seen = staged(seen.where(later | sought).select("doc_id", "key", "place", later.alias("later")), "segments")
+    sought = (F.col("k") == 1) & ((F.col("contents") > 1) | (F.col("place").bitwiseAND(1) == 1))
+    seen = staged(seen.where(later | sought).select("doc_id", "key", "place", later.alias("later"), F.ceil(F.col("contents") / hot).cast("int").alias("blocks")), "segments")
 
     start = F.shiftright("place", _NUMBER_BITS + 1)
     count = F.shiftright("place", 1).bitwiseAND((1 << _NUMBER_BITS) - 1)
     copies = seen.where("later").select("doc_id", start.alias("begin"), (start + count + F.lit(length - 1)).alias("end"))
-    wanted = seen.where("NOT later").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
-    parts = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetched(length), "key long, doc_id long, start long, bytes binary")
-    found = parts.repartition("key").sortWithinPartitions("key", "doc_id", "start", "bytes").mapInArrow(_sharded(length), "doc_id long, begin long, end long")
-    return copies.unionByName(staged(found, "covered"))
+    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    wanted = seen.where("NOT later").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", block.alias("block"))).alias("wanted"))
+    parts = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetched(length), "key long, block int, doc_id long, start long, bytes binary")
+    sorted_parts = parts.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "start", "bytes")
+    found = staged(sorted_parts.mapInArrow(_sharded(length), "doc_id long, begin long, end long, key long, string long"), "covered")
+    new = found.where("string IS NOT NULL")
+    firsts = new.groupBy("key", "string").agg(F.min(F.struct("doc_id", "begin")).alias("origin"))
+    again = new.join(firsts, ["key", "string"]).where(F.struct("doc_id", "begin") != F.col("origin"))
+    return copies.unionByName(found.where("string IS NULL").select("doc_id", "begin", "end")).unionByName(again.select("doc_id", "begin", "end"))
 
 
 def _removed(at: int | None):
@@ -403,16 +433,16 @@ def _removed(at: int | None):
     return run
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    spans = covered_spans(own, length).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = covered_spans(own, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     return docs.join(spans, "doc_id", "left")
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return _with_spans(docs, length).mapInArrow(_removed(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, length, hot).mapInArrow(_removed(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

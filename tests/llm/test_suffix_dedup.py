@@ -51,6 +51,14 @@ def test_equals_brute_force(frame, prose, seed):
     assert sorted(map(tuple, deduplicated(frame(rows)).collect())) == brute(rows, 100)
 
 
+@pytest.mark.parametrize("hot", [1, 5])
+def test_hot_keys_are_split_without_loss(frame, prose, hot):
+    rng = random.Random(hot)
+    line = prose(12, 77)
+    rows = [(d, f"{prose(rng.randint(0, 6), rng.randint(0, 5))} {line} {prose(rng.randint(0, 9), rng.randint(0, 9))}") for d in range(120)]
+    assert sorted(map(tuple, deduplicated(frame(rows), 100, hot).collect())) == brute(rows, 100)
+
+
 def test_odd_rows(frame, prose):
     text = prose(40, 1)
     rows = [(1, None), (2, ""), (3, "x" * 99), (4, "x" * 99), (5, "y" * 100), (6, "y" * 100), (7, "z" * 5000), (8, "ab" * 3000), (9, "é" * 400), (10, text), (11, text), (12, text[:99]), (13, "q" + text + "q"), (14, "ab" * 200 + text)]
