@@ -143,7 +143,8 @@ favorites AS (
 match_items AS (
   SELECT store_book_id AS id, store_id, s.part, book_id, lpad(CAST(s.part % 997 AS VARCHAR), 3, '0') || replace(p_name, ' ', '') || CASE WHEN store_id = 3 AND s.part % 7 = 0 THEN 's' ELSE '' END AS title,
          CASE WHEN store_id <> 1 OR s.part % 23 <> 0 THEN 'writer' || (s.part % 499) END AS author,
-         CASE WHEN store_id <> 3 OR s.part % 17 <> 0 THEN replace(lower(p_brand), '#', '') || CASE WHEN store_id = 2 AND s.part % 31 = 0 THEN 'x' ELSE '' END END AS publisher, list_price
+         CASE WHEN store_id <> 3 OR s.part % 17 <> 0 THEN replace(lower(p_brand), '#', '') || CASE WHEN store_id = 2 AND s.part % 31 = 0 THEN 'x' ELSE '' END END AS publisher,
+         CASE WHEN s.part % 3 = 0 AND store_id <> 3 THEN '978' || lpad(CAST(s.part AS VARCHAR), 10, '0') END AS isbn13, list_price
   FROM store_books s JOIN part ON p_partkey = s.part)
 """
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.operators import clusters as C
+from shelfmark.operators import export as X
 from shelfmark.operators import matching as M
 from shelfmark.sources import archive as S
 from shelfmark.streaming import daily
@@ -125,6 +126,23 @@ def test_archive(spark, tmp_path):
     assert sorted(r.k for r in S.droppable(rows, "day", checks).collect()) == [1, 2]
 
 
+def test_replaced_days_and_upserts(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "day string, k int")
+    S.replace_days(rows(("a", 1), ("b", 2)), "day", str(tmp_path / "days"))
+    S.replace_days(rows(("b", 3)), "day", str(tmp_path / "days"))
+    assert sorted((r.day, r.k) for r in spark.read.parquet(str(tmp_path / "days")).collect()) == [("a", 1), ("b", 3)]
+    assert sorted(map(tuple, S.upserted(rows(("a", 1), ("b", 2)), rows(("b", 9), ("c", 4)), ["day"]).collect())) == [("a", 1), ("b", 9), ("c", 4)]
+
+
+def test_readable_export(spark, tmp_path):
+    schema = "snapshot_date date, store_id int, kind string, unified string, rank int, store_book_id long, sales_point int"
+    rows = spark.createDataFrame([("2024-01-01", 1, "online", "all", 2, 7, None), ("2024-01-01", 1, "online", "all", 1, 8, 5)], schema.replace(" date", " string")).withColumn("snapshot_date", F.to_date("snapshot_date"))
+    lines = X.readable(rows, spark.createDataFrame([(8, 'A "b", c')], "store_book_id long, title string"), spark.createDataFrame([(1, "One")], "store_id int, store string"))
+    X.write_readable(lines, str(tmp_path / "csv"))
+    (file,) = Path(tmp_path / "csv").glob("*/*.txt")
+    assert file.read_bytes() == b'2024-01-01,One,online,all,1,"A ""b"", c",5\r\n2024-01-01,One,online,all,2,,\r\n'
+
+
 def test_stream(spark, tmp_path):
     folder, path, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     rows = spark.createDataFrame([(1, "2024-01-01 10:00", 1, "view"), (2, "2024-01-01 23:59", 2, "view"), (3, "2024-01-02 00:00", 1, "buy")], "event_id long, ts string, user_id long, event_type string")
