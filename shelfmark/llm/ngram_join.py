@@ -10,6 +10,10 @@ Groups never expand into all pairs: in a group of equal parts each member is com
 others. Only groups that then still hold members of different components are looked at again, and there a second, dense
 parity sketch sifts the pairs inside the join, so that those which cannot reach the threshold are never emitted.
 
+That finds the components, for which some k - 1 links of k similar documents are enough. All links lie within components,
+so class_links and n_links take each component's distinct sets in blocks and compare every pair of them on the sets
+themselves. Equal sets are one class, whose documents are linked with each other and with all of a linked class.
+
 Rows without a doc_id are no documents and are left out. Rows that repeat a doc_id are taken one by one. A null, empty
 or blank text has the empty set, which is linked with nothing. Two different sets are told apart by 64-bit digests.
 """
@@ -37,6 +41,8 @@ PIVOT_SALTS = 16
 SKETCH_LONGS = 16
 #: Members of a part that are compared with all others before the rest is.
 LEADERS = 64
+#: Distinct sets, and shingles in them, that a block of a component holds about when all its links are listed.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 #: Digests that a task remembers so as to emit a copy's parts only once.
 REMEMBERED = 200_000
 
@@ -206,8 +212,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).distinct().unionByName(roots)
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the components of 'den * intersection >= num * union'."""
+def _joined(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged tables: doc_id, n and cls of every document; cls and root of every linked class; cls and text of those and others."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     sizes = staged(docs.mapInArrow(_sizes(words), "doc_id long, n long, cls long"), "sizes")
     parts = docs.mapInArrow(_parts(words, num, den), "part long, cls long")
@@ -256,11 +262,119 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int
                 rooted = staged(components(links.unionByName(rooted.select(F.col("cls").alias("a"), F.col("root").alias("b")))), "rooted", rows)
             drop_staged(links)
         drop_staged(opened, more)
-    drop_staged(members, pairs, texts, sketches)
+    drop_staged(members, pairs, sketches)
+    return sizes, rooted, texts
 
-    placed = sizes.join(rooted, "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"))
+
+def _placed(sizes: DataFrame, rooted: DataFrame, *more: str) -> DataFrame:
+    placed = sizes.join(rooted, "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"), *more)
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more)
+
+
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: the components of 'den * intersection >= num * union'."""
+    sizes, rooted, texts = _joined(docs, words, num, den)
+    drop_staged(texts)
+    return _placed(sizes, rooted)
+
+
+def _all_pairs(words: int, num: int, den: int, listed: bool):
+    """Of each pair of blocks (root, x, y) the links (a, b), or for each class the documents linked with it."""
+    names = ("a", "b") if listed else ("cls", "linked")
+    schema = pa.schema([(c, pa.int64()) for c in names])
+
+    def links_of(x: int, y: int, rows: list[tuple[int, int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        side, cls, copies = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        size = np.array([len(r[3]) for r in rows], np.int64)
+        ids = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)[1]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        held, first = np.zeros(int(ids.max()) + 1, np.uint8), int((side == 0).sum())
+        out, linked = [], np.zeros(len(rows), np.int64)
+        for i in range(first):
+            after = i + 1 if x == y else first
+            if after == len(rows):
+                continue
+            own = ids[begin[i] : begin[i + 1]]
+            held[own] = 1
+            common = np.add.reduceat(held[ids[begin[after] :]], begin[after:-1] - begin[after], dtype=np.int64)
+            held[own] = 0
+            met = after + np.flatnonzero(den * common >= num * (size[i] + size[after:] - common))
+            if listed:
+                out.append(np.sort(np.stack([np.full(len(met), cls[i]), cls[met]], 1), 1))
+            linked[i] += copies[met].sum()
+            linked[met] += copies[i]
+        if listed:
+            both = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            return both[:, 0].copy(), both[:, 1].copy()
+        return cls[linked > 0], linked[linked > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            root, x, y, side, cls, copies = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in range(6))
+            done: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, _, data, offsets in blocks(batch.column(6)):
+                for r, own in enumerate(shingle_sets(data, offsets, words), i):
+                    if key != (now := (root[r], x[r], y[r])):
+                        if rows:
+                            done.append(links_of(key[1], key[2], rows))
+                        key, rows = now, []
+                    rows.append((side[r], cls[r], copies[r], own))
+            if done:
+                yield pa.record_batch([pa.array(np.concatenate([d[k] for d in done])) for k in (0, 1)], schema=schema)
+        if rows:
+            yield pa.record_batch([pa.array(c) for c in links_of(key[1], key[2], rows)], schema=schema)
+
+    return run
+
+
+def _compared(sizes: DataFrame, rooted: DataFrame, texts: DataFrame, words: int, num: int, den: int, listed: bool) -> DataFrame:
+    """Every pair of a component's classes compared, in pairs of blocks; blocks whose sizes lie too far apart don't meet.
+
+    A component of up to BLOCK_SETS classes is one block. A larger one is cut by size and then by hash, without a sort of
+    the component in one task.
+    """
+    copies = sizes.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    members = rooted.join(copies, "cls")
+    blocks_for = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES))
+    large = members.groupBy("root").agg(blocks_for.alias("k")).where("k > 1").select("root", F.lit(True).alias("large"))
+    band = F.when(F.col("large"), F.floor(F.log(F.col("n")) / math.log(1.1))).otherwise(0).cast("long")
+    members = members.join(large, "root", "left").withColumn("band", band)
+    cuts = members.where("large").groupBy("root", "band").agg(blocks_for.alias("cuts"))
+    cut = F.when(F.col("large"), F.pmod(F.xxhash64("cls"), F.col("cuts"))).otherwise(0)
+    members = staged(members.join(cuts, ["root", "band"], "left").select("root", "cls", "n", "copies", (F.col("band") * (1 << 40) + cut).alias("block")), "in-blocks")
+    found = members.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    fits = (F.col("x.root") == F.col("y.root")) & (F.col("x.block") <= F.col("y.block")) & (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num)
+    met = staged(found.alias("x").join(found.alias("y"), fits).select("x.root", F.col("x.block").alias("x"), F.col("y.block").alias("y")), "block-pairs")
+    own = members.select("root", "cls", "copies", "block")
+    asked = own.join(met, (own.root == met.root) & (own.block == met.x)).select(own.root, "x", "y", F.lit(0).alias("side"), "cls", "copies")
+    asked = asked.unionByName(own.join(met.where("x < y"), (own.root == met.root) & (own.block == met.y)).select(own.root, "x", "y", F.lit(1).alias("side"), "cls", "copies"))
+    rows = asked.join(texts, "cls").select("root", "x", "y", "side", "cls", "copies", "text")
+    rows = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "side")
+    return rows.mapInArrow(_all_pairs(words, num, den, listed), "a long, b long" if listed else "cls long, linked long")
+
+
+def class_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """All links, in two tables: doc_id, cls of every document, and each linked pair of different classes (a < b) once.
+
+    Two documents are linked if their classes are, or if they are of one class that isn't the empty set's (cls null).
+    """
+    sizes, rooted, texts = _joined(docs, words, num, den)
+    return sizes.select("doc_id", F.when(F.col("n") > 0, F.col("cls")).alias("cls")), _compared(sizes, rooted, texts, words, num, den, True)
+
+
+def ngram_jaccard_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """What ngram_jaccard_join gives, and n_links: with how many other documents each one is linked itself.
+
+    The pairs are counted where they are compared, so the rows made don't grow as the square of a group.
+    """
+    sizes, rooted, texts = _joined(docs, words, num, den)
+    linked = _compared(sizes, rooted, texts, words, num, den, False).groupBy("cls").agg(F.sum("linked").alias("linked"))
+    counted = sizes.where("n > 0").groupBy("cls").agg((F.count("*") - 1).alias("same")).join(linked, "cls", "left")
+    counted = staged(counted.select("cls", (F.col("same") + F.coalesce("linked", F.lit(0))).alias("n_links")), "counted")
+    placed = _placed(sizes.join(counted, "cls", "left"), rooted, "n_links")
+    return placed.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _own_class(words: int):

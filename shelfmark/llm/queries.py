@@ -14,7 +14,7 @@ from shelfmark.llm.chat import format_chats, read_back
 from shelfmark.llm.common import shared_folder, table
 from shelfmark.llm.decontam import contaminated
 from shelfmark.llm.media import store_texts
-from shelfmark.llm.ngram_join import ngram_jaccard_join
+from shelfmark.llm.ngram_join import ngram_jaccard_join, ngram_jaccard_links
 from shelfmark.llm.packing import pack
 from shelfmark.llm.suffix_dedup import deduplicated
 from shelfmark.llm.token_counts import WORDS, TokenRollup
@@ -22,6 +22,9 @@ from shelfmark.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries beside the ten, with their oracles.
+BESIDE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BESIDE_ORACLES: dict[str, str] = {}
 
 
 def query(f):
@@ -55,6 +58,18 @@ FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, len(s.s)
 """
 
 
+def ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with the number of each document's links; op1's own columns are fixed by its SQL."""
+    return ngram_jaccard_links(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+BESIDE["ngram_links"] = ngram_links
+BESIDE_ORACLES["ngram_links"] = ORACLES["op1_ngram_jaccard_join"].partition("SELECT s.doc_id")[0] + """, counts AS (SELECT x AS doc_id, count(*) AS n_links FROM both_ways GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id, coalesce(any_value(c.n_links), 0) AS n_links
+FROM sets s JOIN reach r USING (doc_id) LEFT JOIN counts c USING (doc_id) GROUP BY s.doc_id, len(s.s)
+"""
+
+
 #: Host, path and verdict of the production rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
