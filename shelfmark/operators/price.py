@@ -74,6 +74,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def never_ranked(items: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Items that stand in none of the given lists, at whatever rank."""
+    return items.join(rankings.select("store_book_id"), "store_book_id", "left_anti")
+
+
 def decision_audit(matches: DataFrame) -> DataFrame:
     """check, n: one row for each count."""
     manual = F.col("decision").startswith("manual")

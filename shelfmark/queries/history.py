@@ -94,8 +94,22 @@ SELECT g.book_id, CAST(g.store_id AS INTEGER) AS store_id, t.rank,
 CASE WHEN t.rank IS NOT NULL THEN 'ranked' WHEN NOT has THEN 'unknown' WHEN s.store_book_id IS NOT NULL THEN 'outside' ELSE 'unlinked' END AS status
 FROM grid g LEFT JOIN store_books s ON s.book_id = g.book_id AND s.store_id = g.store_id LEFT JOIN today t USING (store_book_id)""")
 def rank_status(spark, d):
+    """Of the books below 200; rank_status_whole has them all."""
+    return _rank_status(spark, d, A.books(spark, d).where("book_id < 200"))
+
+
+@query("""today AS (SELECT store_book_id, min(rank) AS rank FROM rankings WHERE snapshot_date = DATE '2000-06-01' AND kind = 'online' AND unified = 'all' AND rank <= 100 GROUP BY 1),
+grid AS (SELECT b.book_id, x.store_id, x.has FROM books b CROSS JOIN (VALUES (1, true), (2, true), (3, false)) x(store_id, has))
+SELECT g.book_id, CAST(g.store_id AS INTEGER) AS store_id, t.rank,
+CASE WHEN t.rank IS NOT NULL THEN 'ranked' WHEN NOT has THEN 'unknown' WHEN s.store_book_id IS NOT NULL THEN 'outside' ELSE 'unlinked' END AS status
+FROM grid g LEFT JOIN store_books s ON s.book_id = g.book_id AND s.store_id = g.store_id LEFT JOIN today t USING (store_book_id)""")
+def rank_status_whole(spark, d):
+    return _rank_status(spark, d, A.books(spark, d))
+
+
+def _rank_status(spark, d, books):
     today = A.rankings(spark, d).where("snapshot_date = DATE '2000-06-01' AND kind = 'online' AND unified = 'all' AND rank <= 100").groupBy("store_book_id").agg(F.min("rank").alias("rank"))
-    grid = A.books(spark, d).where("book_id < 200").select("book_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("store_id"))
+    grid = books.select("book_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("store_id"))
     own = A.store_books(spark, d).select("book_id", "store_id", "store_book_id")
     linked = F.when(F.col("store_id") != 3, F.col("store_book_id").isNotNull())
     return grid.join(own, ["book_id", "store_id"], "left").join(today, "store_book_id", "left").select("book_id", "store_id", "rank", H.rank_status(F.col("rank"), linked).alias("status"))

@@ -46,9 +46,16 @@ def count_floor(spark, d):
 @query("""tops AS (SELECT snapshot_date, store_id, kind, unified, list_sort(list(DISTINCT part)) AS items FROM rankings WHERE rank <= 3 GROUP BY ALL)
 SELECT snapshot_date, store_id, kind, unified, CAST(len(items) AS BIGINT) AS n, count(*) OVER (PARTITION BY items) AS twins FROM tops QUALIFY twins > 1""")
 def twin_lists(spark, d):
+    """Lists with the same first three items; twin_lists_whole compares whole lists."""
     return I.twin_lists(A.rankings(spark, d).where("rank <= 3"), ["snapshot_date", "store_id", "kind", "unified"], "part")
 
 
+@query("""lists_of AS (SELECT snapshot_date, store_id, kind, unified, list_sort(list(DISTINCT part)) AS items FROM rankings GROUP BY ALL)
+SELECT snapshot_date, store_id, kind, unified, CAST(len(items) AS BIGINT) AS n, count(*) OVER (PARTITION BY items) AS twins FROM lists_of QUALIFY twins > 1""")
+def twin_lists_whole(spark, d):
+    return I.twin_lists(A.rankings(spark, d), ["snapshot_date", "store_id", "kind", "unified"], "part")
+
+
 @query("""noisy AS (SELECT snapshot_date, store_id, rank, CASE WHEN rank % 9 = 0 AND store_id = 2 THEN 0 WHEN rank % 50 = 0 THEN 1 ELSE part END AS item FROM rankings WHERE kind = 'online' AND unified = 'all'),
 own AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date, store_id, item ORDER BY rank) AS k FROM noisy),
 rated AS (SELECT *, count(*) FILTER (k > 1) OVER (PARTITION BY snapshot_date, store_id) / count(*) OVER (PARTITION BY snapshot_date, store_id) > 0.1 AS failed FROM own)

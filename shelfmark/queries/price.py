@@ -83,10 +83,16 @@ def reseen_items(spark, d):
 
 @query("SELECT store_book_id, store_id, book_id FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM rankings r WHERE r.store_book_id = s.store_book_id AND r.kind = 'online' AND r.unified = 'all' AND r.rank <= 20)")
 def never_ranked(spark, d):
+    """Items never among the first 20 of the overall online lists; never_ranked_whole counts every rank of every list."""
     top = A.rankings(spark, d).where("kind = 'online' AND unified = 'all' AND rank <= 20").select("store_book_id")
     return A.store_books(spark, d).join(top, "store_book_id", "left_anti").select("store_book_id", "store_id", "book_id")
 
 
+@query("SELECT store_book_id, store_id, book_id FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM rankings r WHERE r.store_book_id = s.store_book_id)")
+def never_ranked_whole(spark, d):
+    return P.never_ranked(A.store_books(spark, d), A.rankings(spark, d)).select("store_book_id", "store_id", "book_id")
+
+
 @query("""one AS (SELECT count(*) AS "all", count(*) FILTER (starts_with(decision, 'manual')) AS manual, count(*) FILTER (NOT starts_with(decision, 'manual')) AS automatic, count(*) FILTER (auto_decision IS NULL) AS no_auto,
 count(*) FILTER (starts_with(decision, 'manual') AND auto_decision IS NOT NULL) AS overruled, count(*) FILTER (NOT starts_with(decision, 'manual') AND auto_decision <> decision) AS auto_differs FROM book_matches)
 SELECT "check", n FROM one UNPIVOT (n FOR "check" IN ("all", manual, automatic, no_auto, overruled, auto_differs))""")
