@@ -5,6 +5,9 @@ space), on bytes. An item is
 looked for as a whole if it is short, else by overlapping passages of PASSAGE bytes: one that is found within its edit
 budget (RATE of its length) marks the document.
 
+Of a longer item, a copied stretch is sure to be found from PASSAGE + STRIDE - 1 = 143 bytes on; one of 96 to 142 bytes only if
+it happens to hold a whole passage, a shorter one or one edited beyond the budget in every passage not at all.
+
 By the q-gram lemma, text within e edits of a passage of n bytes shares n - q + 1 - q * e of its q-grams, all on
 diagonals that differ by at most e. Each batch of documents goes through three sieves: all its q-gram hashes against a
 bitmap of the benchmark's; places with too few hits within a passage's reach are dropped; the rest are expanded to
