@@ -100,8 +100,9 @@ def _pack(limits: tuple[int, int, int], weights: tuple[float, float, float], sel
 def pack(docs: DataFrame, path: str, capacity: int = 1024, max_docs: int | None = None, max_attention: int | None = None, end_id: int = 2, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), select: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
-    path: a byte-level BPE file that every worker can open. Without max_docs and max_attention only tokens bind.
-    A lower max_attention must leave room for a full piece.
+    path: a byte-level BPE file that every worker can open. Without max_docs and max_attention only tokens can bind (a
+    sequence of n tokens holds at most n documents and their squares add up to at most n squared), which gives the fewest
+    sequences. A lower max_attention must leave room for a full piece. Further columns of docs are not read.
     """
     limits = (capacity, max_docs or capacity, max_attention or capacity**2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")

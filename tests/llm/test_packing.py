@@ -11,13 +11,12 @@ from shelfmark.llm.packing import best_fit, pack
 from shelfmark.llm.tokens import PIECE, ids
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", "a", " leading and trailing  ", "<|endoftext|> inside", "naïve café 東京 🙂‍🔥\n\n\t x", "don't we'll I'VE", "1234567 8.9", "   odd　spaces \r\n", "x" * 3000, "\0\x1f\x7f"]
+TEXTS = [None, "", "a", " leading and trailing  ", "<|endoftext|> inside", "a<|endoftext|><|endoftext|>b <|endoftext|", "word <|endoftext|> " * 9000, "naïve café 東京 🙂‍🔥\n\n\t x", "don't we'll I'VE", "1234567 8.9", "   odd　spaces \r\n", "x" * 3000, "\0\x1f\x7f"]
 
 
 @pytest.fixture(scope="module")
 def library():
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text or "", add_special_tokens=False).ids
 
 
@@ -83,3 +82,17 @@ def test_max_docs(frame, prose, library):
     out = pack(frame(rows), PATH, max_docs=4).collect()
     held(rows, out, library, 1024)
     assert max(np.unique([r.sequence_id for r in out], return_counts=True)[1]) == 4
+
+
+def test_max_attention(frame, prose, library):
+    rows = [(k, prose(20 + k % 40, k)) for k in range(60)]
+    want = {d: len(library(t)) + 1 for d, t in rows}
+    most = 2 * max(want.values()) ** 2
+    out = pack(frame(rows), PATH, max_attention=most, capacity=512).collect()
+    held(rows, out, library, 512)
+    lanes = {}
+    for r in out:
+        lanes.setdefault(r.sequence_id, []).append(r.length)
+    costs = [sum(x * x for x in own) for own in lanes.values()]
+    assert max(costs) <= most and sorted(costs)[len(costs) // 2] > most // 2
+    assert any(sum(own) + min(want.values()) <= 512 for own in lanes.values())  # tokens were left: attention bound
