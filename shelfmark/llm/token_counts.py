@@ -6,7 +6,8 @@ becomes signed counts, summed by source, language and tokenizer version. A batch
 marker and is written anew. Totals are the sums over all committed batches, so no batch reads the corpus again.
 
 Null sources and languages are groups of their own; null and empty texts have no tokens and count as documents. Batches
-may be empty. Rows may repeat: each counts.
+may be empty. Rows may repeat: each counts. A kind that is null or unknown, and a delete or revision in a batch without
+the old row's columns, is an error: the commit fails and counts nothing. Further columns of a batch are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import blocks
 from shelfmark.llm.shingles import word_hashes
-from shelfmark.llm.tokens import encoding, pieces
+from shelfmark.llm.tokens import ids
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = ["docs", "tokens", "chars"]
@@ -45,8 +46,7 @@ def _counted(tokenizers: dict[str, str | None]):
                             own[d] += 1
                         counts += own
                 else:
-                    encode = encoding(path).encode_to_numpy
-                    counts = [sum(len(encode(x, disallowed_special=())) for x in pieces(t.as_py() or "")) for t in text]
+                    counts = [len(ids(t.as_py(), path)) for t in text]
                 yield pa.record_batch([source.cast(pa.string()), lang.cast(pa.string()), sign, chars, pa.array([name] * len(counts), pa.string()), pa.array(counts, pa.int64())], schema=schema)
 
     return run
@@ -57,11 +57,14 @@ def deltas(changes: DataFrame, tokenizers: dict[str, str | None]) -> DataFrame:
 
     kind: insert uses the row, delete the old one, revise both. tokenizers: version name to file, None for words.
     """
-    after = changes.where("kind IN ('insert', 'revise')").select("source", "lang", "text", F.lit(1).cast("long").alias("sign"))
-    rows = after
-    if "old_text" in changes.columns:
-        before = changes.where("kind IN ('delete', 'revise')").select(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_text").alias("text"), F.lit(-1).cast("long").alias("sign"))
-        rows = after.unionByName(before)
+    old = {"old_source", "old_lang", "old_text"} <= set(changes.columns)
+    known = ["insert", "delete", "revise"] if old else ["insert"]
+    said = F.concat(F.lit("unknown kind of change" if old else "not an insert, and the batch has no old rows"), F.lit(": "), F.coalesce("kind", F.lit("null")))
+    kind = F.when(F.col("kind").isin(known), F.col("kind")).otherwise(F.raise_error(said))
+    rows = changes.where(kind.isin("insert", "revise") if old else kind == "insert").select("source", "lang", "text", F.lit(1).cast("long").alias("sign"))
+    if old:
+        before = changes.where(kind.isin("delete", "revise")).select(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_text").alias("text"), F.lit(-1).cast("long").alias("sign"))
+        rows = rows.unionByName(before)
     rows = rows.select("source", "lang", "sign", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), "text")
     counted = rows.mapInArrow(_counted(tokenizers), "source string, lang string, sign long, chars long, tokenizer string, n long")
     sums = counted.groupBy(*KEYS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("n")).alias("tokens"), F.sum(F.col("sign") * F.col("chars")).alias("chars"))

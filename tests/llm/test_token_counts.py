@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from shelfmark.llm.token_counts import WORDS, TokenRollup, deltas
@@ -12,7 +13,6 @@ SCHEMA = "kind string, source string, lang string, text string, old_source strin
 
 def counted(rows):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     out = {}
     for source, lang, text in rows:
         for name, n in (("bpe/1", len(own.encode(text or "", add_special_tokens=False).ids)), (WORDS, len((text or "").split()))):
@@ -55,3 +55,14 @@ def test_empty_batch_and_inserts_alone(spark, tmp_path):
     assert totals(rollup) == {}
     inserts = spark.createDataFrame([("insert", "a", "en", "x " * 50_000, "extra")], "kind string, source string, lang string, text string, tokenizer string")
     assert [r.tokens for r in deltas(inserts, {WORDS: None}).collect()] == [50_000]
+
+
+def test_changes_that_cannot_be_counted_are_errors(spark, tmp_path):
+    rollup = TokenRollup(spark, str(tmp_path / "rollup"), {WORDS: None})
+    for kind in ("oops", None):
+        with pytest.raises(Exception, match="unknown kind"):
+            rollup.commit("1", spark.createDataFrame([(kind, "a", "en", "x", "a", "en", "x")], SCHEMA))
+    for kind in ("revise", "delete"):
+        with pytest.raises(Exception, match="no old rows"):
+            rollup.commit("1", spark.createDataFrame([(kind, "a", "en", "x")], "kind string, source string, lang string, text string"))
+    assert totals(rollup) == {} and not rollup.committed("1")
