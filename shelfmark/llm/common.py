@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -54,6 +56,13 @@ def drop_staged(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as no column of `taken` starts with in upper or lower case."""
+    while any(c.lower().startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
 def binary(column: pa.Array) -> pa.LargeBinaryArray:
     """Text or binary as large_binary without nulls (null becomes empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,23 +4,27 @@ Every `length`-byte string that also starts earlier (in a smaller doc_id, or ear
 bytes; covered bytes are removed.
 
 Equal strings must meet in one shard. A string's key is the smallest hash among the GRAM-byte grams in it, so equal
-strings have equal keys, and runs of strings with one key form segments, about one for every 39 bytes. Segments are
-dealt by key. Of equal segments of a key all but the first are covered as a whole; a segment whose key no other has is
-done with, unless it repeats itself. The bytes of the others are fetched and dealt to shards by key.
+strings have equal keys, and runs of strings with one key form segments, about one for every 39 bytes. A segment whose
+key stands in no other is done with, unless it may repeat itself. Of equal segments of a key all but the first are
+covered as a whole. The bytes of the others are fetched and dealt to shards by key.
 
-A key may recur in many different contexts (a short line that many documents hold). The segments of such a hot key are
-dealt by document over blocks of some HOT segments. Each block finds the repeats inside it; of the strings that are new to
-their block, all but the first of each kind over all blocks are covered too, which a grouped minimum of their hashes tells.
+A key whose segments have more than HEAVY bytes (a line or passage that very many documents hold) is cut into finer keys
+first: its strings are split by where in them the gram stands, a quarter of the places each time, and the new key is the
+hash of the bytes that all strings of such a quarter must have in common: 81 bytes after the first cut, all of them after
+the last. Equal strings still have equal keys, equal quarters are settled by comparing their bytes, and what fits a shard
+leaves the round. So a group's rows at most quadruple in a round, there are four rounds at most, and no shard holds more
+than SHARD and HEAVY bytes together, however common a passage is.
 
 A shard's suffix array is built by induced sorting: suffixes are classified by the next byte (smaller or larger type),
-the leftmost of the smaller type are sorted by their substrings, recursively by pairs of ranks until they are told apart
-or reach `length` bytes, and the order of all others is induced from them in two linear passes over the buckets, each
-bucket at a time in numpy. Common prefixes are computed in text order (permuted): only where the byte before differs
+the leftmost of the smaller type are sorted by their substrings, and the order of all others is induced from them in two
+linear passes over the buckets, each bucket at a time in numpy. Substrings that are equal are told apart by pairs of ranks,
+twice the reach each time, until all differ or `length` bytes are covered (a constant number of rounds). Common prefixes are computed in text order (permuted): only where the byte before differs
 are they compared, else they follow from the one before. Neighbours with `length` common bytes are equal strings, and of
 each such class all but the first are covered.
 
 Rows without a doc_id are left out. A null text is empty. Rows that repeat a doc_id share their covered spans; with
-equal texts they count as one document. Matches never cross documents.
+equal texts they count as one document. Matches never cross documents. Columns of any other name are carried along
+untouched, those named like columns used here too. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,9 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from shelfmark.llm.common import binary, blocks, mix, staged
+from shelfmark.llm.common import binary, blocks, drop_staged, fresh_name, mix, staged
 
 LENGTH = 100
 GRAM = 24
@@ -42,15 +45,20 @@ GRAM = 24
 MOST = 1 << 19
 #: Bytes of text in a shard, unless one key alone has more.
 SHARD = 1 << 20
-#: Different segments of one key that go to one block; a key with more is dealt over several.
-HOT = 1024
-#: A packed place in a document: position, number of strings, and whether the key's gram recurs in the segment.
-_NUMBER_BITS = 20
+#: Bytes of one key's different segments that go to a shard together; a key with more is cut into finer ones.
+HEAVY = 1 << 18
+#: A packed place in a document: position, number of strings, where the gram stands in the first of them, and whether it
+#: recurs in the segment.
+_NUMBER_BITS, _AT_BITS = 20, 10
 
 _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 _TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A second hash modulo a prime, which texts made to collide modulo 2^64 don't fool.
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_CODE = mix(np.arange(300, 556, dtype=np.uint64)) % _PRIME
+_PRIME_TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +70,16 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
+def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_PRIME_TABLES[0]) < n:
+        for k, base in enumerate((48271, pow(48271, -1, int(_PRIME)))):
+            own = np.ones(1, np.uint64)
+            while len(own) < n:
+                own = np.concatenate([own, own * np.uint64(pow(base, len(own), int(_PRIME))) % _PRIME])
+            _PRIME_TABLES[k] = own
+    return _PRIME_TABLES[0], _PRIME_TABLES[1]
+
+
 def _sums(data: np.ndarray) -> np.ndarray:
     """Running sums from which the hash of any part follows."""
     up, _ = _tables(len(data) + 1)
@@ -76,14 +94,8 @@ def _hashes(total: np.ndarray, size: int) -> np.ndarray:
     return mix((total[size:] - total[:n]) * _tables(len(total))[1][:n])
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document, key, content hash, packed place) of every segment."""
-    n = len(data)
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    if n < length:
-        return none
-    _, back = _tables(n + 1)
-    total = _sums(data)
+def least_grams(data: np.ndarray, total: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each gram, and for the string that starts at each place where the first of its smallest grams stands."""
     grams = _hashes(total, gram)
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     have, reach = 1, length - gram + 1
@@ -91,16 +103,24 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         step = min(have, reach - have)
         least = np.minimum(least[:-step], least[step:])
         have += step
-    # least[s]: the smallest hash in the string that starts at s, and its first place.
+    return grams, (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, keys_only: bool = False) -> tuple[np.ndarray, ...]:
+    """(document, key, content hash, packed place) of every segment, or (key, whether its gram recurs)."""
+    n = len(data)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     starts = offsets[:-1][np.diff(offsets) >= length]
     ends = offsets[1:][np.diff(offsets) >= length] - length + 1
     if not len(starts):
-        return none
-    gram_at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    change = np.ones(len(least), bool)
+        return none[:2] if keys_only else none
+    _, back = _tables(n + 1)
+    total = _sums(data)
+    grams, gram_at = least_grams(data, total, length, gram)
+    change = np.ones(len(gram_at), bool)
     change[1:] = gram_at[1:] != gram_at[:-1]
     change[starts] = True
-    valid = np.zeros(len(least) + 1, np.int8)
+    valid = np.zeros(len(gram_at) + 1, np.int8)
     np.add.at(valid, starts, 1)
     np.add.at(valid, ends, -1)
     valid = np.cumsum(valid[:-1]).astype(bool)
@@ -113,6 +133,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     group = np.cumsum(fresh) - 1
     recurs = np.bincount(group) > 1
     begin, key, doc = begin[fresh], key[fresh], doc[fresh]
+    if keys_only:
+        return key, recurs
     stop = np.minimum(np.append(begin[1:], n), offsets[doc + 1] - length + 1)
     count = stop - begin
     if (count > MOST).any():
@@ -122,14 +144,20 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         begin, key, doc, recurs = begin[which] + part * MOST, key[which], doc[which], recurs[which]
         count = np.minimum(MOST, count[which] - part * MOST)
     tail = begin + count + length - 1
-    content = mix((total[tail] - total[begin]) * back[begin] + count.astype(np.uint64))
-    place = ((begin - offsets[doc]) << (_NUMBER_BITS + 1)) | (count << 1) | recurs
+    up, down = _prime_tables(n + 1)
+    second = np.zeros(n + 1, np.uint64)
+    wide = _PRIME_CODE[data] * up[:n]
+    np.cumsum((wide & _PRIME) + (wide >> np.uint64(31)), out=second[1:])  # congruent, and small enough to be summed
+    second = (second[tail] - second[begin]) % _PRIME * down[begin] % _PRIME
+    content = mix(mix((total[tail] - total[begin]) * back[begin] + count.astype(np.uint64)) + second)
+    at = np.where(recurs, 0, gram_at[begin] - begin)
+    place = ((((begin - offsets[doc]) << _NUMBER_BITS | count) << _AT_BITS | at) << 1) | recurs
     return doc, key, content, place
 
 
 def unpack(place):
-    """(position, number of strings, whether the gram recurs)."""
-    return place >> (_NUMBER_BITS + 1), (place >> 1) & ((1 << _NUMBER_BITS) - 1), place & 1
+    """(position, number of strings, where the gram stands in the first, whether the gram recurs)."""
+    return place >> (_NUMBER_BITS + _AT_BITS + 1), (place >> (_AT_BITS + 1)) & ((1 << _NUMBER_BITS) - 1), (place >> 1) & ((1 << _AT_BITS) - 1), place & 1
 
 
 def _segments(length: int):
@@ -146,6 +174,19 @@ def _segments(length: int):
     return run
 
 
+def _keys(length: int):
+    schema = pa.schema([("key", pa.int64()), ("recurs", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(1)):
+                key, recurs = segments(data, offsets, length, keys_only=True)
+                if len(key):
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(recurs.astype(bool))], schema=schema)
+
+    return run
+
+
 # The suffix array of a shard.
 
 
@@ -315,8 +356,16 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+_PARTS = "key long, doc_id long, start long, bytes binary, gram_at int, recurs boolean, heavy boolean"
+_PART_SCHEMA = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary()), ("gram_at", pa.int32()), ("recurs", pa.bool_()), ("heavy", pa.bool_())])
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def _fetched(length: int):
-    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+    """(doc_id, text, wanted) to the bytes of each wanted segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,44 +375,64 @@ def _fetched(length: int):
             for doc, text, own in zip(ids, binary(batch.column(1)), wanted, strict=True):
                 raw = memoryview(text.as_buffer())
                 for want in own.as_py():
-                    start, count, _ = unpack(want["place"])
+                    start, count, at, recurs = unpack(want["place"])
                     part = bytes(raw[start : start + count + length - 1])
                     if len(part) == count + length - 1:  # a row that repeats a doc_id may be shorter
-                        rows.append((want["key"], want["block"], doc, start, part))
+                        rows.append((want["key"], doc, start, part, at, bool(recurs), want["heavy"]))
                         size += len(part)
-                if size > 8 << 20:
-                    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
+                    if size > 8 << 20:
+                        yield _columns(rows, _PART_SCHEMA)
+                        rows, size = [], 0
             if rows:
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield _columns(rows, _PART_SCHEMA)
 
     return run
 
 
+def _singled(length: int):
+    """Segments in which the gram recurs to runs of strings that share one place of it. Strings that stand in the segment
+    before go at once: their bytes are null and gram_at is how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, doc, start, part in zip(*(batch.column(k).to_pylist() for k in ("key", "doc_id", "start", "bytes")), strict=True):
+                later = repeats([part], length)[0]
+                for first, last in zip(*runs(later), strict=True):
+                    rows.append((key, doc, start + first, None, last - first + 1, False, True))
+                data = np.frombuffer(part, np.uint8)
+                _, gram_at = least_grams(data, _sums(data), length, GRAM)
+                for first, last in zip(*runs(~later), strict=True):
+                    cut = np.flatnonzero(gram_at[first + 1 : last + 1] != gram_at[first:last]) + first + 1
+                    for a, b in zip([first, *cut], [*cut, last + 1], strict=True):
+                        rows.append((key, doc, start + a, part[a : b + length - 1], int(gram_at[a] - a), False, True))
+            if rows:
+                yield _columns(rows, _PART_SCHEMA)
+
+    return run
+
+
+_SPANS = "doc_id long, begin long, end long"
+
+
 def _sharded(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("key", pa.int64()), ("string", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def covered(rows: list[tuple]) -> pa.RecordBatch:
-        docs, begins, ends, keys, strings = [], [], [], [], []
-        for (key, block, doc, start, part), flags in zip(rows, repeats([r[-1] for r in rows], length), strict=True):
+        docs, begins, ends = [], [], []
+        for (_, doc, start, _), flags in zip(rows, repeats([r[-1] for r in rows], length), strict=True):
             first, last = runs(flags)
-            new = np.flatnonzero(~flags) if block is not None else first[:0]
-            docs += [doc] * (len(first) + len(new))
-            begins += [*(start + first).tolist(), *(start + new).tolist()]
-            ends += [*(start + last + length).tolist(), *(start + new + length).tolist()]
-            keys += [None] * len(first) + [key] * len(new)
-            strings += [None] * len(first)
-            if len(new):
-                strings += _hashes(_sums(np.frombuffer(part, np.uint8)), length)[new].view(np.int64).tolist()
-        return pa.record_batch([pa.array(x, pa.int64()) for x in (docs, begins, ends, keys, strings)], schema=schema)
+            docs += [doc] * len(first)
+            begins += (start + first).tolist()
+            ends += (start + last + length).tolist()
+        return pa.record_batch([pa.array(x, pa.int64()) for x in (docs, begins, ends)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "block", "doc_id", "start", "bytes")), strict=True):
-                # A key's blocks stay apart, as documents are in order only within one.
-                if held and row[:2] != held[-1][:2] and (size >= SHARD or row[0] == held[-1][0]):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "doc_id", "start", "bytes")), strict=True):
+                if held and row[0] != held[-1][0] and size >= SHARD:
                     yield covered(held)
                     held, size = [], 0
                 if held and row == held[-1]:
@@ -376,30 +445,80 @@ def _sharded(length: int):
     return run
 
 
-def covered_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def _halved(open_: DataFrame, length: int) -> DataFrame:
+    """Rows (key, doc_id, start, bytes, gram_at, low, high), cut by where the gram stands in a string: low to high."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    strings = F.octet_length("bytes") - (length - 1)
+    halves = [open_.where("low = high").select("key", "doc_id", "start", "bytes", "gram_at", "low", "high")]
+    for low, high in ((F.col("low"), middle), (middle + 1, F.col("high"))):
+        half = open_.where("low < high").select("key", "doc_id", "start", "bytes", "gram_at", low.alias("low"), high.alias("high"), F.least("gram_at", high).alias("most"), F.greatest(F.col("gram_at") - strings + 1, low).alias("fewest"))
+        skipped = F.col("gram_at") - F.col("most")
+        part = F.substring("bytes", skipped + 1, F.col("most") - F.col("fewest") + length)
+        half = half.where("most >= fewest").select("key", "doc_id", (F.col("start") + skipped).alias("start"), part.alias("bytes"), F.col("most").alias("gram_at"), "low", "high")
+        shared = F.substring("bytes", F.col("gram_at") - F.col("low") + 1, length - (F.col("high") - F.col("low")))
+        halves.append(half.withColumn("key", F.xxhash64("key", "high", shared)))
+    return halves[0].unionByName(halves[1]).unionByName(halves[2])
+
+
+def _cut_down(parts: DataFrame, length: int, heavy: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What of heavy keys' parts goes to shards (key, doc_id, start, bytes), and the spans that are covered already."""
+    singled = staged(parts.where("heavy AND recurs").mapInArrow(_singled(length), _PARTS), "singled")
+    spans = [singled.where("bytes IS NULL").select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("gram_at") + (length - 1)).alias("end"))]
+    own = parts.where("heavy AND NOT recurs").unionByName(singled.where("bytes IS NOT NULL"))
+    open_ = own.select("key", "doc_id", "start", "bytes", "gram_at", F.lit(0).alias("low"), F.lit(length - GRAM).alias("high"))
+    ready = []
+    for _ in range(((length - GRAM).bit_length() + 1) // 2):
+        quarters = staged(_halved(_halved(open_, length), length), "quarters")
+        firsts = quarters.groupBy("key", "gram_at", "low", "high", "bytes").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        firsts = staged(firsts, "first-quarters")
+        copies = quarters.join(firsts, ["key", "gram_at", "low", "high", "bytes"]).where(F.struct("doc_id", "start") != F.col("first"))
+        spans.append(staged(copies.select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.octet_length("bytes")).alias("end")), "copies"))
+        sizes = staged(firsts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size")).where("n > 1"), "key-sizes")
+        rest = firsts.join(sizes, "key").select("key", "first.doc_id", "first.start", "bytes", "gram_at", "low", "high", (F.col("size") > heavy).alias("heavy"))
+        rest = staged(rest, "finer")
+        ready.append(rest.where("NOT heavy").select("key", "doc_id", "start", "bytes"))
+        open_ = rest.where("heavy").drop("heavy")
+        drop_staged(quarters, firsts, sizes)
+        if not open_.limit(1).count():
+            break
+    out = ready[0]
+    for more in ready[1:]:
+        out = out.unionByName(more)
+    return out, spans
+
+
+def covered_spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, begin, end) of covered bytes of documents (doc_id, text); spans may overlap."""
     rows = docs.mapInArrow(_segments(length), "doc_id long, key long, content long, place long")
-    by_key = W.partitionBy("key").orderBy("content", "doc_id", "place")
-    whole = by_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    by_content = W.partitionBy("key", "content").orderBy("doc_id", "place")
-    seen = rows.select("*", F.first(F.struct("doc_id", "place")).over(by_content).alias("origin"), F.row_number().over(by_content).alias("k"))
-    seen = seen.select("*", F.count_if(F.col("k") == 1).over(whole).alias("contents"))
-    later = F.struct("doc_id", "place") != F.col("origin")
-    sought = (F.col("k") == 1) & ((F.col("contents") > 1) | (F.col("place").bitwiseAND(1) == 1))
-    seen = staged(seen.where(later | sought).select("doc_id", "key", "place", later.alias("later"), F.ceil(F.col("contents") / hot).cast("int").alias("blocks")), "segments")
-
-    start = F.shiftright("place", _NUMBER_BITS + 1)
-    count = F.shiftright("place", 1).bitwiseAND((1 << _NUMBER_BITS) - 1)
-    copies = seen.where("later").select("doc_id", start.alias("begin"), (start + count + F.lit(length - 1)).alias("end"))
-    block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    wanted = seen.where("NOT later").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", block.alias("block"))).alias("wanted"))
-    parts = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetched(length), "key long, block int, doc_id long, start long, bytes binary")
-    sorted_parts = parts.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id", "start", "bytes")
-    found = staged(sorted_parts.mapInArrow(_sharded(length), "doc_id long, begin long, end long, key long, string long"), "covered")
-    new = found.where("string IS NOT NULL")
-    firsts = new.groupBy("key", "string").agg(F.min(F.struct("doc_id", "begin")).alias("origin"))
-    again = new.join(firsts, ["key", "string"]).where(F.struct("doc_id", "begin") != F.col("origin"))
-    return copies.unionByName(found.where("string IS NULL").select("doc_id", "begin", "end")).unionByName(again.select("doc_id", "begin", "end"))
+    recurs = F.col("place").bitwiseAND(1)
+    # Nearly all keys stand alone, so the rows meet only those that don't. What a join by key meets is written first: then
+    # Spark can split a key that very many rows have.
+    shared = docs.mapInArrow(_keys(length), "key long, recurs boolean").groupBy("key").agg(F.count("*").alias("n"), F.bool_or("recurs").alias("recurs"))
+    shared = staged(shared.where("n > 1 OR recurs").select("key"), "shared-keys")
+    met = staged(rows.join(shared, "key").select("key", "content", "doc_id", "place"), "segments")
+    count = F.shiftright("place", _AT_BITS + 1).bitwiseAND((1 << _NUMBER_BITS) - 1)
+    firsts = met.groupBy("key", "content").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    firsts = staged(firsts.select("key", "content", "first.doc_id", "first.place"), "firsts")
+    start = F.shiftright("m.place", _NUMBER_BITS + _AT_BITS + 1)
+    again = met.alias("m").join(firsts.alias("f"), ["key", "content"]).where("m.doc_id <> f.doc_id OR m.place <> f.place")
+    length_of = F.shiftright("m.place", _AT_BITS + 1).bitwiseAND((1 << _NUMBER_BITS) - 1) + (length - 1)
+    copies = staged(again.select("m.doc_id", start.alias("begin"), (start + length_of).alias("end")), "copies")
+    keys = firsts.groupBy("key").agg(F.count("*").alias("n"), F.sum(count + (length - 1)).alias("size"), F.max(recurs).alias("recurs")).where("n > 1 OR recurs = 1")
+    keys = staged(keys.select("key", (F.col("size") > heavy).alias("heavy")), "keys")
+    sought = firsts.join(keys, "key")
+    wanted = sought.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "heavy")).alias("wanted"))
+    parts = staged(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_fetched(length), _PARTS), "parts")
+    drop_staged(shared, met, firsts, keys)
+    ready, spans = parts.where("NOT heavy").select("key", "doc_id", "start", "bytes"), [copies]
+    if parts.where("heavy").limit(1).count():
+        more, found = _cut_down(parts, length, heavy)
+        ready, spans = ready.unionByName(more), spans + found
+    sorted_parts = ready.repartition("key").sortWithinPartitions("key", "doc_id", "start", "bytes")
+    out = staged(sorted_parts.mapInArrow(_sharded(length), _SPANS), "covered")
+    drop_staged(parts)
+    for own in spans:
+        out = out.unionByName(own)
+    return out
 
 
 def _removed(at: int | None):
@@ -418,7 +537,7 @@ def _removed(at: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = binary(batch.column("text")), batch.column("spans")
+            texts, spans = binary(batch.column("text")), batch.column(batch.num_columns - 1)
             if at is None:
                 rows = []
                 for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts, spans, strict=True):
@@ -433,24 +552,25 @@ def _removed(at: int | None):
     return run
 
 
-def _with_spans(docs: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+def _spans_of(docs: DataFrame, length: int, heavy: int) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    spans = covered_spans(own, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return docs.join(spans, "doc_id", "left")
+    return covered_spans(own, length, heavy).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return _with_spans(docs, length, hot).mapInArrow(_removed(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.join(_spans_of(docs, length, heavy), "doc_id", "left")
+    return rows.mapInArrow(_removed(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """The rows of docs with the text that is kept, n_chars (if there) being its length.
 
     A character of which a byte is removed goes as a whole. Rows without a doc_id stay as they are.
     """
-    columns = docs.columns
-    rows = _with_spans(docs, length).select(*columns, "spans")
+    columns, own = docs.columns, fresh_name("spans", docs.columns)
+    spans = _spans_of(docs, length, heavy).select(F.col("doc_id").alias(f"{own}_of"), F.col("spans").alias(own))
+    rows = docs.join(spans, F.col("doc_id") == F.col(f"{own}_of"), "left").drop(f"{own}_of")
     out = rows.mapInArrow(_removed(columns.index("text")), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

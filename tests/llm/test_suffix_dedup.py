@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm.suffix_dedup import deduplicated, permuted_common_prefixes, repeats, suffix_array, without_repeats
 
@@ -51,12 +52,31 @@ def test_equals_brute_force(frame, prose, seed):
     assert sorted(map(tuple, deduplicated(frame(rows)).collect())) == brute(rows, 100)
 
 
-@pytest.mark.parametrize("hot", [1, 5])
-def test_hot_keys_are_split_without_loss(frame, prose, hot):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("heavy", [1, 700, 3000])
+def test_heavy_keys_are_cut_without_loss(frame, prose, heavy):
+    rng = random.Random(heavy)
     line = prose(12, 77)
     rows = [(d, f"{prose(rng.randint(0, 6), rng.randint(0, 5))} {line} {prose(rng.randint(0, 9), rng.randint(0, 9))}") for d in range(120)]
-    assert sorted(map(tuple, deduplicated(frame(rows), 100, hot).collect())) == brute(rows, 100)
+    rows += [(200 + d, "z" * (150 + 9 * d) + "ab" * (60 + d) + line * rng.randint(1, 3)) for d in range(20)]
+    assert sorted(map(tuple, deduplicated(frame(rows), 100, heavy).collect())) == brute(rows, 100)
+
+
+@pytest.mark.parametrize("heavy", [400, 20_000])
+def test_a_gram_in_every_document(frame, prose, heavy):
+    line = prose(4, 5)[:30]
+    rows = [(d, f"{prose(20, d % 90)} {line} {prose(20, d % 70)}") for d in range(300)]
+    assert sorted(map(tuple, deduplicated(frame(rows), 100, heavy).collect())) == brute(rows, 100)
+
+
+def test_columns_named_like_the_operators_own(frame, prose):
+    rows = passages(prose, 3)
+    plain = {r.doc_id: r.text for r in without_repeats(frame(rows)).collect()}
+    named = frame(rows)
+    for name in ("spans", "spans_", "key", "part", "cls", "role", "salt", "held_out", "begin"):
+        named = named.withColumn(name, F.col("doc_id") + 1)
+    out = without_repeats(named)
+    assert out.schema == named.schema
+    assert {r.doc_id: (r.text, r.spans) for r in out.collect()} == {d: (t, d + 1) for d, t in plain.items()}
 
 
 def test_odd_rows(frame, prose):
