@@ -14,8 +14,13 @@ That finds the components, for which some k - 1 links of k similar documents are
 so class_links and n_links take each component's distinct sets in blocks and compare every pair of them on the sets
 themselves. Equal sets are one class, whose documents are linked with each other and with all of a linked class.
 
-Rows without a doc_id are no documents and are left out. Rows that repeat a doc_id are taken one by one. A null, empty
-or blank text has the empty set, which is linked with nothing. Two different sets are told apart by 64-bit digests.
+Rows without a doc_id are no documents and are left out (one_of_each keeps them as they are). Rows that repeat a doc_id
+are taken one by one. A null, empty or blank text has the empty set, which is linked with nothing. Sets are told apart by
+128 bits: a 64-bit class, and where different sets have one class, a second digest takes its place. Further columns of
+docs are carried along or not read, whatever their names. An empty table gives an empty one.
+
+Steps by part sort a part's members (rows of two integers) in one task, which spills; all later steps are dealt by blocks
+of a part, by pivot and salt, or have both sides of a join written first, so that Spark can split a key of very many rows.
 """
 
 from __future__ import annotations
@@ -30,13 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from shelfmark.llm.common import blocks, drop_staged, mix, staged
+from shelfmark.llm.common import blocks, drop_staged, fresh_name, mix, staged
 from shelfmark.llm.shingles import shingle_sets
 
 #: A band's largest size over its smallest.
 BAND_RATIO = 1.6
-#: Members of a hot pivot are verified in so many groups.
-PIVOT_SALTS = 16
+#: A pivot's partners are verified in so many groups at least, and in one for each PIVOT_PAIRS pairs of all.
+PIVOT_SALTS, PIVOT_PAIRS = 16, 50_000
+#: Heads of a part that meet the others together.
+HEAD_BLOCK = 256
+#: Classes that several different sets may have by chance before the join stops: 2^64 classes make that all but impossible.
+COLLISIONS = 10_000
 #: Length of the dense parity sketch that sifts pairs before they are verified.
 SKETCH_LONGS = 16
 #: Members of a part that are compared with all others before the rest is.
@@ -85,12 +94,18 @@ class Bands:
         return [b for b in range(len(self.high)) if self.low[b] <= size <= self.high[b]]
 
 
-def digest(own: np.ndarray) -> int:
-    """A set's 64-bit digest, as a signed integer."""
+def digests(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A set's class, of which `bits` bits are used, and a second digest, as signed integers."""
     with np.errstate(over="ignore"):
-        total = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+        total = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(own))
         twin = (mix(own + np.uint64(0x14057B7EF767814F)) * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
-        return int(mix(np.array([total ^ (twin >> np.uint64(7)) ^ np.uint64(len(own))]))[0].astype(np.int64))
+        cls, check = mix(np.array([total, twin + np.uint64(len(own))]))
+        return int((cls >> np.uint64(64 - bits)).astype(np.int64)), int(check.astype(np.int64))
+
+
+def class_of(own: np.ndarray, bits: int, shared: frozenset[int]) -> int:
+    cls, check = digests(own, bits)
+    return check if cls in shared else cls
 
 
 def parts_of(own: np.ndarray, bands: Bands) -> np.ndarray:
@@ -110,19 +125,20 @@ def parts_of(own: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def _sizes(words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+def _sizes(words: int, bits: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("check", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
-                yield pa.record_batch([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], schema=schema)
+                two = [digests(s, bits) for s in sets]
+                yield pa.record_batch([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in two], pa.int64()) for k in (0, 1))], schema=schema)
 
     return run
 
 
-def _parts(words: int, num: int, den: int):
+def _parts(words: int, num: int, den: int, bits: int, shared: frozenset[int]):
     schema = pa.schema([("part", pa.int64()), ("cls", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +147,7 @@ def _parts(words: int, num: int, den: int):
             for _, _, data, offsets in blocks(batch.column(1)):
                 keys, ids = [], []
                 for own in shingle_sets(data, offsets, words):
-                    if len(own) and (cls := digest(own)) not in seen:
+                    if len(own) and (cls := class_of(own, bits, shared)) not in seen:
                         if len(seen) < REMEMBERED:
                             seen.add(cls)
                         keys.append(parts_of(own, bands))
@@ -177,12 +193,12 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b) those that reach the threshold; texts: cls, text.
+def verified(pairs: DataFrame, count: int, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of the candidate pairs (a, b), of which there are `count`, those that reach the threshold; texts: cls, text.
 
     A pivot a is sent once to each of its salted groups, its partners follow in order, so a task holds one set at a time.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(PIVOT_SALTS)).cast("int"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(PIVOT_SALTS, count // PIVOT_PAIRS))).cast("int"))
     asked = pairs.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls"))
     asked = asked.union(pairs.select("a", "salt", F.lit(1), F.col("b")))
     rows = asked.join(texts, "cls").select("a", "salt", "role", "cls", "text")
@@ -212,11 +228,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).distinct().unionByName(roots)
 
 
-def _joined(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Staged tables: doc_id, n and cls of every document; cls and root of every linked class; cls and text of those and others."""
+def _sized(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, frozenset[int]]:
+    """doc_id, n and cls of every document, staged, and the classes that different sets had by chance."""
+    sizes = staged(docs.mapInArrow(_sizes(words, bits), "doc_id long, n long, cls long, check long"), "sizes")
+    several = sizes.groupBy("cls").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
+    shared = frozenset(r.cls for r in several.select("cls").limit(COLLISIONS).collect())
+    if len(shared) == COLLISIONS:
+        raise ValueError("too many different sets have one class")
+    if shared:
+        sizes = staged(sizes.withColumn("cls", F.when(F.col("cls").isin(list(shared)), F.col("check")).otherwise(F.col("cls"))), "sizes")
+    return sizes.select("doc_id", "n", "cls"), shared
+
+
+def _joined(docs: DataFrame, words: int, num: int, den: int, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame, frozenset[int]]:
+    """Staged tables: doc_id, n and cls of every document; cls and root of every linked class; cls and text of those and
+    others. At last the classes that several sets had."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    sizes = staged(docs.mapInArrow(_sizes(words), "doc_id long, n long, cls long"), "sizes")
-    parts = docs.mapInArrow(_parts(words, num, den), "part long, cls long")
+    sizes, shared = _sized(docs, words, bits)
+    parts = docs.mapInArrow(_parts(words, num, den, bits, shared), "part long, cls long")
     in_part = W.partitionBy("part").orderBy("cls")
     met = staged(parts.withColumn("first", F.first("cls").over(in_part)).where("cls <> first").select("part", "first", "cls"), "met")
     rows = met.count()
@@ -233,13 +262,13 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     texts = docs.join(chosen, "doc_id")
     repeated = sizes.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:  # rows may share a doc_id but not a text
-        texts = texts.mapInArrow(_own_class(words), "cls long, text string").dropDuplicates(["cls"])
+        texts = texts.select("text", "cls").mapInArrow(_own_class(words, bits, shared), "cls long, text string").dropDuplicates(["cls"])
     texts = staged(texts.select("cls", "text"), "texts")
 
-    links = staged(verified(pairs, texts, words, num, den), "links", pairs.count(), 5_000)
+    count = pairs.count()
+    links = staged(verified(pairs, count, texts, words, num, den), "links", count, 5_000)
     rooted = staged(components(links), "rooted", rows)
     drop_staged(links)
-    tested = [pairs]
     # In parts whose members are not of one component yet, the dense sketches sift the pairs that were not compared: the
     # distance of two sketches can't exceed the symmetric difference, which can't exceed the sizes' budget.
     sketches = staged(texts.mapInArrow(_sketches(words), "cls long, n long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))), "sketches", rows)
@@ -253,28 +282,37 @@ def _joined(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
         opened = staged(ranked.join(sketches, "cls"), "opened", rows)
         heads = opened.where(F.col("rank") >= low)
         heads = heads.where(F.col("rank") < high) if high else heads
-        apart = (F.col("x.part") == F.col("y.part")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root"))
-        more = heads.alias("x").join(opened.alias("y"), apart & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+        # Dealt by blocks of heads, each of which meets all that come after it.
+        last = F.floor(F.col("rank") / HEAD_BLOCK).cast("int")
+        heads, others = heads.withColumn("block", last), opened.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+        apart = (F.col("x.part") == F.col("y.part")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root"))
+        more = heads.alias("x").join(others.alias("y"), apart & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs", rows)
         if found := more.count():
-            links = staged(verified(more, texts, words, num, den), "links", found, 5_000)
+            links = staged(verified(more, found, texts, words, num, den), "links", found, 5_000)
             if links.take(1):
                 rooted = staged(components(links.unionByName(rooted.select(F.col("cls").alias("a"), F.col("root").alias("b")))), "rooted", rows)
             drop_staged(links)
         drop_staged(opened, more)
     drop_staged(members, pairs, sketches)
-    return sizes, rooted, texts
+    return sizes, rooted, texts, shared
 
 
 def _placed(sizes: DataFrame, rooted: DataFrame, *more: str) -> DataFrame:
-    placed = sizes.join(rooted, "cls", "left").select("doc_id", "n", F.coalesce("root", "cls").alias("root"), *more)
-    least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more)
+    least = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    linked = staged(least.join(rooted, "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least"), "least")
+    of_root = staged(linked.groupBy("root").agg(F.min("least").alias("component_id")), "of-root")
+    named = staged(linked.join(of_root, "root").select("cls", "root", "component_id"), "named")
+    drop_staged(linked, of_root)
+    return sizes.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
-def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the components of 'den * intersection >= num * union'."""
-    sizes, rooted, texts = _joined(docs, words, num, den)
+def ngram_jaccard_join(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: the components of 'den * intersection >= num * union'.
+
+    bits: of the sets' classes; fewer than 64 only make a test of sets that have one class by chance.
+    """
+    sizes, rooted, texts, _ = _joined(docs, words, num, den, bits)
     drop_staged(texts)
     return _placed(sizes, rooted)
 
@@ -360,7 +398,7 @@ def class_links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
     Two documents are linked if their classes are, or if they are of one class that isn't the empty set's (cls null).
     """
-    sizes, rooted, texts = _joined(docs, words, num, den)
+    sizes, rooted, texts, _ = _joined(docs, words, num, den)
     return sizes.select("doc_id", F.when(F.col("n") > 0, F.col("cls")).alias("cls")), _compared(sizes, rooted, texts, words, num, den, True)
 
 
@@ -369,7 +407,7 @@ def ngram_jaccard_links(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     The pairs are counted where they are compared, so the rows made don't grow as the square of a group.
     """
-    sizes, rooted, texts = _joined(docs, words, num, den)
+    sizes, rooted, texts, _ = _joined(docs, words, num, den)
     linked = _compared(sizes, rooted, texts, words, num, den, False).groupBy("cls").agg(F.sum("linked").alias("linked"))
     counted = sizes.where("n > 0").groupBy("cls").agg((F.count("*") - 1).alias("same")).join(linked, "cls", "left")
     counted = staged(counted.select("cls", (F.col("same") + F.coalesce("linked", F.lit(0))).alias("n_links")), "counted")
@@ -377,22 +415,49 @@ def ngram_jaccard_links(docs: DataFrame, words: int = 5, num: int = 80, den: int
     return placed.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _own_class(words: int):
+def _own_class(words: int, bits: int, shared: frozenset[int]):
+    """(text, cls) to cls and the text, of those rows whose text has that class."""
     schema = pa.schema([("cls", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            want = batch.column(batch.schema.get_field_index("cls")).to_numpy(zero_copy_only=False)
+            text, want = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
             for i, _, data, offsets in blocks(text):
-                keep = [i + k for k, own in enumerate(shingle_sets(data, offsets, words)) if digest(own) == want[i + k]]
+                keep = [i + k for k, own in enumerate(shingle_sets(data, offsets, words)) if class_of(own, bits, shared) == want[i + k]]
                 yield pa.record_batch([pa.array(want[keep], pa.int64()), text.take(pa.array(keep, pa.int64())).cast(pa.string())], schema=schema)
 
     return run
 
 
+def _marked(words: int, at: int, shared: frozenset[int]):
+    """Rows with the class of the text in column `at` behind them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cls = [class_of(own, 64, shared) for _, _, data, offsets in blocks(batch.column(at)) for own in shingle_sets(data, offsets, words)]
+            yield pa.record_batch([*batch.columns, pa.array(cls, pa.int64())], names=[*batch.schema.names, "cls"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without near copies: of each component the row with the least doc_id stays."""
-    joined = ngram_jaccard_join(docs, words, num, den)
-    keep = joined.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """The documents without near copies: of each component one row with the least doc_id stays, as it is.
+
+    Rows without a doc_id stay. Of rows that share a doc_id each stands for its own text: if the least doc_id of a
+    component has several rows in it, the one of the least class stays.
+    """
+    sizes, rooted, texts, shared = _joined(docs, words, num, den)
+    drop_staged(texts)
+    joined, columns, own = _placed(sizes, rooted, "cls", "root"), docs.columns, fresh_name("own", docs.columns)
+    whole, none = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
+    lead = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{own}_id"), F.col("cls").alias(f"{own}_cls"))
+    if not sizes.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return whole.join(lead, F.col("doc_id") == F.col(f"{own}_id"), "left_semi").unionByName(none)
+    # Rows share a doc_id: of each component the least row by doc_id and class, and of equal rows one.
+    alone = F.when(F.col("root").isNull(), F.col("doc_id"))
+    first = joined.groupBy("root", alone.alias("alone")).agg(F.min(F.struct("doc_id", "cls")).alias("first")).select("first.doc_id", "first.cls")
+    lead = first.select(F.col("doc_id").alias(f"{own}_id"), F.col("cls").alias(f"{own}_cls")).distinct()
+    marked = whole.mapInArrow(_marked(words, columns.index("text"), shared), T.StructType([*whole.schema.fields, T.StructField(f"{own}_class", T.LongType())]))
+    kept = marked.join(lead, (F.col("doc_id") == F.col(f"{own}_id")) & (F.col(f"{own}_class") == F.col(f"{own}_cls")), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", f"{own}_class"]).drop(f"{own}_class")
+    return kept.select(*columns).unionByName(none)

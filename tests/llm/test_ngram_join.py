@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from shelfmark.llm import ngram_join
 from shelfmark.llm.ngram_join import Bands, ngram_jaccard_join, one_of_each
 
 
@@ -74,10 +76,34 @@ def test_linked_sizes_meet_in_a_band():
 
 
 def test_one_of_each_keeps_rows_and_columns(frame, prose):
-    rows = [(3, prose(40, 1)), (1, prose(40, 1) + " x"), (2, prose(40, 2)), (7, None), (8, "")]
-    out = one_of_each(frame(rows))
-    assert out.columns == frame(rows).columns
-    assert sorted(r.doc_id for r in out.collect()) == [1, 2, 7, 8]
+    rows = [(3, prose(40, 1)), (1, prose(40, 1) + " x"), (2, prose(40, 2)), (7, None), (8, ""), (None, prose(40, 1))]
+    docs = frame(rows)
+    for name in ("key", "part", "cls", "root", "own", "own_", "spans", "role", "salt", "n", "held_out", "component_id"):
+        docs = docs.withColumn(name, F.col("doc_id") * 2)
+    out = one_of_each(docs)
+    assert out.schema == docs.schema
+    assert sorted((r.doc_id or 0, r.cls or 0, r.own or 0) for r in out.collect()) == [(0, 0, 0), (1, 2, 2), (2, 4, 4), (7, 14, 14), (8, 16, 16)]
+
+
+def test_one_of_each_of_rows_that_share_an_id(frame, prose):
+    a, b, c = (prose(50, k) for k in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (3, c + " x"), (3, None), (3, ""), (4, a), (None, a), (None, a)]
+    got = sorted((r.doc_id or 0, r.text or "") for r in one_of_each(frame(rows)).collect())
+    assert got == sorted([(0, a), (0, a), (1, a), (1, b), (2, c), (3, "")])
+
+
+def test_sets_of_one_class_by_chance(frame, prose):
+    rows = near_copies(prose, 5)
+    assert sorted(map(tuple, ngram_jaccard_join(frame(rows), 5, 80, 100, bits=3).collect())) == brute(rows, 5, 80, 100)
+
+
+def test_many_members_of_a_split_part(frame, prose, monkeypatch):
+    """A passage that fills most of many documents of one size: their parts meet, they don't."""
+    monkeypatch.setattr(ngram_join, "HEAD_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "LEADERS", 6)
+    common = prose(60, 1)
+    rows = [(k, f"{common} {prose(16 + k % 3, 100 + k // 2)}") for k in range(60)]
+    assert sorted(map(tuple, ngram_jaccard_join(frame(rows)).collect())) == brute(rows, 5, 80, 100)
 
 
 def test_repeated_ids(frame, prose):
