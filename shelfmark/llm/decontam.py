@@ -14,15 +14,19 @@ bitmap of the benchmark's; places with too few hits within a passage's reach are
 (passage, diagonal) and counted in overlapping diagonal bands. Regions that reach the count are verified by alignment
 within the band, for all candidates of a batch at once.
 
-The benchmark is a stated query set. Its passages go to the workers in blocks of at most BLOCK_BYTES of text, one pass
-over the documents each, so its size has no limit.
-
-Null and empty texts and items without a q-gram match nothing. Null ids are left out. Repeated items and documents are
-reported once for each pair of ids.
+The benchmark is a stated query set. Its texts go to the workers in blocks of at most BLOCK_BYTES, one pass over the
+documents each, so its size has no limit; a worker makes a block's index itself, which takes some 150 MB for a full block.
+
+Items of fewer than Q bytes have no q-gram: they match documents that are equal to them when both are normalised. Null,
+empty and blank texts and items match nothing. Null ids are left out. Repeated items and documents are reported once for
+each pair of ids. Further columns of either table are not read, or carried along by without_contaminated, whatever their
+names. An empty table on either side gives no rows. A document is handled in one task, with some 30 bytes of arrays for
+each of its bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import blocks, mix
+from shelfmark.llm.common import blocks, fresh_name, mix
 
 Q = 8
 PASSAGE, STRIDE = 96, 48
@@ -80,11 +84,14 @@ class Passages:
     def __init__(self, items: list[tuple[int, bytes]]):
         self.item: list[int] = []
         self.text: list[np.ndarray] = []
+        self.short: dict[bytes, set[int]] = {}
         for item, raw in items:
             data = np.frombuffer(raw, np.uint8)
             own, _, _ = normalised(data, np.array([0, len(data)]))
             own = np.frombuffer(own.tobytes().strip(b" "), np.uint8)
             if len(own) < Q:
+                if len(own):
+                    self.short.setdefault(own.tobytes(), set()).add(item)
                 continue
             starts = [0] if len(own) <= PASSAGE else [*range(0, len(own) - PASSAGE, STRIDE), len(own) - PASSAGE]
             for s in starts:
@@ -95,13 +102,15 @@ class Passages:
         self.needed = np.maximum(1, self.size - Q + 1 - Q * self.edits)
         grams = [qgrams(t) for t in self.text]
         code = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        at = np.concatenate([np.arange(len(g), dtype=np.int16) for g in grams]) if grams else np.zeros(0, np.int16)
         order = np.argsort(code, kind="stable")
-        self.code, self.owner, self.at = code[order], owner[order].astype(np.int64), at[order].astype(np.int64)
-        self.bits = max(16, int(np.ceil(np.log2(max(len(code), 1) * 64))))
-        self.bitmap = np.zeros(1 << self.bits, bool)
-        self.bitmap[self._slot(self.code)] = True
+        self.code, self.owner, self.at = code[order], owner[order], at[order]
+        distinct = self.code[np.concatenate([[True], self.code[1:] != self.code[:-1]])] if len(code) else self.code
+        self.bits = max(16, int(np.ceil(np.log2(max(len(distinct), 1) * 64))))
+        self.bitmap = np.zeros(1 << (self.bits - 3), np.uint8)
+        slot = self._slot(distinct)
+        np.bitwise_or.at(self.bitmap, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
         #: The least count and the longest reach of any passage, for the sieve that knows no passage.
         self.least = int(self.needed.min()) if len(self.needed) else 1
         self.reach = int((self.size + self.edits).max()) if len(self.size) else 1
@@ -115,7 +124,8 @@ class Passages:
         code = qgrams(data)
         if not len(code) or not len(self.code):
             return none
-        hit = self.bitmap[self._slot(code)]
+        slot = self._slot(code)
+        hit = (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
         doc_end = offsets[1:]
         place = np.flatnonzero(hit)
         doc = np.searchsorted(doc_end, place, "right")
@@ -134,7 +144,7 @@ class Passages:
         count = right - left
         which = np.repeat(np.arange(len(place)), count)
         entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-        passage, diagonal = self.owner[entry], place[which] - self.at[entry]
+        passage, diagonal = self.owner[entry].astype(np.int64), place[which] - self.at[entry]
         band = diagonal // (self.edits[passage] + 1) + 1
         # One integer for (document, passage, band); it also stands for band - 1, its overlapping neighbour.
         bands = len(data) + 3
@@ -187,15 +197,32 @@ def _align(data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray
     return cost[np.arange(lanes), best], low + best + n
 
 
-def _hits(passages) -> callable:
+#: The index of the block that this worker process made last.
+_MADE: dict[int, Passages] = {}
+
+
+def _index_of(items) -> Passages:
+    """The index of a broadcast block of items, made once in a worker process."""
+    if items.value[0] not in _MADE:
+        _MADE.clear()
+        _MADE[items.value[0]] = Passages(items.value[1])
+    return _MADE[items.value[0]]
+
+
+def _hits(items):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = passages.value
+        index = _index_of(items)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _, raw, raw_offsets in blocks(batch.column(1)):
                 data, offsets, place = normalised(raw, raw_offsets)
+                if index.short:
+                    few = [(int(d), own.strip(b" ")) for d in np.flatnonzero(np.diff(offsets) < Q + 2) if (own := data[offsets[d] : offsets[d + 1]].tobytes())]
+                    same = [(int(ids[i + d]), item, 0, 0, int(raw_offsets[d + 1] - raw_offsets[d])) for d, own in few for item in sorted(index.short.get(own, ()))]
+                    if same:
+                        yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*same, strict=True)], schema=schema)
                 doc, passage, band = index.candidates(data, offsets)
                 if not len(doc):
                     continue
@@ -234,12 +261,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
     found = []
     for own in in_blocks(((r.item_id, r.text) for r in items.toLocalIterator()), block_bytes):
-        index = spark.sparkContext.broadcast(Passages(own))
-        found.append(docs.mapInArrow(_hits(index), "doc_id long, item_id long, edits long, begin long, end long"))
+        block = spark.sparkContext.broadcast((uuid.uuid4().int, own))
+        found.append(docs.mapInArrow(_hits(block), "doc_id long, item_id long, edits long, begin long, end long"))
     rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "doc_id long, item_id long, edits long, begin long, end long")
     return rows.groupBy("doc_id", "item_id").agg(F.count("*").alias("passages"), F.min("edits").alias("edits"), F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, as they are, that hold no passage of the benchmark."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    own = fresh_name("hit", docs.columns)
+    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(hit, F.col("doc_id") == F.col(own), "left_anti")

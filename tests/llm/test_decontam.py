@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.llm.decontam import PASSAGE, STRIDE, Passages, Q, budget_of, contaminated, without_contaminated
 
@@ -39,6 +40,7 @@ def brute(docs, items):
     for item, raw in items:
         own = fold(raw).strip(b" ")
         if len(own) < Q:
+            out |= {(d, item) for d, text in docs if own and fold(text).strip(b" ") == own}
             continue
         starts = [0] if len(own) <= PASSAGE else [*range(0, len(own) - PASSAGE, STRIDE), len(own) - PASSAGE]
         for d, text in docs:
@@ -80,9 +82,25 @@ def test_odd_rows(spark, frame, prose):
     long = prose(60_000, 6) + " " + item.replace(" ", "\n\t") + " " + prose(1000, 7)
     docs = [(1, None), (2, ""), (3, "abc"), (4, item), (4, item), (5, long), (6, prose(500, 11)), (7, f"x{prose(3, 8)}y"), (None, item)]
     got = sorted((r.doc_id, r.item_id) for r in contaminated(frame(docs), spark.createDataFrame(items, ITEMS)).collect())
-    assert got == [(4, 1), (5, 1), (7, 5)]
+    assert got == [(3, 4), (4, 1), (5, 1), (7, 5)]
     kept = without_contaminated(frame(docs), spark.createDataFrame(items, ITEMS))
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 3, 6, None]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 6, None]
+
+
+def test_items_without_a_qgram_match_equal_documents(spark, frame):
+    items = [(1, "Abc"), (2, " abc\n"), (3, "a\tb"), (4, "ÉÀ"), (5, "1234567"), (6, "12345678")]
+    docs = [(1, "abc"), (2, "  ABC "), (3, "abcd"), (4, "a  b"), (5, "éà"), (6, "1234567"), (7, "12345678"), (8, "x 1234567"), (9, ""), (10, " ")]
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(docs), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == brute(docs, items) >= {(1, 1), (2, 2), (4, 3), (5, 4), (6, 5), (7, 6)}
+
+
+def test_columns_named_like_the_operators_own(spark, frame, prose):
+    items = spark.createDataFrame([(k, prose(30, k), k) for k in range(9)], ITEMS + ", hit long").withColumn("doc_id", F.lit(1))
+    docs = frame([(k, prose(20, 99 + k) + " " + prose(30, k)) for k in range(24)])
+    for name in ("hit", "hit_", "item_id", "begin", "key", "part", "cls", "spans"):
+        docs = docs.withColumn(name, F.col("doc_id") + 1)
+    out = without_contaminated(docs, items)
+    assert out.schema == docs.schema and sorted((r.doc_id, r.hit) for r in out.collect()) == [(k, k + 1) for k in range(9, 24)]
 
 
 def test_blocks_do_not_change_the_result(spark, frame, prose):
