@@ -15,6 +15,9 @@ EDITIONS = ["deluxe", "expanded", "illustrated", "limited", "revised", "special"
 BADGES = ["new", "hot", "best", "sale"]
 #: Corporate words that are no part of a publisher's name, the longest first.
 CORPORATE = ["publishing", "publishers", "press", "books", "inc", "ltd"]
+#: Words before an amount that tell that it is no price, and words behind one that make it a condition; own vocabulary.
+PROMOTION = ["points", "coupon", "mileage", "gift", "delivery", "event", "benefit", "voucher"]
+CONDITION = ["or more", "or less", "or over", "within", "under", "from"]
 _BRACKETS = r"\([^()]*\)|\[[^\[\]]*\]"
 
 
@@ -105,14 +108,16 @@ def parse_year_month(text: Column) -> Column:
     return F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0")))
 
 
-def parse_prices(text: Column, currency: str = "won", low: int = 1000, high: int = 2_000_000) -> Column:
+def parse_prices(text: Column, currency: str = "won", low: int = 1000, high: int = 2_000_000, before: int = 14) -> Column:
     """struct(list_price, sale_price): the larger and the smaller of the first two amounts.
 
-    Amounts followed by 'or more', or outside low to high, are no prices.
+    Amounts that a condition ('or more') follows, that a word of PROMOTION stands within `before` characters before, or that
+    lie outside low to high, are no prices.
     """
-    found = F.regexp_extract_all(text, F.lit(rf"(\d[\d,]{{0,12}} ?{currency}(?: or more)?)"), 1)
-    good = F.filter(found, lambda x: ~F.endswith(x, F.lit("or more")))
-    amounts = F.transform(good, lambda x: F.regexp_replace(x, r"[^0-9]", "").cast("long"))
+    promotion = "|".join(rf"{w}[\s\S]{{0,{before - len(w)}}}" for w in PROMOTION)
+    after = "|".join(CONDITION)
+    found = F.regexp_extract_all(text, F.lit(rf"((?<![\d,])(?<!{promotion})\d[\d,]{{0,12}} ?{currency}(?!\s*(?:{after})))"), 1)
+    amounts = F.transform(found, lambda x: F.regexp_replace(x, r"[^0-9]", "").cast("long"))
     two = F.slice(F.filter(amounts, lambda x: x.between(low, high)), 1, 2)
     return F.struct(F.array_max(two).alias("list_price"), F.array_min(two).alias("sale_price"))
 

@@ -12,7 +12,7 @@ from shelfmark.operators.ranking import period
 def book_history(rankings: DataFrame, store_books: DataFrame, book_ids: list[int]) -> DataFrame:
     """Best row for each book, date, store, period and category. Days without data have no row."""
     own = store_books.where(F.col("book_id").isin(book_ids)).select("store_book_id", "book_id")
-    rows = rankings.join(F.broadcast(own), "store_book_id").withColumn("period", period(F.col("kind")))
+    rows = rankings.join(own, "store_book_id").withColumn("period", period(F.col("kind")))
     best = F.min_by(F.struct("rank", "sales_point"), F.struct("rank", "kind", "store_book_id")).alias("best")
     return rows.groupBy("book_id", "snapshot_date", "store_id", "period", "unified").agg(best).select("book_id", "snapshot_date", "store_id", "period", "unified", "best.rank", "best.sales_point")
 
@@ -82,6 +82,11 @@ def scaled(value: Column, full: float) -> Column:
     return F.least(F.lit(100.0), value * 100.0 / full)
 
 
+def tone(percent: Column) -> Column:
+    """bad from 90 percent, warn from 75, else ok; null stays null."""
+    return F.when(percent >= 90, "bad").when(percent >= 75, "warn").when(percent.isNotNull(), "ok")
+
+
 def month_index(ym: Column) -> Column:
     """12 * year + month of 'YYYY-MM'; null if it isn't one."""
     ok = F.regexp_like(ym, F.lit(r"^\d{4}-(0[1-9]|1[0-2])$"))

@@ -37,7 +37,7 @@ def twin_lists(rankings: DataFrame, keys: list[str], item: str) -> DataFrame:
 
     A fingerprint is the size and two sums of item hashes, so no list is gathered into one value.
     """
-    lists = rankings.groupBy(*keys).agg(F.count_distinct(item).alias("n"), F.sum(F.xxhash64(item).cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(item, F.lit(1)).cast("decimal(38,0)")).alias("t"))
+    lists = rankings.select(*keys, item).distinct().groupBy(*keys).agg(F.count(item).alias("n"), F.sum(F.xxhash64(item).cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64(item, F.lit(1)).cast("decimal(38,0)")).alias("t"))
     same = W.partitionBy("n", "s", "t")
     return lists.withColumn("twins", F.count("*").over(same)).where("twins > 1").drop("s", "t")
 

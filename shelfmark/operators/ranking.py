@@ -75,18 +75,18 @@ def name_ranking(rows: DataFrame, books: DataFrame, name: Column, depth: int, li
     """name, books, best, score, titles: publishers or authors by the sum of depth + 1 - avg_rank over their books."""
     own = combined_rows(rows).join(books, "book_id").withColumn("name", name).where("name IS NOT NULL AND name <> ''")
     points = F.greatest(F.lit(0.0), F.lit(float(depth + 1)) - F.col("avg_rank"))
-    # Three titles are kept for each name as they come, so a name with very many books stays small.
+    figures = own.groupBy("name").agg(F.countDistinct("book_id").alias("books"), F.min("avg_rank").alias("best"), half_up(F.sum(points.cast("decimal(18,1)")), 0).cast("long").alias("score"))
+    top = figures.orderBy(F.desc("score"), "best", "name").limit(clamp(limit, 1, 300))
+    # The first three titles of the few names that are shown; the limit by place is applied before the rows are dealt out.
     order = W.partitionBy("name").orderBy("avg_rank", "book_id")
-    out = own.withColumn("place", F.row_number().over(order)).groupBy("name").agg(
-        F.countDistinct("book_id").alias("books"), F.min("avg_rank").alias("best"), half_up(F.sum(points.cast("decimal(18,1)")), 0).cast("long").alias("score"),
-        F.concat_ws(" / ", F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "title")))), lambda x: x["title"])).alias("titles"),
-    )
-    return out.orderBy(F.desc("score"), "best", "name").limit(clamp(limit, 1, 300))
+    first = own.join(F.broadcast(top.select("name")), "name", "left_semi").withColumn("place", F.row_number().over(order)).where("place <= 3")
+    titles = first.groupBy("name").agg(F.concat_ws(" / ", F.transform(F.sort_array(F.collect_list(F.struct("place", "title"))), lambda x: x["title"])).alias("titles"))
+    return top.join(titles, "name").orderBy(F.desc("score"), "best", "name")
 
 
 def publisher_name(column: str = "publisher") -> Column:
     """A publisher without corporate markers."""
-    return F.nullif(F.trim(F.regexp_replace(column, r"\(주\)|㈜|\b(?:Inc|Ltd|Co)\.", "")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(column, r"\b(?:Inc|Ltd|Co)\.", "")), F.lit(""))
 
 
 def category_share(rankings: DataFrame, store_books: DataFrame, date: str, of: str = "daily", top: int = 100) -> DataFrame:
@@ -127,8 +127,10 @@ def category_rank_change(rankings: DataFrame, date: str) -> DataFrame:
     """
     keys = ["store_id", "kind", "unified"]
     dates = previous_dates(rankings, keys).where(F.col("snapshot_date") == F.lit(date).cast("date"))
-    today = rankings.where(F.col("snapshot_date") == F.lit(date).cast("date")).join(F.broadcast(dates.drop("snapshot_date")), keys)
-    before = rankings.select(*keys, F.col("snapshot_date").alias("previous"), "store_book_id", F.col("rank").alias("old_rank"))
+    # A few dates at most, which reach the scan of the earlier lists as a filter.
+    asked = [r.previous for r in dates.where("previous IS NOT NULL").select("previous").distinct().collect()]
+    today = rankings.where(F.col("snapshot_date") == F.lit(date).cast("date")).join(dates.drop("snapshot_date"), keys)
+    before = rankings.where(F.col("snapshot_date").isin(asked) if asked else F.lit(False)).select(*keys, F.col("snapshot_date").alias("previous"), "store_book_id", F.col("rank").alias("old_rank"))
     out = today.join(before, [*keys, "previous", "store_book_id"], "left")
     return out.withColumn("change", F.col("old_rank") - F.col("rank")).withColumn("is_new", F.col("previous").isNotNull() & F.col("old_rank").isNull())
 
@@ -157,12 +159,12 @@ def combined_rank_change(today: DataFrame, before: DataFrame, min_stores: int =
     )
 
 
-def report_changes(rankings: DataFrame, store_books: DataFrame, date: str, depth: int = 300, limit: int = 100, big: int = 5) -> DataFrame:
-    """book_id, position, old_position, mark (new, up, down) against the calendar's previous month's list.
+def report_changes(rankings: DataFrame, store_books: DataFrame, date: str, depth: int = 300, limit: int = 100, big: int = 5, before: str | None = None) -> DataFrame:
+    """book_id, position, old_position, mark (new, up, down) against the calendar's day before, or the list of `before`.
 
-    No rows if that list is empty.
+    No rows if that list is empty, even if there is an older one.
     """
-    yesterday = F.add_months(F.lit(date).cast("date"), -1)
+    yesterday = F.lit(before).cast("date") if before else F.date_sub(F.lit(date).cast("date"), 1)
     lists = [positions(listed(rankings.where(F.col("snapshot_date") == day), store_books, None, depth=depth), 1, limit) for day in (F.lit(date).cast("date"), yesterday)]
     some = lists[1].agg((F.count("*") > 0).alias("some"))
     out = lists[0].join(lists[1].withColumnRenamed("position", "old_position"), "book_id", "left").crossJoin(F.broadcast(some)).where("some").drop("some")

@@ -22,8 +22,8 @@ def search_merged(term: str, books: DataFrame, rankings: DataFrame, store_books:
     The first `most` hits by id are looked up; the order makes the cut deterministic.
     """
     hit = books.where(contains(term, "title", "author", "publisher")).select("book_id", "title", "author", "publisher").orderBy("book_id").limit(most)
-    items = store_books.join(F.broadcast(hit.select("book_id")), "book_id").select("store_book_id", "book_id")
-    seen = rankings.where("kind <> 'offline'").join(F.broadcast(items), "store_book_id").groupBy("book_id").agg(
+    items = store_books.join(hit.select("book_id"), "book_id").select("store_book_id", "book_id")
+    seen = rankings.where("kind <> 'offline'").join(items, "store_book_id").groupBy("book_id").agg(
         F.array_join(F.sort_array(F.collect_set("store_id")).cast("array<string>"), ",").alias("stores"), F.max("snapshot_date").alias("last_seen"), F.min("rank").alias("best"))
     starts = F.startswith(F.lower("title"), F.lit(term.lower()))
     return hit.join(seen, "book_id", "left").orderBy(starts.desc(), F.desc_nulls_last("last_seen"), F.asc_nulls_last("best"), "book_id").limit(clamp(limit, 1, 200))

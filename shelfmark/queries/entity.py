@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import bigrams, jaccard
 from shelfmark.operators import clusters as C
 from shelfmark.operators import matching as M
+from shelfmark.operators import names as N
 from shelfmark.plans import adapter as A
 from shelfmark.plans.staging import staged
 from shelfmark.queries.registry import query
@@ -67,6 +68,12 @@ def match_scores(spark, d):
     return _scored(spark, d)
 
 
+@query(_PAIRS + " SELECT key, count(*) AS items FROM keyed GROUP BY key HAVING count(*) > 400")
+def dropped_blocks(spark, d):
+    """Blocks too large to be compared, which the matching leaves out."""
+    return M.dropped_blocks(A.match_items(spark, d))
+
+
 @query()
 def reject_reasons(spark, d):
     return M.reject_reasons(_scored(spark, d))
@@ -90,15 +97,59 @@ def representative(spark, d):
     return C.representative(_members(spark, d), A.match_items(spark, d), ["title", "author", "publisher", "list_price"])
 
 
-@query(recursive(_CLUSTERS + """, wanted AS (SELECT book_id, min(root) AS root FROM members JOIN match_items USING (id) WHERE book_id IS NOT NULL GROUP BY book_id)
-SELECT m.root, min(w.book_id) AS book_id FROM (SELECT DISTINCT root FROM members) m LEFT JOIN wanted w USING (root) GROUP BY m.root"""), derived=False)
+#: Which book an item had: some have that of the next part, so that clusters meet in books.
+_KNOWN = "known AS (SELECT id, CASE WHEN id % 4 = 1 THEN book_id + 1 ELSE book_id END AS book_id FROM match_items WHERE book_id IS NOT NULL)"
+
+
+@query(recursive(_CLUSTERS + f""", {_KNOWN}, roots AS (SELECT DISTINCT root FROM members),
+wanted AS (SELECT root, list_sort(list(DISTINCT book_id)) AS books, row_number() OVER (ORDER BY root) AS i FROM members JOIN known USING (id) GROUP BY root),
+walk(i, root, pick, taken) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n.i, n.root, list_filter(n.books, lambda x: NOT list_contains(w.taken, x))[1], list_append(w.taken[-40:], list_filter(n.books, lambda x: NOT list_contains(w.taken, x))[1])
+  FROM walk w JOIN wanted n ON n.i = w.i + 1)
+SELECT r.root, pick AS book_id FROM roots r LEFT JOIN walk USING (root)"""), derived=False)
 def master_keys(spark, d):
-    return C.master_keys(_members(spark, d), A.match_items(spark, d).select("id", "book_id"))
+    """In order of the roots, each cluster takes the least book that none before it took. Books that far apart clusters
+    share there are none here, so the SQL remembers the last 40 that were taken."""
+    book = F.when(F.col("id") % 4 == 1, F.col("book_id") + 1).otherwise(F.col("book_id"))
+    return C.master_keys(_members(spark, d), A.match_items(spark, d).select("id", book.alias("book_id")))
 
 
-@query(recursive(_CLUSTERS + " SELECT root, array_to_string(list_sort(list(DISTINCT publisher)), ',') AS publishers, count(DISTINCT publisher) AS n FROM members JOIN match_items USING (id) WHERE publisher IS NOT NULL GROUP BY root HAVING count(DISTINCT publisher) > 1"), derived=False)
+def _told_items(spark, d):
+    """Items with publishers of which some contradict, some are spelt in brackets."""
+    k, s, p = F.col("part"), F.col("store_id"), F.col("publisher")
+    name = F.when((s == 3) & (k % 13 == 0), F.reverse(p)).when((s == 2) & (k % 13 == 0) & (k % 2 == 0), F.concat(F.reverse(p), F.lit("("), p, F.lit(")"))).otherwise(p)
+    return A.match_items(spark, d).withColumn("publisher", name)
+
+
+@query(recursive(_CLUSTERS + """, told AS (SELECT id, publisher, CASE WHEN store_id = 3 AND part % 13 = 0 THEN reverse(publisher) WHEN store_id = 2 AND part % 13 = 0 AND part % 2 = 0 THEN reverse(publisher) || '(' || publisher || ')' ELSE publisher END AS name,
+store_id = 3 AND part % 13 = 0 AS turned, store_id = 2 AND part % 13 = 0 AND part % 2 = 0 AS bridge FROM match_items WHERE publisher IS NOT NULL),
+own AS (SELECT m.root, t.* FROM members m JOIN told t USING (id)),
+by_hand AS (SELECT DISTINCT x.root FROM links l JOIN own x ON x.id = l.a JOIN own y ON y.id = l.b WHERE decision = 'manual_merge' AND x.root = y.root AND x.turned <> y.turned)
+SELECT root, array_to_string(list_sort(list(DISTINCT name)), ',') AS publishers, CAST(2 AS BIGINT) AS n FROM own GROUP BY root
+HAVING bool_or(turned) AND NOT bool_and(turned) AND NOT bool_or(bridge) AND root NOT IN (SELECT root FROM by_hand)"""), derived=False)
 def publisher_conflicts(spark, d):
-    return C.publisher_conflicts(_members(spark, d), A.match_items(spark, d))
+    """A name and the same backwards are two sides, unless a third tells both, or a person joined them."""
+    return C.publisher_conflicts(_members(spark, d), _told_items(spark, d), _manual(spark, d))
+
+
+@query(recursive(_CLUSTERS + """, told AS (SELECT id, CASE WHEN publisher IS NULL THEN NULL ELSE store_id = 3 AND part % 13 = 0 END AS side FROM match_items),
+own AS (SELECT m.id, m.root, t.side FROM members m JOIN told t USING (id)),
+several AS (SELECT root FROM own GROUP BY root HAVING count(DISTINCT side) > 1),
+first_of AS (SELECT root, side, min(id) AS part FROM own WHERE side IS NOT NULL GROUP BY ALL),
+both_ends AS (SELECT a AS id, b AS other, score FROM links UNION ALL SELECT b, a, score FROM links),
+led AS (SELECT o.id, arg_max(f.part, (e.score, -e.other)) AS part FROM own o JOIN both_ends e USING (id) JOIN own p ON p.id = e.other AND p.root = o.root AND p.side IS NOT NULL JOIN first_of f ON f.root = p.root AND f.side = p.side WHERE o.side IS NULL GROUP BY o.id),
+parts AS (SELECT o.id, CASE WHEN o.root NOT IN (SELECT root FROM several) THEN o.root WHEN o.side IS NOT NULL THEN f.part ELSE coalesce(l.part, o.id) END AS part FROM own o LEFT JOIN first_of f ON f.root = o.root AND f.side = o.side LEFT JOIN led l ON l.id = o.id)
+SELECT id, min(id) OVER (PARTITION BY part) AS root FROM parts"""), derived=False)
+def split_by_publisher(spark, d):
+    """Clusters split by sides of publishers; items without one go with their best link."""
+    k, s = F.col("part"), F.col("store_id")
+    items = A.match_items(spark, d).withColumn("publisher", F.when((s == 3) & (k % 13 == 0), F.reverse("publisher")).otherwise(F.col("publisher")))
+    members = _members(spark, d)
+    own = members.join(items.select("id", "publisher"), "id")
+    by_name = own.join(N.sides(own, "root", "publisher"), ["root", "publisher"]).select("id", "side")
+    return C.split_by_sides(members, by_name, _links(spark, d))
 
 
 @query(recursive(_CLUSTERS + " SELECT l.a, l.b, l.score, l.decision FROM links l JOIN members x ON x.id = l.a JOIN members y ON y.id = l.b WHERE x.root = y.root"), derived=False)
@@ -106,13 +157,25 @@ def kept_links(spark, d):
     return C.kept_links(_links(spark, d).select("a", "b", "score", "decision"), _members(spark, d))
 
 
-@query("""raw AS (SELECT part % 97 AS k, CASE store_id WHEN 1 THEN 'A' || part % 97 WHEN 2 THEN 'A ' || part % 97 ELSE 'A' || part % 97 || CASE WHEN part % 3 = 0 THEN '.' ELSE '' END END AS r FROM match_items),
-counted AS (SELECT k, r, count(*) AS n FROM raw GROUP BY ALL)
-SELECT k, arg_min(r, (-n, length(r), r)) AS display, count(*) AS spellings FROM counted GROUP BY k""")
+_SPELT = """raw AS (SELECT CASE store_id WHEN 1 THEN lower(p.brand) WHEN 2 THEN CASE WHEN part % 2 = 0 THEN lower(p.brand) || '(h' || substr(p.brand, 7) || ')' ELSE lower(p.brand) || '(만화)' END ELSE CASE WHEN part % 4 = 0 THEN 'h' || substr(p.brand, 7) ELSE lower(p.brand) END END AS k,
+CASE WHEN store_id = 3 AND part % 8 = 0 THEN upper(p.brand) WHEN store_id = 2 THEN p.brand || ' (h)' ELSE p.brand END AS raw FROM match_items m JOIN (SELECT p_partkey AS b, p_brand AS brand FROM part) p ON p.b = m.part)"""
+
+
+@query(_SPELT.replace("raw AS", "raw AS", 1) + """,
+forms AS (SELECT k, raw, count(*) AS n FROM raw GROUP BY ALL), keys AS (SELECT DISTINCT k FROM forms),
+houses AS (SELECT k, CASE WHEN k LIKE 'h%' THEN 'brand#' || substr(k, 2) WHEN contains(k, '(') THEN split_part(k, '(', 1) ELSE k END AS house FROM keys),
+used AS (SELECT house, raw, sum(n) AS n FROM forms JOIN houses USING (k) GROUP BY ALL),
+shown AS (SELECT house, arg_min(raw, (contains(raw, '('), -n, length(raw), raw)) AS display, count(*) AS spellings FROM used GROUP BY house)
+SELECT k, CASE WHEN house = 'brand#1' THEN 'House One' ELSE display END AS display, spellings FROM houses JOIN shown USING (house)""")
 def canonical_names(spark, d):
-    k, s = (F.col("part") % 97), F.col("store_id")
-    raw = F.when(s == 1, F.concat(F.lit("A"), k.cast("string"))).when(s == 2, F.concat(F.lit("A "), k.cast("string"))).otherwise(F.concat(F.lit("A"), k.cast("string"), F.when(F.col("part") % 3 == 0, ".").otherwise("")))
-    return C.canonical_names(A.match_items(spark, d).select(k.alias("k"), raw.alias("r")), "k", "r")
+    """Publishers under several spellings, some of which tell others in brackets, and one that a person named."""
+    k, s, p = F.col("part"), F.col("store_id"), F.col("p_brand")
+    low, short = F.lower(p), F.concat(F.lit("h"), F.substring(p, 7, 100))
+    key = F.when(s == 1, low).when((s == 2) & (k % 2 == 0), F.concat(low, F.lit("("), short, F.lit(")"))).when(s == 2, F.concat(low, F.lit("(만화)"))).when(k % 4 == 0, short).otherwise(low)
+    raw = F.when((s == 3) & (k % 8 == 0), F.upper(p)).when(s == 2, F.concat(p, F.lit(" (h)"))).otherwise(p)
+    brands = A.table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_brand")
+    rows = A.match_items(spark, d).select("part", "store_id").join(brands, "part")
+    return N.canonical_names(rows.select(key.alias("k"), raw.alias("r")), "k", "r", {"brand#1": "House One"})
 
 
 @query()

@@ -32,7 +32,7 @@ def isbn_coverage(spark, d):
     return X.coverage(A.match_items(spark, d))
 
 
-@query("""SELECT x.store_id AS store_a, y.store_id AS store_b, count(*) AS pairs, count(*) FILTER (x.title = y.title) AS same_title, count(*) FILTER (x.list_price = y.list_price) AS same_price
+@query("""SELECT x.store_id AS store_a, y.store_id AS store_b, count(*) AS pairs, count(*) FILTER (x.title = y.title) AS same_title, count(*) FILTER (starts_with(x.title, y.title) OR starts_with(y.title, x.title)) AS alike_title, count(*) FILTER (x.list_price = y.list_price) AS same_price
 FROM match_items x JOIN match_items y ON x.isbn13 = y.isbn13 AND x.store_id < y.store_id GROUP BY ALL""")
 def isbn_agreement(spark, d):
     return X.agreement(A.match_items(spark, d))

@@ -43,11 +43,11 @@ def count_floor(spark, d):
     return today.select("log_id", "items", "baseline", I.count_floor(F.col("baseline"), F.lit(40), F.col("finished").isNotNull()).alias("floor"))
 
 
-@query("""tops AS (SELECT snapshot_date, store_id, kind, unified, list_sort(list(DISTINCT part)) AS items FROM rankings WHERE rank <= 3 GROUP BY ALL)
-SELECT snapshot_date, store_id, kind, unified, CAST(len(items) AS BIGINT) AS n, count(*) OVER (PARTITION BY items) AS twins FROM tops QUALIFY twins > 1""")
+@query("""lists_of AS (SELECT snapshot_date, store_id, kind, unified, list_sort(list(DISTINCT part % 40)) AS items FROM rankings GROUP BY ALL)
+SELECT snapshot_date, store_id, kind, unified, CAST(len(items) AS BIGINT) AS n, count(*) OVER (PARTITION BY items) AS twins FROM lists_of QUALIFY twins > 1""")
 def twin_lists(spark, d):
-    """Lists with the same first three items; twin_lists_whole compares whole lists."""
-    return I.twin_lists(A.rankings(spark, d).where("rank <= 3"), ["snapshot_date", "store_id", "kind", "unified"], "part")
+    """Whole lists of part families that are the same; twin_lists_whole compares the parts themselves."""
+    return I.twin_lists(A.rankings(spark, d).withColumn("family", F.col("part") % 40), ["snapshot_date", "store_id", "kind", "unified"], "family")
 
 
 @query("""lists_of AS (SELECT snapshot_date, store_id, kind, unified, list_sort(list(DISTINCT part)) AS items FROM rankings GROUP BY ALL)
@@ -56,26 +56,27 @@ def twin_lists_whole(spark, d):
     return I.twin_lists(A.rankings(spark, d), ["snapshot_date", "store_id", "kind", "unified"], "part")
 
 
-@query("""noisy AS (SELECT snapshot_date, store_id, rank, CASE WHEN rank % 9 = 0 AND store_id = 2 THEN 0 WHEN rank % 50 = 0 THEN 1 ELSE part END AS item FROM rankings WHERE kind = 'online' AND unified = 'all'),
-own AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date, store_id, item ORDER BY rank) AS k FROM noisy),
-rated AS (SELECT *, count(*) FILTER (k > 1) OVER (PARTITION BY snapshot_date, store_id) / count(*) OVER (PARTITION BY snapshot_date, store_id) > 0.1 AS failed FROM own)
-SELECT snapshot_date, store_id, rank, item, failed FROM rated WHERE k = 1""")
+@query("""noisy AS (SELECT snapshot_date, store_id, rank, CASE WHEN rank % 9 = 0 AND store_id = 2 THEN 0 WHEN rank % 50 = 0 THEN 1 ELSE part END AS item, kind, unified FROM rankings),
+own AS (SELECT *, row_number() OVER (PARTITION BY snapshot_date, store_id, kind, unified, item ORDER BY rank) AS k FROM noisy),
+rated AS (SELECT *, count(*) FILTER (k > 1) OVER (PARTITION BY snapshot_date, store_id, kind, unified) / count(*) OVER (PARTITION BY snapshot_date, store_id, kind, unified) > 0.1 AS failed FROM own)
+SELECT snapshot_date, store_id, kind, unified, rank, item, failed FROM rated WHERE k = 1""")
 def dedupe_ranks(spark, d):
     item = F.when((F.col("rank") % 9 == 0) & (F.col("store_id") == 2), 0).when(F.col("rank") % 50 == 0, 1).otherwise(F.col("part"))
-    rows = A.rankings(spark, d).where("kind = 'online' AND unified = 'all'").select("snapshot_date", "store_id", "rank", item.alias("item"))
-    return I.dedupe_ranks(rows, ["snapshot_date", "store_id"], "item", "rank")
+    keys = ["snapshot_date", "store_id", "kind", "unified"]
+    return I.dedupe_ranks(A.rankings(spark, d).select(*keys, "rank", item.alias("item")), keys, "item", "rank")
 
 
-@query("""pages_of AS (SELECT snapshot_date, store_id, CAST((rank - 1) // 20 + 1 AS INTEGER) AS page, CASE WHEN (rank - 1) // 20 = 2 AND rank % 2 = 0 THEN rank % 20 ELSE part + 1000 END AS item FROM rankings WHERE kind = 'online' AND unified = 'all'),
-firsts AS (SELECT snapshot_date, store_id, item, min(page) AS first_page FROM pages_of GROUP BY ALL)
-SELECT snapshot_date, store_id, page, count(*) AS n, count(*) FILTER (first_page < page) AS again FROM (SELECT * FROM pages_of UNION ALL SELECT snapshot_date, store_id, 4, item FROM pages_of WHERE page = 1) JOIN (SELECT snapshot_date, store_id, item, first_page FROM firsts) USING (snapshot_date, store_id, item)
+@query("""pages_of AS (SELECT snapshot_date, store_id, kind, unified, CAST((rank - 1) // 20 + 1 AS INTEGER) AS page, CASE WHEN (rank - 1) // 20 = 2 AND rank % 2 = 0 THEN rank % 20 ELSE part + 1000 END AS item FROM rankings),
+firsts AS (SELECT snapshot_date, store_id, kind, unified, item, min(page) AS first_page FROM pages_of GROUP BY ALL)
+SELECT snapshot_date, store_id, kind, unified, page, count(*) AS n, count(*) FILTER (first_page < page) AS again FROM (SELECT * FROM pages_of UNION ALL SELECT snapshot_date, store_id, kind, unified, 4, item FROM pages_of WHERE page = 1) JOIN firsts USING (snapshot_date, store_id, kind, unified, item)
 GROUP BY ALL HAVING count(*) FILTER (first_page < page) >= count(*) * 0.3""")
 def recycled_pages(spark, d):
     page = F.floor((F.col("rank") - 1) / 20).cast("int") + 1
     item = F.when((page == 3) & (F.col("rank") % 2 == 0), F.col("rank") % 20).otherwise(F.col("part") + 1000)
-    rows = A.rankings(spark, d).where("kind = 'online' AND unified = 'all'").select("snapshot_date", "store_id", page.alias("page"), item.alias("item"))
+    keys = ["snapshot_date", "store_id", "kind", "unified"]
+    rows = A.rankings(spark, d).select(*keys, page.alias("page"), item.alias("item"))
     again = rows.where("page = 1").withColumn("page", F.lit(4))
-    return I.recycled_pages(rows.unionByName(again), ["snapshot_date", "store_id"], "page", "item")
+    return I.recycled_pages(rows.unionByName(again), keys, "page", "item")
 
 
 @query(f"SELECT store_id FROM (VALUES (1), (2), (3)) s(store_id) WHERE store_id NOT IN (SELECT store_id FROM crawl_logs WHERE snapshot_date = DATE '{TODAY}' AND status = 'success' GROUP BY 1 HAVING sum(items) >= 4300)")

@@ -58,18 +58,17 @@ def growth_projection(spark, d):
     return P.projection(P.growth(A.rankings(spark, d), "store_book_id", "snapshot_date"), "snapshot_date")
 
 
-@query("""own AS (SELECT store_book_id, snapshot_date, rank, sales_point, row_number() OVER w AS k, lag(rank) OVER w AS r0, lag(sales_point) OVER w AS s0 FROM rankings WHERE kind = 'online' AND unified = 'all' WINDOW w AS (PARTITION BY store_book_id ORDER BY snapshot_date))
+@query("""own AS (SELECT store_book_id, snapshot_date, rank, sales_point, row_number() OVER w AS k, lag(rank) OVER w AS r0, lag(sales_point) OVER w AS s0 FROM rankings WINDOW w AS (PARTITION BY store_book_id, kind, unified ORDER BY snapshot_date))
 SELECT snapshot_date, count(*) FILTER (k = 1) AS first_rows, count(*) FILTER (k > 1 AND rank IS NOT DISTINCT FROM r0 AND sales_point IS NOT DISTINCT FROM s0) AS same_rows, count(*) AS n FROM own GROUP BY 1""")
 def unchanged_rows(spark, d):
-    rows = A.rankings(spark, d).where("kind = 'online' AND unified = 'all'")
-    out = P.unchanged(rows, ["store_book_id"], "snapshot_date", ["rank", "sales_point"])
+    out = P.unchanged(A.rankings(spark, d), ["store_book_id", "kind", "unified"], "snapshot_date", ["rank", "sales_point"])
     return out.groupBy("snapshot_date").agg(F.count_if("first").alias("first_rows"), F.count_if("same").alias("same_rows"), F.count("*").alias("n"))
 
 
-@query("SELECT store_book_id, snapshot_date, rank, sales_point FROM rankings WHERE kind = 'weekly' AND unified = 'all' QUALIFY row_number() OVER (PARTITION BY store_book_id ORDER BY snapshot_date DESC) = 1")
+@query("SELECT store_book_id, kind, unified, snapshot_date, rank, sales_point FROM rankings QUALIFY row_number() OVER (PARTITION BY store_book_id, kind, unified ORDER BY snapshot_date DESC) = 1")
 def latest_meta(spark, d):
-    rows = A.rankings(spark, d).where("kind = 'weekly' AND unified = 'all'").select("store_book_id", "snapshot_date", "rank", "sales_point")
-    return P.latest(rows, ["store_book_id"], [F.desc("snapshot_date")])
+    rows = A.rankings(spark, d).select("store_book_id", "kind", "unified", "snapshot_date", "rank", "sales_point")
+    return P.latest(rows, ["store_book_id", "kind", "unified"], [F.desc("snapshot_date")])
 
 
 @query("""SELECT r.store_book_id, r.sales_point, r.rank FROM rankings r WHERE r.kind = 'online' AND r.unified = 'all' AND r.snapshot_date = DATE '2000-06-01'
@@ -81,11 +80,10 @@ def reseen_items(spark, d):
     return new.join(old, (F.col("store_book_id") == F.col("i")) & F.col("sales_point").eqNullSafe(F.col("s")), "left_semi").select("store_book_id", "sales_point", "rank")
 
 
-@query("SELECT store_book_id, store_id, book_id FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM rankings r WHERE r.store_book_id = s.store_book_id AND r.kind = 'online' AND r.unified = 'all' AND r.rank <= 20)")
+@query("SELECT store_book_id, store_id, book_id FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM rankings r WHERE r.store_book_id = s.store_book_id AND r.snapshot_date >= DATE '2001-01-01')")
 def never_ranked(spark, d):
-    """Items never among the first 20 of the overall online lists; never_ranked_whole counts every rank of every list."""
-    top = A.rankings(spark, d).where("kind = 'online' AND unified = 'all' AND rank <= 20").select("store_book_id")
-    return A.store_books(spark, d).join(top, "store_book_id", "left_anti").select("store_book_id", "store_id", "book_id")
+    """Items that stand in no list of the last year, at any rank."""
+    return P.never_ranked(A.store_books(spark, d), A.rankings(spark, d).where("snapshot_date >= DATE '2001-01-01'")).select("store_book_id", "store_id", "book_id")
 
 
 @query("SELECT store_book_id, store_id, book_id FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM rankings r WHERE r.store_book_id = s.store_book_id)")

@@ -132,7 +132,7 @@ def combined_rank_change(spark, d):
 SELECT book_id, now.position, old.position AS old_position, CASE WHEN old.position IS NULL THEN 'new' WHEN old.position - now.position >= 5 THEN 'up' WHEN old.position - now.position <= -5 THEN 'down' END AS mark
 FROM now LEFT JOIN old USING (book_id) WHERE mark IS NOT NULL AND (SELECT count(*) FROM old) > 0""")
 def report_digest(spark, d):
-    return R.report_changes(*_tables(spark, d), DAY)
+    return R.report_changes(*_tables(spark, d), DAY, before=BEFORE)
 
 
 @query(f"""{_positions('now', DAY, 300, 9999999)}, {_positions('old', BEFORE, 300, 9999999)},

@@ -21,10 +21,15 @@ def _manifest(lines: DataFrame) -> DataFrame:
     return lines.groupBy("day").agg(F.count("*").alias("rows"), F.concat_ws(":", F.sum(code).cast("string"), F.sum(twin).cast("string")).alias("digest"))
 
 
-def write_archive(df: DataFrame, day: str, path: str) -> DataFrame:
-    """Write df as path/day=.../*.gz, a JSON line for each row, replacing only the days it holds. Returns the manifest."""
+def write_archive(df: DataFrame, day: str, path: str, files: int = 4) -> DataFrame:
+    """Write df as path/day=.../*.gz, a JSON line for each row, replacing only the days it holds. Returns the manifest.
+
+    A day is dealt over `files` files at most, so that a large one is not one task's; lines are in order in each, so the
+    same rows give the same bytes.
+    """
     lines = df.select(F.col(day).cast("string").alias("day"), _line(df).alias("line"))
-    lines.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("day").text(path)
+    dealt = lines.repartition("day", F.pmod(F.xxhash64("line"), F.lit(files))).sortWithinPartitions("day", "line")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("day").text(path)
     return _manifest(lines)
 
 
@@ -38,10 +43,23 @@ def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     return manifest.join(found, "day", "left").select("day", "rows", F.coalesce((F.col("rows") == F.col("found")) & (F.col("digest") == F.col("found_digest")), F.lit(False)).alias("intact"))
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """day, digest (sha256), bytes of each file as it was written."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", "day=([^/]*)/", 1).alias("day"), F.sha2("content", 256).alias("digest"), F.col("length").alias("bytes"))
+
+
+def unbroken(sealed: DataFrame, now: DataFrame) -> DataFrame:
+    """day, intact: whether a day has exactly the files that it was sealed with, byte for byte."""
+    count = lambda df, name: df.groupBy("day", "digest", "bytes").agg(F.count("*").alias(name))
+    both = count(sealed, "was").join(count(now, "is"), ["day", "digest", "bytes"], "full_outer")
+    return both.groupBy("day").agg(F.bool_and(F.coalesce(F.col("was") == F.col("is"), F.lit(False))).alias("intact"))
+
+
 def droppable(df: DataFrame, day: str, checks: DataFrame) -> DataFrame:
     """Rows of df that may go, as their day is intact in the archive."""
     intact = checks.where("intact").select(F.col("day").alias("intact_day"))
-    return df.join(F.broadcast(intact), df[day].cast("string") == intact["intact_day"], "left_semi")
+    return df.join(intact, df[day].cast("string") == intact["intact_day"], "left_semi")
 
 
 def restored(spark: SparkSession, path: str, schema: str, first: str, last: str) -> DataFrame:
@@ -67,9 +85,9 @@ def untagged(lines: DataFrame, name: str, schema: str) -> DataFrame:
     return lines.where(F.col("table") == name).select(F.from_json("line", schema).alias("r")).select("r.*")
 
 
-def replace_days(df: DataFrame, day: str, path: str) -> None:
-    """Write df as Parquet by day; days that it holds are replaced, others stay."""
-    df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+def replace_days(df: DataFrame, day: str, path: str, files: int = 4) -> None:
+    """Write df as Parquet by day, a day dealt over `files` files at most; days that it holds are replaced, others stay."""
+    df.repartition(day, F.pmod(F.xxhash64(*df.columns), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
