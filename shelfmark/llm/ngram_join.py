@@ -258,7 +258,7 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, bits: int = 64) ->
     drop_staged(met)
 
     wanted = members.select("cls").distinct()
-    chosen = sizes.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    chosen = sizes.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls")
     texts = docs.join(chosen, "doc_id")
     repeated = sizes.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:  # rows may share a doc_id but not a text
