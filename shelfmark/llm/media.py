@@ -26,8 +26,8 @@ from shelfmark.llm.common import blocks
 UNIT = 576
 #: Blocks in a restart interval.
 INTERVAL = 96
-#: Blocks across a narrow and a wide image, and the most rows of blocks that a baseline file can have here.
-NARROW, WIDE, ROWS = 24, 576, 8000
+#: Blocks across an image, and the most rows of blocks that one has here; a longer payload takes several images.
+ACROSS, ROWS = 24, 8000
 
 # The standard luminance DC code of baseline JPEG (how many codes of each length, then the symbols), and
 # an AC code whose only symbol is end of block.
@@ -110,7 +110,7 @@ def entropy_coded(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def frames_of(n: int) -> list[int]:
     """Sizes of the images that hold n bytes."""
-    most = WIDE * ROWS
+    most = ACROSS * ROWS
     return [most] * ((n - 1) // most) + [(n - 1) % most + 1]
 
 
@@ -122,11 +122,10 @@ def encode(payload: np.ndarray, sizes: list[int]) -> list[bytes]:
         files = []
         for part in frames_of(size):
             n = part // INTERVAL
-            across = NARROW if part <= NARROW * ROWS else WIDE
             coded[ends[k : k + n] + 1] = 0xD0 + np.arange(n) % 8
             coded[ends[k + n - 1] + 1] = 0xD9
             finish = int(ends[k + n - 1]) + 2
-            files.append(header(across, part // across) + coded[begin:finish].tobytes())
+            files.append(header(ACROSS, part // ACROSS) + coded[begin:finish].tobytes())
             k, begin = k + n, finish
         out.append(b"".join(files))
     return out
@@ -368,7 +367,8 @@ def _stored(keep_media: bool):
 def store_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """Every text as media, with what is read back from the stored bytes; media itself if asked for.
 
-    A null text is empty. Rows are taken one by one; a null doc_id stays null.
+    A null text is empty. Rows are taken one by one; a null doc_id stays null. Further columns are not read, whatever their
+    names. A text is handled in one task, with some 60 bytes of arrays for each of its bytes.
     """
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_stored(keep_media), out + ", media binary" * keep_media)

@@ -39,7 +39,7 @@ def test_random_bytes_and_large_payloads():
     for images, n in zip(thumbnails(files), sizes, strict=True):
         assert b"".join(g.tobytes() for g, _, _ in images) == data[at : at + n].tobytes()
         at += n
-    assert frames_of(media.WIDE * media.ROWS + UNIT) == [media.WIDE * media.ROWS, UNIT]
+    assert frames_of(media.ACROSS * media.ROWS + UNIT) == [media.ACROSS * media.ROWS, UNIT]
 
 
 def coded(symbols):
