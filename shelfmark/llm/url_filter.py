@@ -9,13 +9,17 @@ Host: after the first '://' up to '/', '?', '#' or the end, A-Z lower-cased. Pat
 A null url, or one without '://', has an empty host and path and fits no rule. A URL that no rule fits is allowed. Equal
 rules count once, block over allow.
 
-A rule set whose file is larger than `max_bytes` is not sent to the workers; then asked strings and rules meet in a
-shuffled join on digest and string.
+Only a file of up to `max_bytes` is sent to every worker, as a broadcast must be bounded. Of a larger rule set the digests
+are not in one array: asked strings and rules meet in a sort-merge join on digest, confirmed on the string.
+
+Rows may repeat and are judged one by one. Further columns of pages are not read, whatever their names. An empty table of
+pages gives no rows, one of rules allows all.
 """
 
 from __future__ import annotations
 
 import os
+import string
 import tempfile
 from collections.abc import Iterator
 
@@ -93,18 +97,19 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host) if not host.isascii() else host.lower(), path
 
 
-def asked_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """The strings that a rule for this URL can have, the longest first."""
-    if not host:
-        return []
-    hosts = [host]
-    while (at := hosts[-1].find(".")) >= 0:
-        hosts.append(hosts[-1][at + 1 :])
+def asked_of(host: str, path: str, lengths: list[int], labels: list[int]) -> list[str]:
+    """The strings that a rule for this URL can have, the longest first.
+
+    lengths: those of rules' paths; labels: how many parts between dots rules' hosts have, so that a host of very many asks
+    for no more than rules can answer.
+    """
+    parts = host.split(".")
+    hosts = [".".join(parts[len(parts) - n :]) for n in labels if n <= len(parts)]
     prefixes = [path[:n] for n in lengths if n <= len(path)]
     return sorted({h + p for h in hosts if h for p in prefixes}, key=lambda x: (-len(x), x))
 
 
-def _probe(data, lengths: list[int]):
+def _probe(data, lengths: list[int], labels: list[int]):
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,7 @@ def _probe(data, lengths: list[int]):
             parsed = [host_and_path(u) for u in batch.column(1).to_pylist()]
             asked, owner = [], []
             for r, (host, path) in enumerate(parsed):
-                own = asked_of(host, path, lengths)
+                own = asked_of(host, path, lengths, labels)
                 asked += own
                 owner += [r] * len(own)
             found = index.find([x.encode() for x in asked])
@@ -129,13 +134,13 @@ def _probe(data, lengths: list[int]):
     return run
 
 
-def _ask(lengths: list[int]):
+def _ask(lengths: list[int], labels: list[int]):
     schema = pa.schema([("page", pa.int64()), ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("asked", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [host_and_path(u) for u in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([h for h, _ in parsed], pa.string()), pa.array([p for _, p in parsed], pa.string()), pa.array([asked_of(h, p, lengths) for h, p in parsed], pa.list_(pa.string()))], schema=schema)
+            yield pa.record_batch([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([h for h, _ in parsed], pa.string()), pa.array([p for _, p in parsed], pa.string()), pa.array([asked_of(h, p, lengths, labels) for h, p in parsed], pa.list_(pa.string()))], schema=schema)
 
     return run
 
@@ -143,15 +148,17 @@ def _ask(lengths: list[int]):
 def filter_urls(pages: DataFrame, rules: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page. rules: host, path, verdict ('allow' or 'block')."""
     spark = pages.sparkSession
-    rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.concat(F.lower("host"), "path").alias("rule"), F.length("path").alias("n"), "verdict").distinct()
+    host = F.translate("host", string.ascii_uppercase, string.ascii_lowercase)
+    rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.concat(host, "path").alias("rule"), F.length("path").alias("n"), F.size(F.split(host, r"\.")).alias("parts"), "verdict").distinct()
+    labels = sorted(r.parts for r in rules.select("parts").distinct().collect())  # at most as many as a host has characters
     lengths = sorted(r.n for r in rules.select("n").distinct().collect())  # at most as many as a path has characters
     size = rules.agg(F.coalesce(F.sum(F.octet_length("rule") + 17), F.lit(0))).first()[0] + 16
     pages = pages.select("page_id", "url")
     if size <= max_bytes:
         data = spark.sparkContext.broadcast(build([(r.rule, r.verdict) for r in rules.select("rule", "verdict").collect()]))
-        return pages.mapInArrow(_probe(data, lengths), "page_id long, host string, path string, rule string, verdict string")
+        return pages.mapInArrow(_probe(data, lengths, labels), "page_id long, host string, path string, rule string, verdict string")
     rules = rules.groupBy("rule").agg(F.min(F.when(F.col("verdict") == "block", 0).otherwise(1)).alias("allowed"))
-    asked = pages.select(F.monotonically_increasing_id().alias("page"), "page_id", "url").mapInArrow(_ask(lengths), "page long, page_id long, host string, path string, asked array<string>")
+    asked = pages.select(F.monotonically_increasing_id().alias("page"), "page_id", "url").mapInArrow(_ask(lengths, labels), "page long, page_id long, host string, path string, asked array<string>")
     flat = asked.select("page", "page_id", "host", "path", F.explode_outer("asked").alias("rule"))
     flat = flat.withColumn("digest", F.xxhash64("rule"))
     met = flat.join(rules.withColumn("digest", F.xxhash64("rule")).withColumn("fits", F.lit(True)), ["digest", "rule"], "left")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from shelfmark.llm.queries import URL_RULES
-from shelfmark.llm.url_filter import DigestIndex, build, filter_urls
+from shelfmark.llm.url_filter import DigestIndex, asked_of, build, filter_urls
 
 RULES = "host string, path string, verdict string"
 URLS = [
@@ -43,6 +43,19 @@ def test_many_rules_and_repeats(spark, max_bytes):
     assert got == want
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_capitals_of_rules_are_lowered_like_those_of_urls(spark, max_bytes):
+    rules = [("ÄB.Com", "/", "block"), ("x.Org", "/Q/", "block")]
+    urls = ["https://ÄB.com/a", "https://äb.com/a", "https://s.X.org/Q/1", "https://x.org/q/"]
+    got = {r.url: r.verdict for r in filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), spark.createDataFrame(rules, RULES), max_bytes).join(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), "page_id").collect()}
+    assert got == dict(zip(urls, ["block", "allow", "block", "allow"], strict=True))
+
+
+def test_a_host_of_very_many_parts_asks_for_few_strings():
+    assert asked_of("a." * 4000 + "com", "/en/x", [1, 4], [1, 2]) == ["a.com/en/", "com/en/", "a.com/", "com/"]
+    assert asked_of("a..com", "/", [1], [1, 2, 3, 4]) == ["a..com/", ".com/", "com/"] and asked_of("", "", [0, 1], [1]) == []
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "https://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], RULES)
