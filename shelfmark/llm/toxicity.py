@@ -4,14 +4,15 @@ A window is a word, lower-cased, tiled to at least TILE bytes so that a match ca
 gives a window for each LONGEST of them. Two zstandard dictionaries
 are made from a bounded sample of labelled documents: the toxic one holds the windows that are RATIO times as frequent
 in toxic documents as in ordinary ones, the ordinary one the windows most ordinary documents share, each in order of
-rising frequency, as the format favours a dictionary's end. (The library's own dictionary trainer picks frequent
-substrings of all text, which are alike in both classes, and its results did not tell the classes apart.) A window is a
+rising frequency, as the format favours a dictionary's end. (Dictionaries of the library's own trainer over windows of
+several words were measured, and do not tell the classes apart: README has the figures.) A window is a
 hit if the toxic dictionary shortens it by at least GAIN bytes more than the ordinary one. How many hits, different
 hits and saved bytes make a document toxic is calibrated by a logistic fit on the sample's other part; every window of
 a whole text counts.
 
 Null, empty and blank texts have no windows and get the score of no hits. Without labels of both kinds every score is
-the share of label 1 (0 without labels). Null ids and labels are not learnt from.
+the share of label 1 (0 without labels). Null ids and labels are not learnt from. Rows may repeat: each gets its score.
+Further columns are not read, or carried along by without_toxic. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from shelfmark.llm.labelled import logistic, remainder, sample
 
 #: Labelled rows that are learnt from, at most.
 SAMPLE = 30_000
-#: Bytes of the two dictionaries, at most.
-TOXIC_BYTES, ORDINARY_BYTES = 16 << 10, 256 << 10
+#: Bytes of the ordinary dictionary, at most.
+ORDINARY_BYTES = 256 << 10
 TILE, GAIN, LEVEL = 24, 3, 19
 #: A toxic window's least frequency among toxic documents, and over that among ordinary ones.
 SHARE, RATIO = 0.008, 8.0
@@ -121,12 +122,13 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, modulo: int =
             return Classifier(None, None, constant)
         seen = rows.where("part = 0").select("text", "label").mapInArrow(_vocabulary, "word binary, label int")
         seen = seen.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o"))
-        # Both lists are bounded by the dictionaries' sizes.
+        # Each word is in SHARE of the toxic documents at least, so there are at most 1 / SHARE times as many as a toxic
+        # document has on average; the others are bounded by their dictionary's size.
         chosen = seen.where(F.col("t") >= max(3, SHARE * toxic)).where(F.col("t") * ordinary >= RATIO * (F.col("o") + 1) * toxic)
-        bad = chosen.orderBy(F.desc("t"), "word").limit(TOXIC_BYTES // TILE).collect()
+        bad = chosen.orderBy(F.desc("t"), "word").collect()
         names = {bytes(r.word) for r in bad}
         usual = [r for r in seen.where("o >= 2").orderBy(F.desc("o"), "word").limit(ORDINARY_BYTES // TILE + len(names)).collect() if bytes(r.word) not in names]
-        content = [b"".join(tile(bytes(r.word)) for r in reversed(x))[-size:] for x, size in ((bad, TOXIC_BYTES), (usual, ORDINARY_BYTES))]
+        content = [b"".join(tile(bytes(r.word)) for r in reversed(x))[-size:] for x, size in ((bad, 0), (usual, ORDINARY_BYTES))]
         if not all(len(x) >= 8 for x in content):
             return Classifier(None, None, constant)
         distance = Distance(*content)

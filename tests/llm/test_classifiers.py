@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 
 from shelfmark.llm import quality, toxicity
+from shelfmark.llm.labelled import sample
 from shelfmark.llm.toxicity import Distance, tile
 
 TABLES = "/root/testdata/sf0.1"
@@ -37,6 +42,58 @@ def test_held_out_accuracy(spark, module, label, least):
     assert balanced(rows) > least and ranked(rows) > least
 
 
+def plain_features(raw):
+    """What quality describes a text by, counted byte by byte."""
+    groups = [b"!", b"|", b"$#%&*@^~=+<>{}[]\\_`", b".,;:?'\"()-/"]
+    kind = lambda b: 0 if b in b" \t\n\v\f\r" else 1 if 65 <= b < 91 else 2 if 97 <= b < 123 else 3 if 48 <= b < 58 else next((k for k, g in enumerate(groups, 4) if b in g), 9 if b > 127 else 8)
+    count = [0] * 10
+    for b in raw:
+        count[kind(b)] += 1
+    words = re.findall(rb"[^ \t\n\v\f\r]+", raw.translate(bytes(b + 32 if 65 <= b < 91 else b for b in range(256))))
+    lines, n, long = raw.split(b"\n"), max(len(words), 1), math.log1p(len(words))
+    variety = len(set(words)) / n
+    share = [count[k] / max(len(raw), 1) for k in (0, 1, 3, 4, 5, 6, 7, 8, 9)]
+    return [*share, variety, variety * max(long, 1), sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, 1 - len(set(lines)) / len(lines), long, min(len(raw) / n, 40), len(lines) / n]
+
+
+def test_quality_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{TABLES.replace('sf0.1', 'sf0.001')}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        x = (np.array(plain_features((r.text or "").encode())) - model.mean) / model.scale
+        raw = float(np.clip(x, -6, 6) @ model.weights)
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.slope * (raw - model.cut) + math.log(0.7 / 0.3))))))
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{TABLES.replace('sf0.1', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert model.distance is not None
+    toxic, ordinary = (zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for x in model.distance.sides)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    rows = [r for r in docs.collect() if len(r.text or "") < 3000]
+    assert len(rows) > 300
+    for r in rows:
+        words = [w[k : k + 64] for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.text or "").encode()) for k in range(0, len(w), 64)]
+        gains = []
+        for w in words:
+            w = b" " + bytes(b + 32 if 65 <= b < 91 else b for b in w) + b" "
+            window = w * (1 + 24 // len(w))
+            gain = len(ordinary.compress(window)) - len(toxic.compress(window))
+            gains += [(w, gain)] if gain >= 3 else []
+        long = math.log(10 + len(words))
+        x = [1, math.log1p(len(gains)), math.log1p(len({w for w, _ in gains})), math.log1p(sum(g for _, g in gains)), math.log1p(len(gains)) / long, long]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, float(np.dot(x, model.weights)))))))
+
+
+def test_an_id_counts_once_in_the_sample(spark, frame, prose):
+    docs = frame([(1, "b"), (1, "a"), (1, None), (2, "c"), (2, "c"), (3, None)])
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 1, 1), (2, 1, 1), (3, 0, 0), (4, 1, 1)], LABELS)
+    rows = sample(docs, labels, "quality", 7, 99, 10).collect()
+    assert sorted((r.doc_id, r.text or "", r.label) for r in rows) == [(1, "a", 0), (2, "c", 1), (3, "", 0)]
+
+
 @pytest.mark.parametrize(("module", "of", "remainder"), [(quality, 4, 2), (toxicity, 5, 0)])
 def test_odd_rows(spark, frame, prose, module, of, remainder):
     rows = [(None, "x"), (1, None), (2, ""), (3, " \n "), (4, "w" * 300_000), (5, prose(50_000, 1)), *((k, prose(30, k) + (" slur slur slur" if k % 3 else "")) for k in range(10, 90)), (10, prose(30, 10)), (6, "\0\xad")]
