@@ -70,6 +70,27 @@ FROM sets s JOIN reach r USING (doc_id) LEFT JOIN counts c USING (doc_id) GROUP
 """
 
 
+def token_count_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's rollup over three batches on all documents, counted in words: inserts, a revision of every text, and deletes."""
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}", {WORDS: None})
+    docs = table(spark, sf_dir, "documents")
+    longer = F.concat(F.coalesce("text", F.lit("")), F.lit(" one more"))
+    now = [F.col(c).alias(f"old_{c}") for c in ("source", "lang")]
+    rollup.commit("insert", docs.select(F.lit("insert").alias("kind"), "source", "lang", "text"))
+    rollup.commit("revise", docs.select(F.lit("revise").alias("kind"), "source", F.upper("lang").alias("lang"), longer.alias("text"), *now, F.col("text").alias("old_text")))
+    gone = docs.where("doc_id % 2 = 0").withColumns({"lang": F.upper("lang"), "text": longer})
+    rollup.commit("delete", gone.select(F.lit("delete").alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")), *now, F.col("text").alias("old_text")))
+    return rollup.totals()
+
+
+BESIDE["token_count_changes"] = token_count_changes
+BESIDE_ORACLES["token_count_changes"] = """
+SELECT source, upper(lang) AS lang, 'words/1' AS tokenizer, count(*) AS docs, CAST(sum(2 + len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS BIGINT) AS tokens,
+       CAST(sum(9 + length(coalesce(text, ''))) AS BIGINT) AS chars
+FROM documents WHERE doc_id % 2 <> 0 GROUP BY source, upper(lang)
+"""
+
+
 #: Host, path and verdict of the production rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 

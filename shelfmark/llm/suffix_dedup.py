@@ -18,9 +18,10 @@ than SHARD and HEAVY bytes together, however common a passage is.
 A shard's suffix array is built by induced sorting: suffixes are classified by the next byte (smaller or larger type),
 the leftmost of the smaller type are sorted by their substrings, and the order of all others is induced from them in two
 linear passes over the buckets, each bucket at a time in numpy. Substrings that are equal are told apart by pairs of ranks,
-twice the reach each time, until all differ or `length` bytes are covered (a constant number of rounds). Common prefixes are computed in text order (permuted): only where the byte before differs
-are they compared, else they follow from the one before. Neighbours with `length` common bytes are equal strings, and of
-each such class all but the first are covered.
+twice the reach each time, until all differ or `length` bytes are covered (a constant number of rounds); README has the
+figures of the recursion by induced sorting that this stands for. Common prefixes are computed in text order (permuted):
+only where the byte before differs are they compared, else they follow from the one before. Neighbours with `length`
+common bytes are equal strings, and of each such class all but the first are covered.
 
 Rows without a doc_id are left out. A null text is empty. Rows that repeat a doc_id share their covered spans; with
 equal texts they count as one document. Matches never cross documents. Columns of any other name are carried along

@@ -13,7 +13,7 @@ from test_media import padded
 from test_packing import held, library  # noqa: F401
 from test_token_counts import counted
 
-from shelfmark.llm.queries import ORACLES, QUERIES
+from shelfmark.llm.queries import BESIDE, BESIDE_ORACLES, ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +31,10 @@ def test_query_equals_its_oracle(spark, con, name):
     assert difference(QUERIES[name](spark, SMALL), ORACLES[name], con) == ""
 
 
+def test_changes_are_counted_as_their_oracle_says(spark, con):
+    assert difference(BESIDE["token_count_changes"](spark, SMALL), BESIDE_ORACLES["token_count_changes"], con) == ""
+
+
 def test_ten_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 
@@ -56,7 +60,7 @@ def test_op7_packing(spark, documents, library):  # noqa: F811
 
 def test_op10_decontamination(spark, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    few = [x for x in documents if len(x[1] or "") < 3000][:60]
+    few = [x for x in documents if len(x[1] or "") < 3000][:60] + [x for x in documents if 4000 < len(x[1] or "") < 9000][:4]
     got = {(r.doc_id, r.item_id) for r in QUERIES["op10_benchmark_decontamination"](spark, SMALL).collect()}
     ids = {d for d, _ in few}
     assert {x for x in got if x[0] in ids} == contaminated_pairs(few, items)
