@@ -155,6 +155,33 @@ def isbn10_to_13(text: Column) -> Column:
     return F.when(is_isbn10(text), F.concat(first, isbn13_digit(first).cast("string")))
 
 
+def isbn_in(text: Column) -> Column:
+    """The first ISBN-13 in a text whose check digit is right; it may hold dashes, and no digit may touch it."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(97[89](?:-?\d){10})(?!\d)"), F.lit(1))
+    return F.get(F.filter(F.transform(found, lambda x: F.replace(x, F.lit("-"), F.lit(""))), is_isbn13), F.lit(0))
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def duration(seconds: Column) -> Column:
+    """The two largest units of a time: '2 d 3 h', '4 min 5 s'; null for null or negative."""
+    units = (("d", 86400), ("h", 3600), ("min", 60), ("s", 1))
+    out = None
+    for (big, n), (small, m) in reversed(list(zip(units, units[1:], strict=False))):
+        text = F.concat(F.floor(seconds / n).cast("string"), F.lit(f" {big} "), F.floor(seconds % n / m).cast("string"), F.lit(f" {small}"))
+        out = F.when(seconds >= n, text).otherwise(F.concat(seconds.cast("long").cast("string"), F.lit(" s")) if out is None else out)
+    return F.when(seconds >= 0, out)
+
+
+def ago(at: Column, now: Column) -> Column:
+    """How long before now, in one unit; 'just now' below a minute and in the future."""
+    s = F.unix_timestamp(now) - F.unix_timestamp(at)
+    told = lambda n, unit: F.concat(F.floor(s / n).cast("string"), F.lit(f" {unit} ago"))
+    return F.when(s.isNull(), None).when(s < 60, "just now").when(s < 3600, told(60, "min")).when(s < 86400, told(3600, "h")).otherwise(told(86400, "d"))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters; a text of one character is its own pair."""
     n = F.length(text)

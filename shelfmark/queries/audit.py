@@ -18,6 +18,7 @@ from shelfmark.queries.history import _HISTORY, _history
 from shelfmark.queries.ranking import BEFORE, DAY, _listed, _positions, _tables
 from shelfmark.queries.registry import query
 from shelfmark.sources import archive as S
+from shelfmark.sources import html as H2
 
 REQUIRED = {"part": ["p_partkey", "p_name", "p_weight_of_cover"], "events": ["event_id", "ts", "decided_by"], "pages": ["page_id", "html"]}
 
@@ -185,3 +186,36 @@ def price_context(spark, d):
             .when(k % 4 == 2, F.lit("order 50,000 won or more, book 12,000 won, 500 won")).otherwise(F.lit("was 30,000 won, now 27,000 won, then 26,000 won")))
     price = T.parse_prices(text)
     return A.table(spark, d, "events").select(k.alias("k"), price["list_price"].alias("list_price"), F.when(price["sale_price"] != price["list_price"], price["sale_price"]).alias("sale_price"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || ' min ago' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || ' h ago' ELSE CAST(s // 86400 AS VARCHAR) || ' d ago' END AS ago,
+CASE WHEN s < 0 THEN NULL WHEN s >= 86400 THEN s // 86400 || ' d ' || s % 86400 // 3600 || ' h' WHEN s >= 3600 THEN s // 3600 || ' h ' || s % 3600 // 60 || ' min' WHEN s >= 60 THEN s // 60 || ' min ' || s % 60 || ' s' ELSE s || ' s' END AS duration,
+format('{:,}', event_id * 1234567) AS thousands FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2024-01-15 12:00:00') - floor(epoch(ts)) AS BIGINT) AS s FROM events)""", derived=False)
+def time_labels(spark, d):
+    now = F.lit("2024-01-15 12:00:00").cast("timestamp")
+    seconds = F.unix_timestamp(now) - F.unix_timestamp("ts")
+    return A.table(spark, d, "events").select("event_id", T.ago(F.col("ts"), now).alias("ago"), T.duration(seconds).alias("duration"), T.thousands(F.col("event_id") * 1234567).alias("thousands"))
+
+
+@query("""WITH base AS (SELECT p_partkey AS k, p_name, p_brand, '978' || lpad(CAST(p_partkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS f FROM part),
+sums AS (SELECT *, (10 - list_sum(list_transform(range(1, 13), lambda i: CAST(f[i] AS INTEGER) * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10 AS c FROM base),
+placed AS (SELECT *, CAST(k // 20 + 1 AS INTEGER) AS page, row_number() OVER (PARTITION BY k // 20 ORDER BY k) AS place FROM sums)
+SELECT 'P' || k AS key, page, CAST(CASE WHEN k % 5 = 0 THEN 1000000 + k ELSE (page - 1) * 20 + place END AS INTEGER) AS rank, p_name || ' & <' || k || '>' AS title, CASE k % 3 WHEN 0 THEN 'W' || k WHEN 1 THEN 'E' || k ELSE 'T' || k END AS author,
+CASE k % 3 WHEN 0 THEN 'T' || k || ', W' || k WHEN 1 THEN 'T' || k || ', E' || k ELSE 'T' || k END AS authors, CAST(10000 + k AS BIGINT) AS list_price, CAST(CASE WHEN k % 2 = 0 THEN 9000 END AS BIGINT) AS sale_price,
+(2000 + k % 20) || '-' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') AS pub_ym, CASE WHEN k % 4 <> 3 THEN f || CAST(c AS INTEGER) END AS isbn13, '/cover/' || k || '.jpg' AS cover FROM placed WHERE k % 17 <> 0""", derived=False)
+def product_listing(spark, d):
+    """Listing pages made of the parts, read back; one in 17 has no title and is none, of one in four the ISBN is wrong."""
+    k = F.col("p_partkey")
+    s = lambda x: x.cast("string")
+    t = F.lit
+    first = F.concat(t("978"), F.lpad(s(k * 7919 % 1_000_000_000), 9, "0"))
+    isbn = F.concat(first, s((T.isbn13_digit(first) + F.when(k % 4 == 3, 1).otherwise(0)) % 10))
+    people = F.when(k % 3 == 0, F.concat(t("T"), s(k), t(" (translator), W"), s(k), t(" (writer)"))).when(k % 3 == 1, F.concat(t("T"), s(k), t(" (translator), E"), s(k), t(" (editor)"))).otherwise(F.concat(t("T"), s(k)))
+    title = F.when(k % 17 != 0, F.concat("p_name", t(" &amp; &lt;"), s(k), t("&gt;"))).otherwise("")
+    box = F.concat(
+        t('<li class="product" data-key="P'), s(k), t('"><img alt="" src="/cover/'), s(k), t('.jpg">'), F.when(k % 5 == 0, F.concat(t('<em class="rank">No. '), s(k + 1_000_000), t("</em>"))).otherwise(""),
+        t('<a class="title" href="/item'), F.when(k % 4 == 1, F.concat(t("?isbn="), isbn)).otherwise(""), t('"><b>'), title, t('</b></a><span class="author">'), people, t('</span><span class="price"><i>29</i><i>'), F.format_number(k + 10000, 0),
+        t(" won</i>, order 50,000 won or more"), F.when(k % 2 == 0, t(", now 9,000 won")).otherwise(""), t('</span><span class="date">'), s(k % 20 + 2000), t(". "), s(k % 12 + 1), t(".</span>"), F.when(k % 4 != 1, F.concat(t("<p>ISBN "), isbn, t("</p>"))).otherwise(""), t("</li>"))
+    parts = A.table(spark, d, "part").select(k.alias("k"), F.floor(k / 20).cast("int").alias("p"), box.alias("box"))
+    pages = parts.groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "box"))), lambda x: x["box"]), "\n").alias("boxes"))
+    return H2.products(pages.select((F.col("p") + 1).alias("page"), F.concat(t("<html><ul>"), "boxes", t("</ul></html>")).alias("html")))
