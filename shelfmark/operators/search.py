@@ -16,12 +16,13 @@ def contains(term: str, *columns: str) -> Column:
     return reduce(Column.__or__, (F.contains(F.lower(c), F.lit(low)) for c in columns))
 
 
-def search_merged(term: str, books: DataFrame, rankings: DataFrame, store_books: DataFrame, limit: int = 100, most: int = 400) -> DataFrame:
+def search_merged(term: str, books: DataFrame, rankings: DataFrame, store_books: DataFrame, limit: int = 100, most: int | None = None) -> DataFrame:
     """Books with the term in title, author or publisher: stores, last date and best rank, titles that start with it first.
 
-    The first `most` hits by id are looked up; the order makes the cut deterministic.
+    All hits are ranked; `most` looks up only the first so many by id, for a quick answer that may miss better ones.
     """
-    hit = books.where(contains(term, "title", "author", "publisher")).select("book_id", "title", "author", "publisher").orderBy("book_id").limit(most)
+    hit = books.where(contains(term, "title", "author", "publisher")).select("book_id", "title", "author", "publisher")
+    hit = hit.orderBy("book_id").limit(most) if most else hit
     items = store_books.join(hit.select("book_id"), "book_id").select("store_book_id", "book_id")
     seen = rankings.where("kind <> 'offline'").join(items, "store_book_id").groupBy("book_id").agg(
         F.array_join(F.sort_array(F.collect_set("store_id")).cast("array<string>"), ",").alias("stores"), F.max("snapshot_date").alias("last_seen"), F.min("rank").alias("best"))

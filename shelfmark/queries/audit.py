@@ -39,7 +39,7 @@ def collection_tasks(spark, d):
     region = A.table(spark, d, "region")
     sources = region.select(F.col("r_name").alias("source"), F.concat(F.lit("http://"), F.lower("r_name"), F.lit("/{branch}/{code}")).alias("url"), (F.col("r_regionkey") + 20).alias("page_size"))
     codes = A.table(spark, d, "part").select(F.col("p_type").alias("code")).distinct()
-    categories = sources.select("source").crossJoin(F.broadcast(codes)).select("source", "code", (F.length("code") + 100).alias("max_items"), (F.length("code") % 2 == 0).alias("enabled"))
+    categories = codes.crossJoin(F.broadcast(sources.select("source"))).select("source", "code", (F.length("code") + 100).alias("max_items"), (F.length("code") % 2 == 0).alias("enabled"))
     nation = A.table(spark, d, "nation").join(region.where("r_regionkey > 0"), F.col("n_regionkey") == F.col("r_regionkey"))
     branches = nation.select(F.col("r_name").alias("source"), F.col("n_name").alias("branch"), (F.col("n_nationkey") % 5 != 0).alias("enabled"))
     return U.collection_tasks(sources, categories, branches)

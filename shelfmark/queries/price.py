@@ -98,7 +98,7 @@ def decision_audit(spark, d):
     return P.decision_audit(A.book_matches(spark, d))
 
 
-@query("""hit AS (SELECT book_id, title, author, publisher FROM books WHERE title ILIKE '%ring%' OR author ILIKE '%ring%' OR publisher ILIKE '%ring%' ORDER BY book_id LIMIT 400),
+@query("""hit AS (SELECT book_id, title, author, publisher FROM books WHERE title ILIKE '%ring%' OR author ILIKE '%ring%' OR publisher ILIKE '%ring%'),
 seen AS (SELECT s.book_id, list_sort(list(DISTINCT r.store_id)) AS stores, max(snapshot_date) AS last_seen, min(rank) AS best FROM rankings r JOIN store_books s USING (store_book_id) WHERE s.book_id IN (SELECT book_id FROM hit) AND kind <> 'offline' GROUP BY 1)
 SELECT h.*, array_to_string(stores, ',') AS stores, last_seen, best FROM hit h LEFT JOIN seen USING (book_id) ORDER BY (title ILIKE 'ring%') DESC, last_seen DESC NULLS LAST, best NULLS LAST, book_id LIMIT 100""")
 def search_merged(spark, d):
