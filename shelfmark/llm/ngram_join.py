@@ -284,7 +284,8 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, bits: int = 64) ->
         heads = heads.where(F.col("rank") < high) if high else heads
         # Dealt by blocks of heads, each of which meets all that come after it.
         last = F.floor(F.col("rank") / HEAD_BLOCK).cast("int")
-        heads, others = heads.withColumn("block", last), opened.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+        met = F.least(last, F.lit((high - 1) // HEAD_BLOCK)) if high else last
+        heads, others = heads.withColumn("block", last), opened.withColumn("block", F.explode(F.sequence(F.lit(0), met)))
         apart = (F.col("x.part") == F.col("y.part")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.root") != F.col("y.root"))
         more = heads.alias("x").join(others.alias("y"), apart & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs", rows)
