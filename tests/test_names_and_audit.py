@@ -13,7 +13,9 @@ from shelfmark.functions import text as T
 from shelfmark.operators import audit as U
 from shelfmark.operators import clusters as C
 from shelfmark.operators import names as N
+from shelfmark.plans.staging import shared_folder
 from shelfmark.sources import archive as S
+from shelfmark.sources.html import products, robots
 
 
 def test_variants_and_likeness(spark):
@@ -105,3 +107,42 @@ def test_a_changed_file_breaks_the_seal(spark, tmp_path):
     next(Path(paths[1]).glob("day=2024-01-03/*.gz")).unlink()
     broken = S.unbroken(S.file_digests(spark, paths[0]), S.file_digests(spark, paths[1]))
     assert {r.day: r.intact for r in broken.collect()} == {"2024-01-01": True, "2024-01-02": False, "2024-01-03": False}
+
+
+def test_robots_rules_of_hosts(spark):
+    pages = spark.createDataFrame([(1, "https://A.com/x/1"), (2, "https://a.com/y"), (3, "https://b.com/x/1"), (4, "https://c.com/x/1"), (5, "https://b.com/x/2?q#f")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/x/", False), ("a.com", "/", True), ("b.com", "/x/*2", False), ("b.com", "/x/*2", True)], "host string, pattern string, allow boolean")
+    assert {r.page_id: r.allowed for r in robots(pages, rules).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+    assert {r.page_id: r.allowed for r in robots(pages, rules.drop("host").limit(1)).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_products_of_broken_boxes(spark):
+    box = '<li class="product" data-key="7"><a class="title">A &amp; B</a><span class="price">10,000 won or more</span></li>'
+    pages = spark.createDataFrame([(1, box.replace("7", "")), (2, box + '<li class="product" data-key="8"></li>' + box), (3, ""), (4, None)], "page int, html string")
+    got = products(pages).collect()
+    assert [(r.key, r.page, r.rank, r.title, r.author, r.list_price, r.isbn13) for r in got] == [("7", 2, 21, "A & B", None, None, None), ("7", 2, 23, "A & B", None, None, None)]
+
+
+def test_isbn_and_times(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(T.isbn_in(F.lit("no 9780306406158, 19780306406157, but 978-0-306-40615-7."))) == "9780306406157"
+    assert one(T.isbn_in(F.lit("none"))) is None and one(T.isbn_in(F.lit(None).cast("string"))) is None
+    assert [one(T.duration(F.lit(s))) for s in (0, 59, 61, 3600, 90_061, -1)] == ["0 s", "59 s", "1 min 1 s", "1 h 0 min", "1 d 1 h", None]
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
