@@ -146,3 +146,96 @@ def test_a_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+class Parts:
+    """Union by the least member."""
+
+    def __init__(self, ids):
+        self.up = {i: i for i in ids}
+
+    def find(self, i):
+        while self.up[i] != i:
+            i = self.up[i]
+        return i
+
+    def join(self, i, j):
+        a, b = sorted((self.find(i), self.find(j)))
+        self.up[b] = a
+
+    def groups(self):
+        out = {}
+        for i in self.up:
+            out.setdefault(self.find(i), []).append(i)
+        return list(out.values())
+
+
+def split(cluster, side, score):
+    """A cluster by its members' sides; who has none goes with the best link, the lower id if two are as good."""
+    known = [i for i in cluster if side(i) is not None]
+    if len({side(i) for i in known}) < 2:
+        return [cluster]
+    parts = {}
+    for i in known:
+        parts.setdefault(side(i), []).append(i)
+    for i in [i for i in cluster if side(i) is None]:
+        best = max(((score[min(i, j), max(i, j)], -j) for j in known if (min(i, j), max(i, j)) in score), default=None)
+        parts.setdefault(("alone", i) if best is None else side(-best[1]), []).append(i)
+    return list(parts.values())
+
+
+def repaired(clusters, publisher, volume, score, merges, splits):
+    out = []
+    for cluster in clusters:
+        names = sorted({publisher[i] for i in cluster if publisher[i]})
+        sides = Parts(names)
+        for x in names:
+            for y in names:
+                if x < y and N.alike(x, y) >= 0.8:
+                    sides.join(x, y)
+        pieces = [q for p in split(cluster, lambda i: publisher[i] and sides.find(publisher[i]), score) for q in split(p, lambda i: volume[i], score)]
+        again = Parts(range(len(pieces)))
+        where = {i: k for k, p in enumerate(pieces) for i in p}
+        for a, b in merges:
+            if a in where and b in where:
+                again.join(where[a], where[b])
+        for group in again.groups():
+            part = sorted(i for k in group for i in pieces[k])
+            mine = {(a, b) for a, b in splits if a in part and b in part}
+            if mine:
+                own = Parts(part)
+                edges = [(1_000_000, a, b) for a, b in merges] + [(s, a, b) for (a, b), s in score.items() if (a, b) not in merges]
+                for _, a, b in sorted(edges, key=lambda e: (-e[0], e[1], e[2])):
+                    if a in part and b in part and not any((min(x, y), max(x, y)) in mine for x in part for y in part if own.find(x) == own.find(a) and own.find(y) == own.find(b)):
+                        own.join(a, b)
+                out += own.groups()
+            else:
+                out.append(part)
+    return {i: min(p) for p in out for i in p}
+
+
+def test_repair_equals_brute_force(spark):
+    rng, rows, links, merges, splits = random.Random(4), [], {}, set(), set()
+    for c in range(40):
+        ids = [10 * c + k for k in range(rng.randint(2, 8))]
+        for i in ids:
+            rows.append((i, rng.choice(["acme", "acmes", "zenith", "willow", None]), rng.choice([None, None, 1, 2])))
+        for a, b in zip(ids, ids[1:], strict=False):
+            links[a, b] = rng.randint(65, 100)
+        for a in ids:
+            for b in ids:
+                if a < b and rng.random() < 0.3:
+                    links.setdefault((a, b), rng.randint(65, 100))
+        pairs = [(a, b) for a in ids for b in ids if a < b]
+        merges |= {p for p in rng.sample(pairs, 1) if rng.random() < 0.4}
+        splits |= {p for p in rng.sample(pairs, min(2, len(pairs))) if rng.random() < 0.5} - merges
+    publisher, volume = {i: p for i, p, _ in rows}, {i: v for i, _, v in rows}
+    joined = Parts(publisher)
+    for a, b in [*links, *merges]:
+        joined.join(a, b)
+    want = repaired(joined.groups(), publisher, volume, links, merges, splits)
+    items = spark.createDataFrame(rows, "id long, publisher string, volume int")
+    manual = spark.createDataFrame([(b, a, "manual_merge") for a, b in merges] + [(a, b, "manual_split") for a, b in splits], "a long, b long, decision string")
+    scored = spark.createDataFrame([(a, b, links.get((a, b), 0), "manual_merge" if (a, b) in merges else "auto_low") for a, b in {*links, *merges}], "a long, b long, score int, decision string")
+    got = C.repair(C.components(scored, items), scored, manual, items)
+    assert {r.id: r.root for r in got.collect()} == want
