@@ -13,16 +13,20 @@ from shelfmark.llm import quality, toxicity
 from shelfmark.llm.chat import format_chats, read_back
 from shelfmark.llm.common import shared_folder, table
 from shelfmark.llm.decontam import contaminated
+from shelfmark.llm.hard_negatives import hard_negatives, levels
 from shelfmark.llm.media import store_texts
 from shelfmark.llm.ngram_join import ngram_jaccard_join, ngram_jaccard_links
 from shelfmark.llm.packing import pack
+from shelfmark.llm.prefix_trie import conversation_trie
+from shelfmark.llm.stable_search import nearest
 from shelfmark.llm.suffix_dedup import deduplicated
 from shelfmark.llm.token_counts import WORDS, TokenRollup
 from shelfmark.llm.url_filter import filter_urls
+from shelfmark.llm.vectors import finite
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Queries beside the ten, with their oracles.
+#: Queries beside the operators', with their oracles.
 BESIDE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BESIDE_ORACLES: dict[str, str] = {}
 
@@ -190,3 +194,69 @@ sums AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed
 SELECT t.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM texts t LEFT JOIN sums USING (doc_id)
 """
+
+
+@query
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"), every=20, most=4)
+
+
+ORACLES["op12_prefix_trie"] = """
+WITH RECURSIVE own AS (
+  SELECT conv_id, to_json([coalesce(role, ''), coalesce(text, '')]) AS said, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal id, bit by bit.
+crc(conv_id, step, c) AS (
+  SELECT DISTINCT conv_id, 0, CAST(4294967295 AS BIGINT) FROM own
+  UNION ALL
+  SELECT conv_id, step + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END
+  FROM (SELECT conv_id, step, CASE WHEN step % 8 = 0 THEN xor(c, CAST(ascii(substr(CAST(conv_id AS VARCHAR), 1 + step // 8, 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE step < 8 * length(CAST(conv_id AS VARCHAR)))),
+convs AS (SELECT conv_id, conv_id - conv_id % 20 AS donor, xor(c, 4294967295) % 4 AS h FROM crc WHERE step = 8 * length(CAST(conv_id AS VARCHAR))),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, k, said, words FROM convs c JOIN own o ON o.conv_id = c.donor AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, said, words FROM convs c JOIN own o ON o.conv_id = c.conv_id AND k > h),
+turns AS (SELECT conv_id, said, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS depth FROM rebuilt),
+prefixes AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, sha256('') AS key, 0 AS words FROM convs
+  UNION ALL SELECT conv_id, depth, sha256(string_agg(said, chr(10)) OVER (PARTITION BY conv_id ORDER BY depth)), words FROM turns),
+nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved FROM prefixes GROUP BY depth, key),
+ups AS (SELECT n.*, p.key AS parent_key FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent_key AS key, count(*) AS n_children FROM ups WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT p.depth, p.key, sum(n.saved) AS saved_tokens, count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key GROUP BY p.depth, p.key),
+lasts AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+ends AS (SELECT p.depth, p.key, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS ends FROM prefixes p JOIN lasts USING (conv_id, depth) GROUP BY p.depth, p.key)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM ups n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.key = n.parent_key LEFT JOIN kids k ON k.depth = n.depth AND k.key = n.key
+JOIN sums s ON s.depth = n.depth AND s.key = n.key LEFT JOIN ends e ON e.depth = n.depth AND e.key = n.key
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").where(finite(F.col("embedding"))).select("vec_id", label.alias("label"), levels(F.col("embedding")).alias("vector"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other_id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM scores WHERE same),
+negatives AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS k
+  FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE k <= 10
+"""
