@@ -18,7 +18,7 @@ CORPORATE = ["publishing", "publishers", "press", "books", "inc", "ltd"]
 #: Words before an amount that tell that it is no price, and words behind one that make it a condition; own vocabulary.
 PROMOTION = ["points", "coupon", "mileage", "gift", "delivery", "event", "benefit", "voucher"]
 CONDITION = ["or more", "or less", "or over", "within", "under", "from"]
-_BRACKETS = r"\([^()]*\)|\[[^\[\]]*\]"
+_BRACKETS = r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}"
 
 
 @F.pandas_udf(StringType())

@@ -157,7 +157,7 @@ def kept_links(spark, d):
     return C.kept_links(_links(spark, d).select("a", "b", "score", "decision"), _members(spark, d))
 
 
-_SPELT = """raw AS (SELECT CASE store_id WHEN 1 THEN lower(p.brand) WHEN 2 THEN CASE WHEN part % 2 = 0 THEN lower(p.brand) || '(h' || substr(p.brand, 7) || ')' ELSE lower(p.brand) || '(만화)' END ELSE CASE WHEN part % 4 = 0 THEN 'h' || substr(p.brand, 7) ELSE lower(p.brand) END END AS k,
+_SPELT = """raw AS (SELECT CASE store_id WHEN 1 THEN lower(p.brand) WHEN 2 THEN CASE WHEN part % 2 = 0 THEN lower(p.brand) || '(h' || substr(p.brand, 7) || ')' ELSE lower(p.brand) || '(reprint)' END ELSE CASE WHEN part % 4 = 0 THEN 'h' || substr(p.brand, 7) ELSE lower(p.brand) END END AS k,
 CASE WHEN store_id = 3 AND part % 8 = 0 THEN upper(p.brand) WHEN store_id = 2 THEN p.brand || ' (h)' ELSE p.brand END AS raw FROM match_items m JOIN (SELECT p_partkey AS b, p_brand AS brand FROM part) p ON p.b = m.part)"""
 
 
@@ -171,11 +171,66 @@ def canonical_names(spark, d):
     """Publishers under several spellings, some of which tell others in brackets, and one that a person named."""
     k, s, p = F.col("part"), F.col("store_id"), F.col("p_brand")
     low, short = F.lower(p), F.concat(F.lit("h"), F.substring(p, 7, 100))
-    key = F.when(s == 1, low).when((s == 2) & (k % 2 == 0), F.concat(low, F.lit("("), short, F.lit(")"))).when(s == 2, F.concat(low, F.lit("(만화)"))).when(k % 4 == 0, short).otherwise(low)
+    key = F.when(s == 1, low).when((s == 2) & (k % 2 == 0), F.concat(low, F.lit("("), short, F.lit(")"))).when(s == 2, F.concat(low, F.lit("(reprint)"))).when(k % 4 == 0, short).otherwise(low)
     raw = F.when((s == 3) & (k % 8 == 0), F.upper(p)).when(s == 2, F.concat(p, F.lit(" (h)"))).otherwise(p)
     brands = A.table(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_brand")
     rows = A.match_items(spark, d).select("part", "store_id").join(brands, "part")
-    return N.canonical_names(rows.select(key.alias("k"), raw.alias("r")), "k", "r", {"brand#1": "House One"})
+    hand = spark.createDataFrame([("brand#1", "House One")], "spelling string, name string")
+    return N.canonical_names(rows.select(key.alias("k"), raw.alias("r")), "k", "r", hand, categories=("reprint",))
+
+
+@query("""wide AS (SELECT id, title, isbn13, list_distinct(list_transform(range(1, length(title)), lambda i: substr(title, i, 2))) AS g, 'crew' || (part // 180) AS author FROM match_items),
+keyed AS (SELECT id, unnest(['t:' || substr(title, 1, 4), 'a:' || author]) AS key FROM wide),
+pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keyed x JOIN keyed y ON x.key = y.key AND x.id < y.id)
+SELECT a, b FROM pairs JOIN wide x ON x.id = a JOIN wide y ON y.id = b
+WHERE 5 * len(list_intersect(x.g, y.g)) >= len(list_distinct(x.g || y.g)) OR starts_with(x.title, y.title) OR starts_with(y.title, x.title) OR x.isbn13 = y.isbn13""")
+def exact_blocks(spark, d):
+    """Pairs of blocks of any size, here of up to 540 items an author: all that the gates on titles leave open."""
+    crew = F.concat(F.lit("crew"), F.floor(F.col("part") / 180).cast("string"))
+    return M.block_pairs(A.match_items(spark, d).withColumn("author", crew), most=None)
+
+
+_MIXED = """mixed AS (SELECT id, CASE WHEN part % 4 = 0 THEN 2 ELSE store_id END AS store_id FROM match_items)"""
+
+
+@query(recursive(_CLUSTERS + f""", {_MIXED}, own AS (SELECT m.id, m.root, x.store_id FROM members m JOIN mixed x USING (id)),
+ends AS (SELECT a AS id, b AS other, score, decision FROM links UNION ALL SELECT b, a, score, decision FROM links),
+told AS (SELECT o.id, sum(CASE WHEN p.store_id <> o.store_id THEN e.score ELSE 0 END) AS weight, bool_or(e.decision = 'manual_merge') AS by_hand FROM ends e JOIN own o ON o.id = e.id JOIN own p ON p.id = e.other AND p.root = o.root GROUP BY o.id),
+ranked AS (SELECT o.*, coalesce(by_hand, false) AS by_hand, row_number() OVER (PARTITION BY root, store_id ORDER BY coalesce(weight, 0) DESC, id) AS k, coalesce(bool_or(by_hand) OVER (PARTITION BY root, store_id), false) AS some_hand FROM own o LEFT JOIN told USING (id)),
+stay AS (SELECT *, CASE WHEN some_hand THEN by_hand ELSE k = 1 END AS kept FROM ranked)
+SELECT id, CASE WHEN kept THEN min(id) FILTER (kept) OVER (PARTITION BY root) ELSE id END AS root FROM stay"""), derived=False)
+def one_per_store(spark, d):
+    """One item of each store in a cluster, or those that a person joined; every fourth book has its items in one store."""
+    items = A.match_items(spark, d).select("id", F.when(F.col("part") % 4 == 0, 2).otherwise(F.col("store_id")).alias("store_id"))
+    return C.one_per_store(_members(spark, d), _links(spark, d), items)
+
+
+_FILL = """couples AS (SELECT part, min(id) AS root, min(id) AS x, max(id) AS y FROM match_items WHERE store_id <> 3 GROUP BY part HAVING count(*) = 2),
+singles AS (SELECT id, part FROM match_items WHERE store_id = 3),
+members AS (SELECT m.id, coalesce(c.root, m.id) AS root FROM match_items m LEFT JOIN couples c ON c.part = m.part AND m.store_id <> 3),
+pairs AS (SELECT e.a, s.id AS b, 60 + (c.part * 7 + s.part * 11 + e.a * 5) % 41 AS score, (c.part + s.part) % 5 = 0 AS refused, (c.part * 3 + s.part) % 13 = 0 AS split, c.root
+ FROM couples c JOIN singles s ON s.part BETWEEN c.part - 3 AND c.part + 3 CROSS JOIN LATERAL (SELECT unnest([c.x, c.y]) AS a) e),
+asked AS (SELECT root, b, min(score) AS weaker FROM pairs WHERE score >= 70 AND NOT refused AND NOT split GROUP BY root, b HAVING count(*) = 2),
+wanted AS (SELECT root, list(b ORDER BY weaker DESC, b) AS wish, row_number() OVER (ORDER BY root) AS i FROM asked GROUP BY root)"""
+
+
+@query(recursive(_FILL + """,
+walk(i, root, pick, taken) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT n.i, n.root, list_filter(n.wish, lambda x: NOT list_contains(w.taken, x))[1], list_append(w.taken[-40:], list_filter(n.wish, lambda x: NOT list_contains(w.taken, x))[1])
+  FROM walk w JOIN wanted n ON n.i = w.i + 1),
+joined AS (SELECT m.id, coalesce(w.root, m.root) AS part FROM members m LEFT JOIN walk w ON w.pick = m.id)
+SELECT id, min(id) OVER (PARTITION BY part) AS root FROM joined"""), derived=False)
+def fill_missing(spark, d):
+    """Couples of two stores take an item of the third in order, out of those of neighbouring books, which several of them want."""
+    items = staged(A.match_items(spark, d).select("id", "store_id", "part"), "items")
+    couples = items.where("store_id <> 3").groupBy("part").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("n")).where("n = 2")
+    members = items.join(couples.select("part", "x"), "part", "left").select("id", F.when(F.col("store_id") != 3, F.coalesce("x", "id")).otherwise(F.col("id")).alias("root"))
+    near = couples.select(F.col("part").alias("p"), F.explode(F.array("x", "y")).alias("a")).withColumn("part", F.explode(F.sequence(F.col("p") - 3, F.col("p") + 3)))
+    pairs = near.join(items.where("store_id = 3").select("part", F.col("id").alias("b")), "part")
+    pairs = pairs.select("a", "b", (60 + (F.col("p") * 7 + F.col("part") * 11 + F.col("a") * 5) % 41).alias("score"), F.when((F.col("p") + F.col("part")) % 5 == 0, "rejected").otherwise("auto_low").alias("decision"), ((F.col("p") * 3 + F.col("part")) % 13 == 0).alias("split"))
+    return C.fill_missing(members, pairs, items, pairs.where("split").select("b", "a", F.lit("manual_split").alias("decision")))
 
 
 @query()
@@ -185,5 +240,5 @@ def cluster_repair(spark, d):
     pairs = staged(M.scored(M.block_pairs(items), items), "scored")
     manual = _manual(spark, d)
     links = staged(M.with_decisions(pairs, manual), "links")
-    members = C.repair(C.components(links, items), links, manual, items)
-    return C.fill_missing(C.one_per_store(members, links, items), pairs, items, manual)
+    members = staged(C.one_per_store(C.repair(C.components(links, items), links, manual, items), links, items), "members")
+    return M.filled(members, items, manual)

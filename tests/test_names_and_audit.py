@@ -18,38 +18,56 @@ from shelfmark.sources import archive as S
 from shelfmark.sources.html import products, robots
 
 
+def aliases(spark, *rows):
+    return spark.createDataFrame(rows, "spelling string, name string")
+
+
 def test_variants_and_likeness(spark):
-    names = ["film(feelm)", "film", "ybm(와이비엠)", "ybm", "와이비엠", "만화", "house(만화)", "other(만화)", "(only)", "", None, "aa[bb]{cc}"]
-    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", N.variants(F.col("n")).alias("v")).collect()
+    names = ["otter(loutre)", "otter", "kq(kayku)", "kq", "kayku", "reprint", "house(reprint)", "other(reprint)", "(only)", "", None, "aa[bb]{cc}"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", N.variants(F.col("n"), ("reprint",)).alias("v")).collect()
     told = {r.n: r.v and sorted(r.v) for r in rows}
-    assert told["film(feelm)"] == ["feelm", "film", "film(feelm)"] and told["house(만화)"] == ["house", "house(만화)"]
+    assert told["otter(loutre)"] == ["loutre", "otter", "otter(loutre)"] and told["house(reprint)"] == ["house", "house(reprint)"]
     assert told["(only)"] == ["(only)", "only"] and told["aa[bb]{cc}"] == ["aa", "aa[bb]{cc}", "bb", "cc"]
     assert told[""] is None and told[None] is None
-    pairs = spark.createDataFrame([("film(feelm)", "film"), ("ybm", "와이비엠"), ("house(만화)", "other(만화)"), ("acme", "acmes"), ("left", "right")], "x string, y string")
-    plain = {(r.x, r.y): r.sim for r in N.publisher_likeness(pairs, "x", "y").collect()}
-    assert plain["film(feelm)", "film"] == 1 and plain["ybm", "와이비엠"] == 0 and plain["house(만화)", "other(만화)"] < 0.8
+    pairs = spark.createDataFrame([("otter(loutre)", "otter"), ("kq", "kayku"), ("house(reprint)", "other(reprint)"), ("acme", "acmes"), ("left", "right"), ("éclair", "eclairs")], "x string, y string")
+    plain = {(r.x, r.y): r.sim for r in N.publisher_likeness(pairs, "x", "y", categories=("reprint",)).collect()}
+    assert plain["otter(loutre)", "otter"] == 1 and plain["kq", "kayku"] < 0.8 and plain["house(reprint)", "other(reprint)"] < 0.8
     assert plain["acme", "acmes"] == pytest.approx((8 / 9 + 3 / 4) / 2)
-    hand = {(r.x, r.y): r.sim for r in N.publisher_likeness(pairs, "x", "y", {"left": "house", "right": "house"}).collect()}
+    assert plain["éclair", "eclairs"] == pytest.approx((12 / 13 + 5 / 6) / 2)
+    hand = {(r.x, r.y): r.sim for r in N.publisher_likeness(pairs, "x", "y", aliases(spark, ("left", "house"), ("right", "house"), ("right", "barn"))).collect()}
     assert hand["left", "right"] == 1
 
 
+def test_likeness_from_a_floor_on(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    pairs = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    for floor in (0.0, 0.6, 0.8):
+        got = {(r.x, r.y): r.sim for r in N.likeness(pairs, "x", "y", floor).collect()}
+        assert got == {(x, y): (s if (s := N.alike(x, y)) >= floor else 0.0) for x in texts for y in texts if x != y}
+    names = spark.createDataFrame([("é", "e"), ("zoé", "zoe b"), ("a", "b"), ("ab", "ab")], "x string, y string")
+    got = {(r.x, r.y): r.sim for r in N.name_likeness(names, "x", "y").collect()}
+    assert got == {("é", "e"): 1.0, ("zoé", "zoe b"): N.alike("zoe", "zoe b"), ("a", "b"): 0.0, ("ab", "ab"): 1.0}
+
+
 def test_sides_are_led_by_names_between_them(spark):
-    rows = [(1, "ybm(와이비엠)"), (1, "ybm"), (1, "와이비엠"), (2, "minumsa"), (2, "zenith"), (3, "one"), (3, None), (4, "acme"), (4, "acmes"), (4, "zenith")]
+    rows = [(1, "kq(kayku)"), (1, "kq"), (1, "kayku"), (2, "sandpiper"), (2, "zenith"), (3, "one"), (3, None), (4, "acme"), (4, "acmes"), (4, "zenith")]
     got = {(r.root, r.publisher): r.side for r in N.sides(spark.createDataFrame(rows, "root long, publisher string"), "root", "publisher").collect()}
-    assert len({got[1, n] for n in ("ybm(와이비엠)", "ybm", "와이비엠")}) == 1
-    assert got[2, "minumsa"] != got[2, "zenith"] and got[3, "one"] == "one" and got[4, "acme"] == got[4, "acmes"] != got[4, "zenith"]
+    assert len({got[1, n] for n in ("kq(kayku)", "kq", "kayku")}) == 1
+    assert got[2, "sandpiper"] != got[2, "zenith"] and got[3, "one"] == "one" and got[4, "acme"] == got[4, "acmes"] != got[4, "zenith"]
 
 
 def test_canonical_names(spark):
-    rows = [("willow(weide)", "Willow(Weide)"), ("willow", "Willow"), ("willow", "WILLOW"), ("willow", "WILLOW"), ("a(만화)", "A(만화)"), ("b(만화)", "B"), ("chung", "Chung"), ("청", "Cheong"), (None, "x"), ("y", "  ")]
+    rows = [("willow(weide)", "Willow(Weide)"), ("willow", "Willow"), ("willow", "WILLOW"), ("willow", "WILLOW"), ("a(reprint)", "A(reprint)"), ("b(reprint)", "B"), ("heron", "Heron"), ("reiher", "Reiher"), (None, "x"), ("y", "  ")]
     rows += [(f"h{k}(shared)", f"H{k}") for k in range(9)] + [("shared", "Shared")]
     names = spark.createDataFrame(rows, "k string, r string")
-    got = {r.k: r.display for r in N.canonical_names(names, "k", "r", {"chung": "Chung & Co", "청": "Chung & Co"}).collect()}
-    assert got["willow"] == got["willow(weide)"] == "WILLOW" and (got["a(만화)"], got["b(만화)"]) == ("A(만화)", "B")
-    assert got["chung"] == got["청"] == "Chung & Co" and got["h1(shared)"] == "H1" and None not in got and "y" not in got
-    few = {r.k: r.display for r in N.canonical_names(names, "k", "r", shared_most=99).collect()}
+    kinds = ("reprint",)
+    got = {r.k: r.display for r in N.canonical_names(names, "k", "r", aliases(spark, ("heron", "Heron & Co"), ("reiher", "Heron & Co")), categories=kinds).collect()}
+    assert got["willow"] == got["willow(weide)"] == "WILLOW" and (got["a(reprint)"], got["b(reprint)"]) == ("A(reprint)", "B")
+    assert got["heron"] == got["reiher"] == "Heron & Co" and got["h1(shared)"] == "H1" and None not in got and "y" not in got
+    few = {r.k: r.display for r in N.canonical_names(names, "k", "r", shared_most=99, categories=kinds).collect()}
     assert few["h1(shared)"] == few["shared"] == few["h8(shared)"]
-    authors = {r.k: r.display for r in N.canonical_names(names, "k", "r", by_spelling=False).collect()}
+    authors = {r.k: r.display for r in N.canonical_names(names, "k", "r", by_spelling=False, categories=kinds).collect()}
     assert authors["willow(weide)"] == "Willow(Weide)"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import random
 from difflib import SequenceMatcher
 from pathlib import Path
 
@@ -101,15 +102,111 @@ def test_repair(spark):
     assert [tuple(r) for r in C.left_together(large, manual).collect()] == [(7, 7, 10)]
 
 
-def test_one_per_store_and_fill(spark):
+def test_one_per_store(spark):
     items = spark.createDataFrame([item(1, 1), item(2, 2), item(3, 2), item(4, 3), item(5, 3)], ITEMS)
     links = spark.createDataFrame([(1, 2, 80, "auto_low"), (1, 3, 90, "auto_high"), (2, 3, 99, "auto_high")], LINKS)
-    own = C.one_per_store(C.components(links, items), links, items)
-    assert members(own) == {1: 1, 3: 1, 2: 2, 4: 4, 5: 5}
-    pairs = spark.createDataFrame([(1, 4, 75, "rejected"), (3, 4, 72, "rejected"), (1, 5, 90, "rejected"), (3, 5, 71, "rejected"), (2, 5, 99, "rejected")], LINKS)
-    none = spark.createDataFrame([], MANUAL)
-    assert members(C.fill_missing(own, pairs, items, none)) == {1: 1, 3: 1, 4: 1, 2: 2, 5: 5}
-    assert members(C.fill_missing(own, pairs, items, spark.createDataFrame([(4, 1, "manual_split")], MANUAL))) == {1: 1, 3: 1, 5: 1, 2: 2, 4: 4}
+    assert members(C.one_per_store(C.components(links, items), links, items)) == {1: 1, 3: 1, 2: 2, 4: 4, 5: 5}
+    # What a person joined stays, and nothing else of that store, however well it fits.
+    links = spark.createDataFrame([(1, 2, 0, "manual_merge"), (1, 3, 95, "auto_high"), (3, 4, 95, "auto_high")], LINKS)
+    assert members(C.one_per_store(C.components(links, items), links, items)) == {1: 1, 2: 1, 4: 1, 3: 3, 5: 5}
+    links = spark.createDataFrame([(2, 3, 0, "manual_merge"), (1, 3, 95, "auto_high")], LINKS)
+    assert members(C.one_per_store(C.components(links, items), links, items)) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
+def test_fill_needs_pairs_that_were_accepted(spark):
+    items = spark.createDataFrame([item(1, 1), item(3, 2), item(4, 3), item(5, 3)], ITEMS)
+    own = spark.createDataFrame([(1, 1), (3, 1), (4, 4), (5, 5)], "id long, root long")
+    fill = lambda kind, split=(): members(C.fill_missing(own, spark.createDataFrame([(1, 4, 75, kind), (3, 4, 72, "auto_low"), (1, 5, 90, "auto_high"), (3, 5, 71, "auto_low")], LINKS), items, spark.createDataFrame(list(split), MANUAL)))
+    assert fill("auto_low") == {1: 1, 3: 1, 4: 1, 5: 5}
+    assert fill("rejected") == fill("auto_low", [(4, 1, "manual_split")]) == {1: 1, 3: 1, 5: 1, 4: 4}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fill_in_order_of_the_clusters(spark, seed):
+    rng = random.Random(seed)
+    store, root = {}, {}
+    for k in range(0, 120, 2):
+        a, b = rng.sample((1, 2, 3), 2)
+        store |= {k: a, k + 1: b}
+        root |= {k: k, k + 1: k}
+    for k in range(120, 170):
+        store[k], root[k] = rng.choice((1, 2, 3)), k
+    score = {(a, b): (rng.choice((65, 70, 70, 75, 90)), rng.choice(("auto_low", "auto_high", "rejected"))) for a in range(120) for b in range(120, 170) if rng.random() < 0.4}
+    split = {(b, a) for a, b in score if rng.random() < 0.05}
+    want, free = dict(root), [k for k in root if k >= 120]
+    for k in range(0, 120, 2):
+        best = None
+        for c in free:
+            pair = [score.get((i, c), (0, "rejected")) for i in (k, k + 1)]
+            if store[c] not in (store[k], store[k + 1]) and all(s >= 70 and d != "rejected" for s, d in pair) and not any((c, i) in split for i in (k, k + 1)):
+                weaker = min(s for s, _ in pair)
+                if best is None or weaker > best[0]:
+                    best = weaker, c
+        if best:
+            want[best[1]] = k
+            free.remove(best[1])
+    items = spark.createDataFrame([item(k, s) for k, s in store.items()], ITEMS)
+    pairs = spark.createDataFrame([(a, b, s, d) for (a, b), (s, d) in score.items()], LINKS)
+    hand = spark.createDataFrame([(*p, "manual_split") for p in split], MANUAL)
+    assert members(C.fill_missing(spark.createDataFrame(list(root.items()), "id long, root long"), pairs, items, hand)) == want
+
+
+def title_rows(seed, n=140):
+    rng = random.Random(seed)
+    words = ["sand", "salt", "stone", "river", "a", "of", "und", "é"]
+    titles = ["".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(n // 2)]
+    return [item(k, 1 + k % 3, title=rng.choice([None, "", *titles, *titles]), author=rng.choice(["ann b", "ann bo", "anne b", "ánn b", "zed", None]), isbn13=rng.choice([None, None, None, "1", "2"])) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_of_any_size(spark, seed):
+    rows = title_rows(seed)
+    keys = {r[0]: {("t", r[2][:4]) if r[2] is not None else None, ("a", r[3]) if r[3] else None} - {None} for r in rows}
+    grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)} or ({t} - {""})
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and keys[x[0]] & keys[y[0]]:
+                same_isbn = x[9] is not None and x[9] == y[9]
+                g, h = grams(x[2] or ""), grams(y[2] or "")
+                head = x[2] and y[2] and min(len(x[2]), len(y[2])) >= 4 and (x[2].startswith(y[2]) or y[2].startswith(x[2]))
+                if same_isbn or head or (g and h and 5 * len(g & h) >= len(g | h)):
+                    want.add((x[0], y[0]))
+    items = spark.createDataFrame(rows, ITEMS).repartition(4)
+    assert {tuple(r) for r in M.block_pairs(items, most=None).collect()} == want
+    # What is accepted of them is what is accepted of all pairs.
+    accepted = lambda p: {(r.a, r.b): r.score for r in M.scored(p, items).where("rejected_by IS NULL").collect()}
+    assert accepted(M.block_pairs(items, most=None)) == accepted(M.block_pairs(items, most=10**6)) != {}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_candidates_to_fill_with(spark, seed):
+    items = spark.createDataFrame(title_rows(seed, 90), ITEMS).repartition(4)
+    x, y = items.select(F.col("id").alias("a")), items.select(F.col("id").alias("b"))
+    every = M.scored(x.join(y, F.col("a") < F.col("b")), items).where("decision <> 'rejected' AND score >= 70")
+    want = {(r.a, r.b) for r in every.collect()}
+    assert want and want <= {tuple(r) for r in M.fill_candidates(items, 70).collect()}
+
+
+def test_fill_without_a_shared_block(spark):
+    far = "zebra crossings of the old town"
+    rows = [item(1, 1, title=far, author=None), item(2, 2, title=far, author="w"), item(3, 3, title="x" + far, author="v"), item(4, 3, title="quite another book")]
+    items = spark.createDataFrame(rows, ITEMS)
+    own = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "id long, root long")
+    assert members(M.filled(own, items, spark.createDataFrame([], MANUAL))) == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_one_decision_a_pair(spark):
+    pairs = spark.createDataFrame([(1, 2, 90, "auto_high"), (3, 4, 90, "auto_high")], LINKS)
+    dated = spark.createDataFrame([(2, 1, "manual_merge", 5), (1, 2, "manual_split", 9), (3, 4, "manual_split", 1), (4, 3, "manual_merge", 2), (5, 6, "manual_merge", 1)], MANUAL + ", decided_at int")
+    assert {(r.a, r.b): r.decision for r in M.with_decisions(pairs, dated).collect()} == {(3, 4): "manual_merge", (5, 6): "manual_merge"}
+    assert {(r.a, r.b) for r in M.with_decisions(pairs, dated.drop("decided_at")).collect()} == {(5, 6)}
+
+
+def test_price_gate_of_trusted_stores(spark):
+    items = spark.createDataFrame([item(1, 1), item(2, 2, list_price=900), item(3, 3, list_price=800)], ITEMS)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert {r.b: r.rejected_by for r in M.scored(pairs, items, price_stores=(1, 2)).collect()} == {2: "price", 3: None}
 
 
 def test_archive(spark, tmp_path):
