@@ -75,13 +75,13 @@ def name_ranking(rows: DataFrame, books: DataFrame, name: Column, depth: int, li
     """name, books, best, score, titles: publishers or authors by the sum of depth + 1 - avg_rank over their books."""
     own = combined_rows(rows).join(books, "book_id").withColumn("name", name).where("name IS NOT NULL AND name <> ''")
     points = F.greatest(F.lit(0.0), F.lit(float(depth + 1)) - F.col("avg_rank"))
-    figures = own.groupBy("name").agg(F.countDistinct("book_id").alias("books"), F.min("avg_rank").alias("best"), half_up(F.sum(points.cast("decimal(18,1)")), 0).cast("long").alias("score"))
-    top = figures.orderBy(F.desc("score"), "best", "name").limit(clamp(limit, 1, 300))
-    # The first three titles of the few names that are shown; the limit by place is applied before the rows are dealt out.
-    order = W.partitionBy("name").orderBy("avg_rank", "book_id")
-    first = own.join(F.broadcast(top.select("name")), "name", "left_semi").withColumn("place", F.row_number().over(order)).where("place <= 3")
-    titles = first.groupBy("name").agg(F.concat_ws(" / ", F.transform(F.sort_array(F.collect_list(F.struct("place", "title"))), lambda x: x["title"])).alias("titles"))
-    return top.join(titles, "name").orderBy(F.desc("score"), "best", "name")
+    # Places come before the sums, in the same partitions by name, so a list is derived and dealt out once.
+    own = own.withColumn("place", F.row_number().over(W.partitionBy("name").orderBy("avg_rank", "book_id")))
+    titles = F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "title"))))
+    figures = own.groupBy("name").agg(
+        F.countDistinct("book_id").alias("books"), F.min("avg_rank").alias("best"), half_up(F.sum(points.cast("decimal(18,1)")), 0).cast("long").alias("score"),
+        F.concat_ws(" / ", F.transform(titles, lambda x: x["title"])).alias("titles"))
+    return figures.orderBy(F.desc("score"), "best", "name").limit(clamp(limit, 1, 300))
 
 
 def publisher_name(column: str = "publisher") -> Column:

@@ -6,10 +6,14 @@ a snapshot date or a store reach the windows' partition keys and the scans. Only
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shelfmark.plans.staging import shared_folder
+
 STORES = (1, 2, 3)
 
 
@@ -29,7 +33,7 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def store_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_store_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store_book_id, store_id, part, book_id (null: not matched), title, list_price in cents (null: unknown)."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_suppkey") % 3 + 1).cast("int").alias("store_id")).distinct()
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_name", F.round(F.col("p_retailprice") * 100).cast("long").alias("cents"))
@@ -41,7 +45,36 @@ def store_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Where this process has written derived tables, by application, folder and name.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def _written(derived: DataFrame, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """derived, written once for each application and folder, by a column if one is given. The given tables do not change while an application runs."""
+    spark = derived.sparkSession
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _WRITTEN:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        (derived.write.partitionBy(by) if by else derived.write).parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.schema(derived.schema).parquet(_WRITTEN[at]).select(*derived.columns)
+
+
+def store_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `derived_store_books`, written once."""
+    return _written(derived_store_books(spark, sf_dir), sf_dir, "store-books")
+
+
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `derived_rankings`, written once by snapshot_date.
+
+    All queries over lists read this table, so a filter on dates opens the folders of these dates only, and no query ranks
+    the whole history anew.
+    """
+    return _written(derived_rankings(spark, sf_dir).repartition("snapshot_date", "store_id"), sf_dir, "rankings", "snapshot_date")
+
+
+def derived_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """snapshot_date, store_id, kind (online, weekly, offline), unified, rank, store_book_id, part, sales_point.
 
     online lists rank by quantity, weekly ones by revenue, offline ones by number of lines; ties by part. The online and
