@@ -23,8 +23,8 @@ figures of the recursion by induced sorting that this stands for. Common prefixe
 only where the byte before differs are they compared, else they follow from the one before. Neighbours with `length`
 common bytes are equal strings, and of each such class all but the first are covered.
 
-Rows without a doc_id are left out. A null text is empty. Rows that repeat a doc_id share their covered spans; with
-equal texts they count as one document. Matches never cross documents. Columns of any other name are carried along
+Rows without a doc_id are left out. A null text is empty. Rows that repeat a doc_id with equal texts count as one document;
+with different texts they are documents of their own, in an order of their own behind the smaller ids. Matches never cross documents. Columns of any other name are carried along
 untouched, those named like columns used here too. An empty table gives an empty one.
 """
 
@@ -553,15 +553,32 @@ def _removed(at: int | None):
     return run
 
 
-def _spans_of(docs: DataFrame, length: int, heavy: int) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs (with doc_id and text) with a column that tells documents apart, in the order of doc_id: doc_id itself, if no two texts share one.
+
+    Else the distinct pairs of doc_id and text, the latter as hashes of 96 bits and a length, are sorted by ranges and numbered.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    told = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"), F.length(text).alias("l"))
+    if told.groupBy("d").agg((F.min(F.struct("h", "g", "l")) < F.max(F.struct("h", "g", "l"))).alias("twins")).where("twins").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    keys = ["d", "h", "g", "l"]
+    numbers = told.distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("n", F.monotonically_increasing_id())
+    numbers = staged(numbers, "numbers").select(*(F.col(c).alias(f"{name}_{c}") for c in keys), F.col("n").alias(name))
+    same = [F.col(f"{name}_{c}") == x for c, x in zip(keys, (F.col("doc_id").cast("long"), F.xxhash64(text), F.hash(text), F.length(text)), strict=True)]
+    return docs.join(numbers, same, "left").select(*docs.columns, name)
+
+
+def _spans_of(docs: DataFrame, number: str, length: int, heavy: int) -> DataFrame:
+    own = docs.select(F.col(number).alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     return covered_spans(own, length, heavy).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    rows = docs.join(_spans_of(docs, length, heavy), "doc_id", "left")
+    docs = _numbered(docs, "number")
+    rows = docs.join(_spans_of(docs, "number", length, heavy).withColumnRenamed("doc_id", "number"), "number", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_removed(None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -571,7 +588,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -
     A character of which a byte is removed goes as a whole. Rows without a doc_id stay as they are.
     """
     columns, own = docs.columns, fresh_name("spans", docs.columns)
-    spans = _spans_of(docs, length, heavy).select(F.col("doc_id").alias(f"{own}_of"), F.col("spans").alias(own))
-    rows = docs.join(spans, F.col("doc_id") == F.col(f"{own}_of"), "left").drop(f"{own}_of")
+    number = fresh_name("number", docs.columns)
+    numbered = _numbered(docs, number)
+    spans = _spans_of(numbered, number, length, heavy).select(F.col("doc_id").alias(f"{own}_of"), F.col("spans").alias(own))
+    rows = numbered.join(spans, F.col(number) == F.col(f"{own}_of"), "left").drop(f"{own}_of", number)
     out = rows.mapInArrow(_removed(columns.index("text")), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

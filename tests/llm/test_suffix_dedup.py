@@ -92,6 +92,22 @@ def test_repeated_equal_rows_count_as_one(frame, prose):
     assert got == sorted([brute([(5, text)], 100)[0]] * 2 + [brute([(5, text), (6, text)], 100)[1]])
 
 
+def test_rows_that_share_an_id_keep_what_stands_once(frame, prose):
+    passage, own, other = prose(40, 1)[:200], prose(60, 2)[:406], prose(20, 3)[:55]
+    rows = [(1, passage), (5, passage + other), (5, own), (5, own), (None, passage)]
+    got = sorted((r.doc_id, r.text) for r in without_repeats(frame(rows)).collect() if r.doc_id is not None)
+    assert got == sorted([(1, passage), (5, other), (5, own), (5, own)])
+    assert sorted((r.n_bytes, r.n_removed) for r in deduplicated(frame(rows)).collect()) == sorted([(200, 0), (200 + len(other), 200), (len(own), 0), (len(own), 0)])
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_shared_ids_like_brute_force(frame, prose, seed):
+    rows = frame([(d % 13, t) for d, t in passages(prose, seed)])
+    ordered = rows.select("doc_id", "text").distinct().orderBy("doc_id", F.xxhash64("text"), F.hash("text")).collect()
+    want = brute([(k, r.text) for k, r in enumerate(ordered)], 100)
+    assert sorted(map(tuple, deduplicated(rows).collect())) == sorted((ordered[k].doc_id, *x) for k, *x in want)
+
+
 def test_empty_table(frame):
     assert deduplicated(frame([])).collect() == []
 
