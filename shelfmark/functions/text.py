@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Edition words that are taken from titles; own vocabulary.
-EDITIONS = ["deluxe", "expanded", "illustrated", "limited", "revised", "special"]
+#: Edition words that are taken from titles, each with what it is called; own vocabulary.
+EDITIONS = {w: w for w in ("deluxe", "expanded", "illustrated", "limited", "revised", "special")} | {"deluxe box": "boxed", "fully revised": "revised"}
 #: Marketing words that are stripped from a title's head.
 BADGES = ["new", "hot", "best", "sale"]
 #: Corporate words that are no part of a publisher's name, the longest first.
@@ -27,6 +27,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def compatible(text: Column) -> Column:
+    """Text in the compatibility normal form; what is ASCII only is so already, and does not go through Python."""
+    return F.coalesce(nfkc(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)), text)
+
+
 def brackets(text: Column) -> Column:
     """What stands in brackets, without them."""
     return F.transform(F.regexp_extract_all(text, F.lit(f"({_BRACKETS})"), 1), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
@@ -45,10 +50,22 @@ def without_subtitle(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"^(.{2,}?)(?: - |: ).*$", "$1"))
 
 
-def editions(text: Column) -> Column:
-    """Edition words in the text, sorted."""
+def _words(names) -> str:
+    """A pattern for whole words, the longest first, so that what a longer one takes is not found again in it."""
+    return rf"\b(?:{'|'.join(sorted(names, key=lambda w: (-len(w), w)))})\b"
+
+
+def editions(text: Column, names: dict[str, str] | None = None) -> Column:
+    """What the edition words in a text are called, sorted; with 'all volumes' for 'all n vols' and 'set' for the word set.
+
+    names: word and what it is called. Words are whole ones, and the leftmost and longest takes its letters: those of 'deluxe box' are no 'deluxe'.
+    """
+    names = EDITIONS if names is None else names
     low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, sorted(EDITIONS))), lambda w: F.contains(low, w))
+    called = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    found = F.transform(F.regexp_extract_all(low, F.lit(_words(names)), F.lit(0)), lambda w: called[w])
+    marks = F.array(F.when(F.regexp_like(low, F.lit(r"\ball \d+ vols?\b")), "all volumes"), F.when(F.regexp_like(low, F.lit(r"\bset\b")), "set"))
+    return F.array_sort(F.array_distinct(F.concat(found, F.array_compact(marks))))
 
 
 def set_volumes(text: Column) -> Column:
@@ -72,24 +89,27 @@ def without_badges(text: Column, times: int = 3) -> Column:
     return text
 
 
-def letters(text: Column) -> Column:
-    """Lower-case letters and digits only; null if none are left."""
-    return F.nullif(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")), F.lit(""))
+def letters(text: Column, also: str = "") -> Column:
+    """Lower-case letters and digits, and the marks in `also`, only; null if none are left."""
+    return F.nullif(F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}{also}]+", "")), F.lit(""))
 
 
 def normalize_title(text: Column) -> Column:
     """struct(core, subtitle, editions, set_volumes)."""
-    bare = without_brackets(without_badges(F.trim(text)))
-    core = F.regexp_replace(without_subtitle(bare), rf"(?i)\b(?:{'|'.join(EDITIONS)}|edition)\b", " ")
-    return F.struct(letters(core).alias("core"), letters(subtitle(bare)).alias("subtitle"), editions(text).alias("editions"), set_volumes(text).alias("set_volumes"))
+    whole = without_badges(F.trim(compatible(text)))
+    bare = without_brackets(whole)
+    core = F.regexp_replace(F.lower(without_subtitle(bare)), _words([*EDITIONS, "edition"]), " ")
+    core = F.regexp_replace(core, r"\ball \d+ vols?\b|\bset(?: of \d+)?\b", " ")
+    return F.struct(letters(core).alias("core"), letters(subtitle(bare)).alias("subtitle"), editions(whole).alias("editions"), set_volumes(whole).alias("set_volumes"))
 
 
 def normalize_publisher(text: Column) -> Column:
-    return letters(F.regexp_replace(F.lower(without_brackets(text)), rf"\b(?:{'|'.join(CORPORATE)})\b\.?", " "))
+    """Without corporate words, blanks and marks, but with what stands in brackets, which may be another name of the house."""
+    return letters(F.regexp_replace(F.lower(compatible(text)), rf"{_words(CORPORATE)}\.?", " "), r"()\[\]{}")
 
 
 def normalize_author(text: Column) -> Column:
-    return letters(F.regexp_replace(F.lower(without_brackets(text)), r"\b(?:author|editor|translator|by)\b", " "))
+    return letters(F.regexp_replace(F.lower(without_brackets(compatible(text))), r"\b(?:author|editor|translator|by)\b", " "))
 
 
 def fold(text: Column) -> Column:
@@ -109,7 +129,7 @@ def parse_year_month(text: Column) -> Column:
 
 
 def parse_prices(text: Column, currency: str = "won", low: int = 1000, high: int = 2_000_000, before: int = 14) -> Column:
-    """struct(list_price, sale_price): the larger and the smaller of the first two amounts.
+    """struct(list_price, sale_price): the larger and the smaller of the first two amounts. One amount is the list price, and no sale price.
 
     Amounts that a condition ('or more') follows, that a word of PROMOTION stands within `before` characters before, or that
     lie outside low to high, are no prices.
@@ -119,7 +139,7 @@ def parse_prices(text: Column, currency: str = "won", low: int = 1000, high: int
     found = F.regexp_extract_all(text, F.lit(rf"((?<![\d,])(?<!{promotion})\d[\d,]{{0,12}} ?{currency}(?!\s*(?:{after})))"), 1)
     amounts = F.transform(found, lambda x: F.regexp_replace(x, r"[^0-9]", "").cast("long"))
     two = F.slice(F.filter(amounts, lambda x: x.between(low, high)), 1, 2)
-    return F.struct(F.array_max(two).alias("list_price"), F.array_min(two).alias("sale_price"))
+    return F.struct(F.array_max(two).alias("list_price"), F.when(F.size(two) == 2, F.array_min(two)).alias("sale_price"))
 
 
 def role_author(names: Column, roles: list[str]) -> Column:
@@ -161,6 +181,42 @@ def isbn_in(text: Column) -> Column:
     return F.get(F.filter(F.transform(found, lambda x: F.replace(x, F.lit("-"), F.lit(""))), is_isbn13), F.lit(0))
 
 
+def _thirteen(number: Column) -> Column:
+    """The ISBN-13 that thirteen or ten signs stand for, null if the check digit is wrong."""
+    return F.when(F.length(number) == 10, isbn10_to_13(number)).when(_digits_check(number), number)
+
+
+def _digits_check(number: Column) -> Column:
+    return F.regexp_like(number, F.lit(r"^\d{13}$")) & (isbn13_digit(number) == F.substring(number, 13, 1).cast("int"))
+
+
+def isbn_in_address(text: Column) -> Column:
+    """struct(isbn13, method) of the first number in an address whose check digit is right: thirteen digits, else ten signs that no digit touches."""
+    long = F.get(F.filter(F.regexp_extract_all(text, F.lit(r"(\d{13})"), F.lit(1)), _digits_check), F.lit(0))
+    short = F.get(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{9}[\dXx])(?!\d)"), F.lit(1)), isbn10_to_13), lambda x: x.isNotNull()), F.lit(0))
+    return F.struct(F.coalesce(long, short).alias("isbn13"), F.when(long.isNotNull(), "thirteen").when(short.isNotNull(), "ten").alias("method"))
+
+
+def isbn_hits(text: Column, around: int = 70, told: int = 40) -> Column:
+    """array of struct(isbn13, context): every number of thirteen digits or ten signs in a text whose check digit is right.
+
+    No digit or dash may touch it. Ten signs are told as thirteen. context: `around` characters on both sides, blanks as one. Of hits with
+    one number and the same first `told` characters of context the first counts.
+    """
+    pattern = r"(?<![\d-])(?:\d{13}|\d{9}[\dXx])(?![\d-])"
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.transform(F.split(text, pattern), lambda x: F.length(x))
+    n = F.size(found)
+    # Where each begins: behind all that stands between and all numbers before it.
+    begins = F.aggregate(
+        F.slice(F.arrays_zip(found.alias("f"), between.alias("b")), F.lit(1), F.greatest(n, F.lit(0))), F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<raw:string,begin:int>>").alias("out")),
+        lambda s, x: F.struct((s["at"] + x["b"] + F.length(x["f"])).alias("at"), F.concat(s["out"], F.array(F.struct(x["f"].alias("raw"), (s["at"] + x["b"]).alias("begin")))).alias("out")), lambda s: s["out"])
+    begin = lambda x: F.greatest(x["begin"] - around, F.lit(1))
+    context = lambda x: F.trim(F.regexp_replace(F.substring(text, begin(x), x["begin"] - begin(x) + F.length(x["raw"]) + around), r"\s+", " "))
+    hits = F.filter(F.transform(begins, lambda x: F.struct(_thirteen(x["raw"]).alias("isbn13"), context(x).alias("context"))), lambda x: x["isbn13"].isNotNull())
+    key = lambda x: F.struct(x["isbn13"], F.left(x["context"], F.lit(told)))
+    return F.filter(hits, lambda x, i: ~F.exists(F.slice(hits, F.lit(1), i), lambda y: key(y) == key(x)))
+
+
 def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
 

@@ -204,7 +204,7 @@ SELECT 'P' || k AS key, page, CAST(CASE WHEN k % 5 = 0 THEN 1000000 + k ELSE (pa
 CASE k % 3 WHEN 0 THEN 'T' || k || ', W' || k WHEN 1 THEN 'T' || k || ', E' || k ELSE 'T' || k END AS authors, CAST(10000 + k AS BIGINT) AS list_price, CAST(CASE WHEN k % 2 = 0 THEN 9000 END AS BIGINT) AS sale_price,
 (2000 + k % 20) || '-' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') AS pub_ym, CASE WHEN k % 4 <> 3 THEN f || CAST(c AS INTEGER) END AS isbn13, '/cover/' || k || '.jpg' AS cover FROM placed WHERE k % 17 <> 0""", derived=False)
 def product_listing(spark, d):
-    """Listing pages made of the parts, read back; one in 17 has no title and is none, of one in four the ISBN is wrong."""
+    """Listing pages made of the parts, read back; one in six boxes holds a list, one in 17 has no title and is none, of one in four the ISBN is wrong."""
     k = F.col("p_partkey")
     s = lambda x: x.cast("string")
     t = F.lit
@@ -214,7 +214,7 @@ def product_listing(spark, d):
     title = F.when(k % 17 != 0, F.concat("p_name", t(" &amp; &lt;"), s(k), t("&gt;"))).otherwise("")
     box = F.concat(
         t('<li class="product" data-key="P'), s(k), t('"><img alt="" src="/cover/'), s(k), t('.jpg">'), F.when(k % 5 == 0, F.concat(t('<em class="rank">No. '), s(k + 1_000_000), t("</em>"))).otherwise(""),
-        t('<a class="title" href="/item'), F.when(k % 4 == 1, F.concat(t("?isbn="), isbn)).otherwise(""), t('"><b>'), title, t('</b></a><span class="author">'), people, t('</span><span class="price"><i>29</i><i>'), F.format_number(k + 10000, 0),
+        t('<a class="title" href="/item'), F.when(k % 4 == 1, F.concat(t("?isbn="), isbn)).otherwise(""), t('"><b>'), title, t('</b></a><span class="author">'), people, t("</span>"), F.when(k % 6 == 0, "<ul><li>a gift</li><li>and more</ul>").otherwise(""), t('<span class="price"><i>29</i><i>'), F.format_number(k + 10000, 0),
         t(" won</i>, order 50,000 won or more"), F.when(k % 2 == 0, t(", now 9,000 won")).otherwise(""), t('</span><span class="date">'), s(k % 20 + 2000), t(". "), s(k % 12 + 1), t(".</span>"), F.when(k % 4 != 1, F.concat(t("<p>ISBN "), isbn, t("</p>"))).otherwise(""), t("</li>"))
     parts = A.table(spark, d, "part").select(k.alias("k"), F.floor(k / 20).cast("int").alias("p"), box.alias("box"))
     pages = parts.groupBy("p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "box"))), lambda x: x["box"]), "\n").alias("boxes"))

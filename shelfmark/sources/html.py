@@ -1,11 +1,13 @@
-"""Rows from HTML pages, page diagnosis, and robots rules, as expressions over the html column."""
+"""Rows from HTML pages, page diagnosis, and robots rules."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import isbn_in, parse_prices, parse_year_month, role_author
+from shelfmark.functions.text import isbn_hits, isbn_in_address, parse_prices, parse_year_month, role_author
+from shelfmark.sources.boxes import boxes, field
+from shelfmark.sources.robots import verdicts
 
 #: Words that a blocked page shows; own vocabulary.
 BLOCKED = ["captcha", "access denied", "unusual traffic"]
@@ -26,17 +28,6 @@ def listing(pages: DataFrame, size: int = 20) -> DataFrame:
     return pages.select("page_id", F.posexplode(items).alias("k", "item")).select("page_id", (F.col("page_id") * size + F.col("k") + 1).cast("long").alias("rank"), "item")
 
 
-def _one(text: Column, pattern: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
-
-
-def unescaped(text: Column) -> Column:
-    """The few named entities that titles hold, as characters."""
-    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
-    return text
-
-
 def with_roles(text: Column) -> Column:
     """array of struct(name, role) of 'Name (role), Name (role)'; without brackets the role is null."""
     people = F.filter(F.split(text, r"\s*,\s*"), lambda x: F.trim(x) != "")
@@ -50,18 +41,13 @@ def products(pages: DataFrame, size: int = 20, roles: tuple[str, ...] = ("writer
     the one it shows, else its place, going on from page to page by `size`. Of several authors the one whose role comes
     first counts. An ISBN is taken from addresses first, then from the text, if its check digit is right.
     """
-    boxes = F.regexp_extract_all("html", F.lit(r'(?s)(<li class="product"[^>]*>.*?</li>)'), F.lit(1))
-    rows = pages.select("page", F.posexplode(boxes).alias("k", "box"))
-    field = lambda name: _one(F.col("box"), rf'(?s)class="{name}"[^>]*>(.*?)</(?:span|a|em)>')
-    bare = lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", " "))
-    people = with_roles(bare(field("author")))
-    price = parse_prices(bare(field("price")))
-    links = F.array_join(F.regexp_extract_all("box", F.lit(r'(?:href|src)="([^"]*)"'), F.lit(1)), " ")
-    rank = F.coalesce(F.regexp_extract(field("rank"), r"(\d+)", 1).try_cast("int"), ((F.col("page") - 1) * size + F.col("k") + 1).cast("int"))
+    rows = boxes(pages.select("page", "html"))
+    people, price = with_roles(field("author")), parse_prices(field("price"))
+    rank = F.coalesce(F.regexp_extract(field("rank"), r"(\d+)", 1).try_cast("int"), ((F.col("page") - 1) * size + F.col("place") + 1).cast("int"))
     out = rows.select(
-        _one(F.col("box"), r'data-key="([^"]*)"').alias("key"), "page", rank.alias("rank"), unescaped(bare(field("title"))).alias("title"), role_author(people, list(roles)).alias("author"),
-        F.array_join(F.transform(people, lambda x: x["name"]), ", ").alias("authors"), price["list_price"].alias("list_price"), F.when(price["sale_price"] < price["list_price"], price["sale_price"]).alias("sale_price"),
-        parse_year_month(bare(field("date"))).alias("pub_ym"), F.coalesce(isbn_in(links), isbn_in(bare(F.col("box")))).alias("isbn13"), _one(F.col("box"), r'<img[^>]* src="([^"]+)"').alias("cover"))
+        F.nullif("key", F.lit("")).alias("key"), "page", rank.alias("rank"), field("title").alias("title"), role_author(people, list(roles)).alias("author"),
+        F.array_join(F.transform(people, lambda x: x["name"]), ", ").alias("authors"), price["list_price"].alias("list_price"), price["sale_price"].alias("sale_price"),
+        parse_year_month(field("date")).alias("pub_ym"), F.coalesce(isbn_in_address(F.array_join("links", " "))["isbn13"], F.get(isbn_hits(F.col("text"))["isbn13"], F.lit(0))).alias("isbn13"), "cover")
     return out.where("key IS NOT NULL AND title <> ''")
 
 
@@ -76,19 +62,5 @@ def diagnosis(pages: DataFrame) -> DataFrame:
 
 
 def robots(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """page_id, allowed: the longest matching rule (pattern, allow) wins, allow on a tie, and none allows.
-
-    '*' stands for anything and a last '$' for the end. Rules with a column host are asked for URLs of that host only, and so
-    meet by an equi-join; without one they are a site's few.
-    """
-    literal = F.regexp_replace("pattern", r"([.+?(){}\[\]|^\\])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(literal, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
-    keyed = "host" in rules.columns
-    rules = rules.select("pattern", "allow", regex.alias("regex"), *([F.lower("host").alias("rule_host")] if keyed else []))
-    path = F.regexp_extract("url", r"^[^:]+://[^/]*(/[^#]*)", 1)
-    host = F.lower(F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1))
-    fit = F.regexp_like("path", F.col("regex"))
-    asked = pages.select("page_id", path.alias("path"), host.alias("host"))
-    fits = asked.join(rules, (F.col("host") == F.col("rule_host")) & fit, "left") if keyed else asked.join(rules, fit, "left")
-    best = fits.groupBy("page_id").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow")).alias("best"))
-    return best.select("page_id", F.coalesce("best.allow", F.lit(True)).alias("allowed"))
+    """page_id, allowed by rules (pattern, allow and, if they are of one host each, host); see sources.robots."""
+    return verdicts(pages, rules).select("page_id", "allowed")

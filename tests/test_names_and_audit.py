@@ -15,7 +15,9 @@ from shelfmark.operators import clusters as C
 from shelfmark.operators import names as N
 from shelfmark.plans.staging import shared_folder
 from shelfmark.sources import archive as S
+from shelfmark.sources.boxes import boxes
 from shelfmark.sources.html import products, robots
+from shelfmark.sources.robots import rules_for, verdicts
 
 
 def aliases(spark, *rows):
@@ -106,10 +108,10 @@ def test_texts(spark):
     assert len(tokens) == 2 and all(len(t) == 64 and set(t) <= set("0123456789abcdef") for t in tokens)
     price = lambda t: tuple(one(T.parse_prices(F.lit(t))))
     assert price("was 30,000 won, now 27,000 won") == (30000, 27000)
-    assert price("coupon 5,000 won, book 12,000 won") == (12000, 12000)
+    assert price("coupon 5,000 won, book 12,000 won") == (12000, None)
     assert price("50,000 won or more; 999 won; 2,000,001 won") == (None, None)
-    assert price("29 18,000 won") == (18000, 18000)
-    assert price("points are not near enough here: 18,000 won") == (18000, 18000)
+    assert price("29 18,000 won") == (18000, None)
+    assert price("points are not near enough here: 18,000 won") == (18000, None)
 
 
 def test_a_changed_file_breaks_the_seal(spark, tmp_path):
@@ -134,6 +136,58 @@ def test_robots_rules_of_hosts(spark):
     assert {r.page_id: r.allowed for r in robots(pages, rules.drop("host").limit(1)).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
 
 
+ROBOTS = "Disallow: /early\nUser-agent: *\nDisallow: /\n\nUSER-AGENT: shelf # x\nUser-agent: other\nnoise\nAllow: /ok$\nDisallow: /ok\nDisallow:\nCrawl-delay: 3\nDisallow: /a%20b/*c\nDisallow: /q?x=[1]\r\nDisallow: /tie\nAllow: /tie\nUser-agent: shelfmark\r\nDisallow: /100%\n"
+
+
+def test_robots_texts(spark):
+    texts = spark.createDataFrame([("a.com", ROBOTS), ("d.com", None), ("e.com", "User-agent: other\nDisallow: /")], "host string, text string")
+    rules = lambda agent: {(r.host, r.pattern, r.allow) for r in rules_for(texts, agent).collect()}
+    assert rules("Shelfbot/1") == {("a.com", p, a) for p, a in (("/ok$", True), ("/ok", False), ("", False), ("/a%20b/*c", False), ("/q?x=[1]", False), ("/tie", False), ("/tie", True))}
+    assert rules("SHELFMARK/2") == {("a.com", "/100%", False)} and rules("zzz") == {("a.com", "/", False)}
+    urls = ["http://A.com", "http://a.com/ok", "http://a.com/ok/1#f", "http://a.com/a b/xc?q", "http://a.com/a%20b/c", None, "http://b.com/ok", "http://a.com?q=1", "http://a.com/q?x=[1]&y", "http://a.com/q?x=1", "http://a.com/tie/", "/ok"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.rule if not r.allowed else None for r in verdicts(pages, rules_for(texts, "Shelfbot/1")).collect()}
+    assert got == {k: {2: "/ok", 3: "/a%20b/*c", 4: "/a%20b/*c", 8: "/q?x=[1]"}.get(k) for k in range(len(urls))}
+    whole = spark.createDataFrame([(1, "http://a.com/100%25/x"), (2, "http://a.com/1000")], "page_id long, url string")
+    assert {r.page_id: r.allowed for r in verdicts(whole, rules_for(texts, "shelfmark")).collect()} == {1: False, 2: True}
+    bare = spark.createDataFrame([(1, "http://a.com"), (2, "http://b.com?x")], "page_id long, url string")
+    assert [r.allowed for r in verdicts(bare, rules_for(texts, "zzz")).orderBy("page_id").collect()] == [False, True]
+
+
+def test_nested_and_unclosed_boxes(spark):
+    page = (
+        '<ul><li data-key=7 class="x product"><a class=title href="/i">A &amp; B</a><ul><li>one<li>two</ul><span class="price"><i>29</i><i>18,000</i> won</span><br/><img src="/c.jpg">'
+        '<script>var x="</li>"</script></li><LI CLASS="product" data-key="8"><a class="title">C</a><p>9780306406157<li class="product" data-key="9"><b class="title other">D</b></ul><p class="title">after')
+    rows = boxes(spark.createDataFrame([(1, page), (2, None), (3, "")], "page int, html string")).collect()
+    assert [(r.page, r.place, r.key, r.fields, r.links, r.cover, r.text) for r in rows] == [
+        (1, 0, "7", {"title": "A & B", "price": "29 18,000 won"}, ["/i", "/c.jpg"], "/c.jpg", "A & B one two 29 18,000 won"),
+        (1, 1, "8", {"title": "C"}, [], None, "C 9780306406157"), (1, 2, "9", {"title": "D", "other": "D"}, [], None, "D")]
+    got = products(spark.createDataFrame([(1, page)], "page int, html string")).collect()
+    assert [(r.key, r.rank, r.title, r.list_price, r.isbn13, r.cover) for r in got] == [("7", 1, "A & B", 18000, None, "/c.jpg"), ("8", 2, "C", None, "9780306406157", None), ("9", 3, "D", None, None, None)]
+
+
+def test_normalised_titles_and_names(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    title = lambda t: tuple(one(T.normalize_title(F.lit(t))))
+    assert title("NEW! Ｕnlimited Ｂook: fully revised (Deluxe Box) all 12 vols") == ("unlimitedbook", "fullyrevisedall12vols", ["all volumes", "boxed", "revised"], 12)
+    assert title("Limited ｌimited set") == (None, None, ["limited", "set"], None)
+    assert one(T.editions(F.lit("a deluxe box, deluxe and unlimited"))) == ["boxed", "deluxe"]
+    assert one(T.normalize_publisher(F.lit("Kq(Kayku) Press Inc."))) == "kq(kayku)" and one(T.normalize_publisher(F.lit("Ｂlue [Books]"))) == "blue[]"
+    assert one(T.normalize_author(F.lit("Ａnn (editor)"))) == "ann"
+
+
+def test_isbn_hits(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    hits = lambda t: [(h.isbn13, h.context) for h in one(T.isbn_hits(F.lit(t), 4, 3))]
+    assert hits("ab  9780306406157 cd 0306406152.") == [("9780306406157", "ab 9780306406157 cd"), ("9780306406157", "cd 0306406152.")]
+    assert hits("9780306406157") == [("9780306406157", "9780306406157")] and hits("x") == hits("") == []
+    assert hits("-9780306406157 9780306406157- 97803064061571 9780306406158 080442957X") == [("9780804429573", "158 080442957X")]
+    assert hits("12 9780306406157 12 9780306406157 ") == [("9780306406157", "12 9780306406157 12")]
+    assert one(T.isbn_hits(F.lit(None).cast("string"))) is None
+    assert tuple(one(T.isbn_in_address(F.lit("/9780306406157.jpg")))) == ("9780306406157", "thirteen")
+    assert tuple(one(T.isbn_in_address(F.lit("/0306406152_1")))) == ("9780306406157", "ten") and tuple(one(T.isbn_in_address(F.lit("/1")))) == (None, None)
+
+
 def test_products_of_broken_boxes(spark):
     box = '<li class="product" data-key="7"><a class="title">A &amp; B</a><span class="price">10,000 won or more</span></li>'
     pages = spark.createDataFrame([(1, box.replace("7", "")), (2, box + '<li class="product" data-key="8"></li>' + box), (3, ""), (4, None)], "page int, html string")
