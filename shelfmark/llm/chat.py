@@ -113,9 +113,14 @@ def format_chats(events: DataFrame) -> DataFrame:
 
     A conversation's pieces, joined in order of message, are its formatted text; start, loss_from and loss_to are places
     in it, in code points. Rows of a conversation lie in one partition, in order.
+
+    Events of a conversation go by turn, then seq, null first; of those with one seq a start comes before what belongs to it, then they go by kind, role
+    and text. Repeated starts are messages of their own. Null role or text is empty, rows without a conv_id are left out, other columns are not looked at; an
+    empty table gives none. An unknown kind is an error.
     """
+    first = F.when(F.col("kind") == "start", 0).otherwise(1)
     events = events.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text")
-    dealt = events.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
+    dealt = events.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", first, "kind", "role", "text")
     return dealt.mapInArrow(_render, _PIECES)
 
 

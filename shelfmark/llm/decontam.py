@@ -229,6 +229,12 @@ def _hits(items):
                 edits, end = index.verified(data, offsets, doc, passage, band)
                 good = edits <= index.edits[passage]
                 doc, passage, edits, end = doc[good], passage[good], edits[good], end[good]
+                # Overlapping bands find a match twice: one row for each passage and end, with the fewest edits.
+                order = np.lexsort((edits, end, passage, doc))
+                doc, passage, edits, end = doc[order], passage[order], edits[order], end[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (np.diff(doc) != 0) | (np.diff(passage) != 0) | (np.diff(end) != 0)
+                doc, passage, edits, end = doc[new], passage[new], edits[new], end[new]
                 begin = np.maximum(end - index.size[passage], offsets[doc])
                 at = np.append(place, len(raw))
                 base = raw_offsets[doc]
@@ -253,7 +259,7 @@ def in_blocks(items: Iterator[tuple[int, str]], limit: int) -> Iterator[list[tup
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, passages, edits, begin, end of each document and item of which it holds a passage.
 
-    passages: how many matching regions; edits: the fewest in one; begin and end: the span in the text's UTF-8 bytes that
+    passages: how many matches of passages with different ends; edits: the fewest in one; begin and end: the span in the text's UTF-8 bytes that
     the matches cover, from the first to the last.
     """
     spark = docs.sparkSession

@@ -158,6 +158,12 @@ def _parts(words: int, num: int, den: int, bits: int, shared: frozenset[int]):
     return run
 
 
+def dense(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH_LONGS integers for each set: the parities of its shingles by bit. Two rows differ in no more bits than the sets in shingles."""
+    bits = [np.bincount((own >> np.uint64(7)).astype(np.int64) % (64 * SKETCH_LONGS), minlength=64 * SKETCH_LONGS) & 1 for own in sets]
+    return np.packbits(np.array(bits, np.uint8).reshape(len(sets), 64 * SKETCH_LONGS), axis=1).view(np.int64)
+
+
 def _sketches(words: int):
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64())] + [(f"s{k}", pa.int64()) for k in range(SKETCH_LONGS)])
 
@@ -165,8 +171,7 @@ def _sketches(words: int):
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
-                bits = [np.bincount((own >> np.uint64(7)).astype(np.int64) % (64 * SKETCH_LONGS), minlength=64 * SKETCH_LONGS) & 1 for own in sets]
-                words_of = np.packbits(np.array(bits, np.uint8), axis=1).view(np.int64)
+                words_of = dense(sets)
                 yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([len(own) for own in sets], pa.int64()), *(pa.array(words_of[:, k].copy()) for k in range(SKETCH_LONGS))], schema=schema)
 
     return run
@@ -329,16 +334,22 @@ def _all_pairs(words: int, num: int, den: int, listed: bool):
         ids = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)[1]
         begin = np.concatenate([[0], np.cumsum(size)])
         held, first = np.zeros(int(ids.max()) + 1, np.uint8), int((side == 0).sum())
-        out, linked = [], np.zeros(len(rows), np.int64)
+        out, linked, sketch = [], np.zeros(len(rows), np.int64), dense([r[3] for r in rows]).view(np.uint64)
         for i in range(first):
             after = i + 1 if x == y else first
-            if after == len(rows):
+            # The sketches bound the difference from below; only what they leave open is compared, however large the component.
+            distance = np.bitwise_count(sketch[after:] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = after + np.flatnonzero(distance * (den + num) <= (size[i] + size[after:]) * (den - num))
+            if not len(near):
                 continue
+            n = size[near]
+            starts = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(starts, n) + np.repeat(begin[near], n)
             own = ids[begin[i] : begin[i + 1]]
             held[own] = 1
-            common = np.add.reduceat(held[ids[begin[after] :]], begin[after:-1] - begin[after], dtype=np.int64)
+            common = np.add.reduceat(held[ids[at]], starts, dtype=np.int64)
             held[own] = 0
-            met = after + np.flatnonzero(den * common >= num * (size[i] + size[after:] - common))
+            met = near[den * common >= num * (size[i] + n - common)]
             if listed:
                 out.append(np.sort(np.stack([np.full(len(met), cls[i]), cls[met]], 1), 1))
             linked[i] += copies[met].sum()
@@ -369,7 +380,8 @@ def _all_pairs(words: int, num: int, den: int, listed: bool):
 
 
 def _compared(sizes: DataFrame, rooted: DataFrame, texts: DataFrame, words: int, num: int, den: int, listed: bool) -> DataFrame:
-    """Every pair of a component's classes compared, in pairs of blocks; blocks whose sizes lie too far apart don't meet.
+    """Every pair of a component's classes sifted by dense sketches, and what they leave open compared, in pairs of blocks;
+    blocks whose sizes lie too far apart don't meet.
 
     A component of up to BLOCK_SETS classes is one block. A larger one is cut by size and then by hash, without a sort of
     the component in one task.

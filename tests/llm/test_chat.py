@@ -43,6 +43,11 @@ def test_fold(spark):
     assert set(got) == {1, 2}
 
 
+def test_a_start_comes_before_what_has_its_seq(spark):
+    rows = [(1, 0, 0, "delta", None, " there"), (1, 0, 0, "start", "user", "Hi"), (1, 1, None, "edit", None, "Yes"), (1, 1, None, "start", "assistant", "No")]
+    assert joined(spark, rows)[1] == ["<|im_start|>user\nHi there<|im_end|>\n<|im_start|>assistant\nYes<|im_end|>\n", ["Yes"]]
+
+
 def test_unknown_kind(spark):
     with pytest.raises(Exception, match="unknown kind"):
         joined(spark, [(1, 0, 0, "shout", "user", "x")])

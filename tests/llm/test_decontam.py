@@ -110,6 +110,13 @@ def test_blocks_do_not_change_the_result(spark, frame, prose):
     assert whole == parts and len(whole) == 18
 
 
+def test_a_match_counts_once(spark, frame, prose):
+    item = prose(12, 4)[:60]
+    docs = frame([(k, prose(k, 50 + k) + " " + item + " " + prose(9, 80 + k)) for k in range(12)])
+    got = contaminated(docs, spark.createDataFrame([(1, item)], ITEMS)).collect()
+    assert len(got) == 12 and {r.passages for r in got} == {1}
+
+
 def test_empty_tables(spark, frame, prose):
     items = spark.createDataFrame([(1, prose(20, 1))], ITEMS)
     assert contaminated(frame([]), items).collect() == []

@@ -56,6 +56,21 @@ def test_a_host_of_very_many_parts_asks_for_few_strings():
     assert asked_of("a..com", "/", [1], [1, 2, 3, 4]) == ["a..com/", ".com/", "com/"] and asked_of("", "", [0, 1], [1]) == []
 
 
+def test_many_ranges_and_parts(spark):
+    rules = [(f"h{k}.net", f"/p{k % 7}/", "block" if k % 2 else "allow") for k in range(2000)] + [("net", "/", "block")]
+    urls = [f"https://a.h{k}.net/p{k % 5}/x" for k in range(0, 2000, 3)] + [None, "https://x.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(pages, spark.createDataFrame(rules, RULES), 4096, 50).collect()}
+    assert got == {k: brute(u, rules) for k, u in enumerate(urls)}
+
+
+def test_a_rule_without_a_verdict_is_an_error(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/")], "page_id long, url string")
+    for verdict in (None, "perhaps"):
+        with pytest.raises(Exception, match="no verdict of a rule"):
+            filter_urls(pages, spark.createDataFrame([("a.com", "/", verdict)], RULES)).collect()
+
+
 def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "https://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], RULES)
