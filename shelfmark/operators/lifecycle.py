@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.plans.staging import staged
+
 
 def trim_depth(rankings: DataFrame, depths: dict[str, int], otherwise: int) -> DataFrame:
     """List rows beyond their kind's depth."""
@@ -82,3 +84,36 @@ def capacity(measured: DataFrame, limit_mb: float, today: str) -> DataFrame:
 def prune_log(logs: DataFrame, day: str, today: str, keep_days: int) -> DataFrame:
     """Log rows that stay; at least 30 days do."""
     return logs.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), max(30, keep_days)))
+
+
+def cascade(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str | None]], of: str, ids: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """What is left of each table once the rows `ids` (id) of table `of` are deleted, and the ids that went from each table.
+
+    tables: by name, each with a column id. keys: (child, column, parent, label): with label None a child's row goes with the parent that its column
+    names; else the column becomes null, and the child's column of the label's name keeps the parent's last label. The graph of the keys may have any depth
+    and may lead back to a table: what goes is followed until nothing new does, each step being written. Null references stay.
+    """
+    gone = {of: staged(tables[of].join(ids.select("id").distinct(), "id", "left_semi").select("id"), "gone")}
+    fresh = dict(gone)
+    while fresh:
+        found: dict[str, DataFrame] = {}
+        for child, column, parent, label in keys:
+            if label is None and parent in fresh:
+                hit = tables[child].join(fresh[parent].select(F.col("id").alias(column)), column, "left_semi").select("id")
+                found[child] = found[child].unionByName(hit) if child in found else hit
+        fresh = {}
+        for child, hit in found.items():
+            new = hit.distinct().join(gone[child], "id", "left_anti") if child in gone else hit.distinct()
+            new = staged(new, "gone")
+            if not new.isEmpty():
+                fresh[child] = new
+                gone[child] = gone[child].unionByName(new) if child in gone else new
+    left = {name: df.join(gone[name], "id", "left_anti") if name in gone else df for name, df in tables.items()}
+    for child, column, parent, label in keys:
+        if label is not None and parent in gone:
+            dead = tables[parent].join(gone[parent], "id", "left_semi").select(F.col("id").alias("_dead"), F.col(label).alias("_label"))
+            columns = left[child].columns
+            met = left[child].join(dead, F.col(column) == F.col("_dead"), "left")
+            met = met.withColumn(label, F.when(F.col("_dead").isNotNull(), F.col("_label")).otherwise(F.col(label))).withColumn(column, F.when(F.col("_dead").isNull(), F.col(column)))
+            left[child] = met.select(*columns)
+    return left, gone

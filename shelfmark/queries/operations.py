@@ -228,3 +228,20 @@ lost AS (SELECT f.user_id, f.title, o.found FROM favorites f JOIN one o USING (t
 SELECT f.user_id, coalesce(f.book_id, l.found) AS book_id, f.title, f.book_id IS NULL AND l.found IS NOT NULL AS relinked FROM favorites f LEFT JOIN lost l USING (user_id, title)""")
 def favorites_relink(spark, d):
     return V.relink_favorites(A.favorites(spark, d), A.books(spark, d))
+
+
+@query("""per_item AS (SELECT store_book_id, count(*) AS days FROM rankings GROUP BY store_book_id)
+SELECT 'books' AS t, count(*) AS n, CAST(0 AS BIGINT) AS emptied FROM books WHERE book_id % 50 <> 0
+UNION ALL SELECT 'items', count(*), 0 FROM store_books WHERE book_id IS NULL OR book_id % 50 <> 0
+UNION ALL SELECT 'lists', count(*), 0 FROM per_item JOIN store_books USING (store_book_id) WHERE book_id IS NULL OR book_id % 50 <> 0
+UNION ALL SELECT 'favorites', count(*), count(*) FILTER (f.book_id % 50 = 0 AND b.book_id IS NOT NULL) FROM favorites f LEFT JOIN books b ON b.book_id = f.book_id""")
+def delete_cascade(spark, d):
+    """Every fiftieth book goes, its items with it and their lists with these; favorites stay, without a book but with its last title."""
+    books = A.books(spark, d).select(F.col("book_id").alias("id"), "title")
+    items = A.store_books(spark, d).select(F.col("store_book_id").alias("id"), "book_id")
+    lists = A.rankings(spark, d).groupBy("store_book_id").count().select((F.col("store_book_id") + 1_000_000_000).alias("id"), "store_book_id")
+    favorites = A.favorites(spark, d).select(F.xxhash64("user_id", "title").alias("id"), "book_id", F.lit(None).cast("string").alias("title"))
+    keys = [("items", "book_id", "books", None), ("lists", "store_book_id", "items", None), ("favorites", "book_id", "books", "title")]
+    left, _ = L.cascade({"books": books, "items": items, "lists": lists, "favorites": favorites}, keys, "books", books.where("id % 50 = 0"))
+    parts = [df.agg(F.count("*").alias("n"), (F.count("title") if t == "favorites" else F.lit(0).cast("long")).alias("emptied")).select(F.lit(t).alias("t"), "n", "emptied") for t, df in left.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

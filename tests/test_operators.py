@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as T
 from shelfmark.operators import clusters as C
 from shelfmark.operators import export as X
+from shelfmark.operators import lifecycle as L
 from shelfmark.operators import matching as M
 from shelfmark.sources import archive as S
 from shelfmark.streaming import daily
@@ -266,3 +267,18 @@ def test_text_functions(spark):
     assert one(T.volume_number(F.lit("Tale vol. 12"))) == 12 and one(T.volume_number(F.lit("Tale 999"))) is None
     assert one(T.csv_field(F.lit('a,"b"'))) == '"a,""b"""'
     assert one(T.parse_year_month(F.lit("2024. 3."))) == "2024-03"
+
+
+def test_cascade(spark):
+    people = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, 3, "d"), (5, None, "e"), (6, 4, "f"), (7, 7, "g")], "id long, boss long, name string")
+    notes = spark.createDataFrame([(1, 3, None), (2, 5, "old"), (3, None, "none"), (4, 6, "x")], "id long, person long, name string")
+    marks = spark.createDataFrame([(1, 3), (2, 5), (3, 6)], "id long, person long")
+    # A graph that leads back to people, to any depth; marks go with them, notes keep the name.
+    keys = [("people", "boss", "people", None), ("marks", "person", "people", None), ("notes", "person", "people", "name")]
+    left, gone = L.cascade({"people": people, "notes": notes, "marks": marks}, keys, "people", spark.createDataFrame([(2,), (99,)], "id long"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert {t: [i for i, in rows(df)] for t, df in gone.items()} == {"people": [2, 3, 4, 6], "marks": [1, 3]}
+    assert [r[0] for r in rows(left["people"])] == [1, 5, 7] and rows(left["marks"]) == [(2, 5)]
+    assert rows(left["notes"]) == [(1, None, "c"), (2, 5, "old"), (3, None, "none"), (4, None, "f")]
+    left, gone = L.cascade({"people": people, "notes": notes, "marks": marks}, keys, "people", spark.createDataFrame([(7,)], "id long"))
+    assert rows(gone["people"]) == [(7,)] and rows(left["notes"]) == rows(notes)
