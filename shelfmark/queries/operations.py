@@ -109,27 +109,27 @@ def trim_depth(spark, d):
     return L.trim_depth(A.rankings(spark, d), {"online": 100, "weekly": 150}, 50).groupBy("snapshot_date", "kind").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
 
 
-_ALIVE = """recent AS (SELECT DISTINCT store_book_id FROM rankings WHERE snapshot_date >= DATE '2001-11-01'), ranked AS (SELECT DISTINCT store_book_id FROM rankings WHERE rank <= 2 AND kind = 'online'),
+ALIVE = """recent AS (SELECT DISTINCT store_book_id FROM rankings WHERE snapshot_date >= DATE '2001-11-01'), ranked AS (SELECT DISTINCT store_book_id FROM rankings WHERE rank <= 2 AND kind = 'online'),
 alive AS (SELECT store_book_id FROM recent UNION SELECT store_book_id FROM ranked UNION SELECT a FROM book_matches WHERE decision LIKE 'manual%' UNION SELECT b FROM book_matches WHERE decision LIKE 'manual%'),
 dormant AS (SELECT s.* FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM alive a WHERE a.store_book_id = s.store_book_id)
   AND NOT EXISTS (SELECT 1 FROM store_books o JOIN alive a USING (store_book_id) WHERE o.book_id = s.book_id))"""
 
 
-def _dormant(spark, d):
+def dormant(spark, d):
     rankings, items = A.rankings(spark, d), A.store_books(spark, d)
     recent = rankings.where("snapshot_date >= DATE '2001-11-01'")
     ranked = rankings.where("rank <= 2 AND kind = 'online'")
     return L.dormant_items(items, L.alive_items(recent, ranked, A.book_matches(spark, d)))
 
 
-@query(f"{_ALIVE} SELECT store_book_id, store_id, book_id FROM dormant")
+@query(f"{ALIVE} SELECT store_book_id, store_id, book_id FROM dormant")
 def dormant_items(spark, d):
-    return _dormant(spark, d).select("store_book_id", "store_id", "book_id")
+    return dormant(spark, d).select("store_book_id", "store_id", "book_id")
 
 
-@query(f"{_ALIVE} SELECT store_id, count(*) AS items, count(book_id) AS linked, count(DISTINCT book_id) AS books FROM dormant GROUP BY 1")
+@query(f"{ALIVE} SELECT store_id, count(*) AS items, count(book_id) AS linked, count(DISTINCT book_id) AS books FROM dormant GROUP BY 1")
 def dormant_summary(spark, d):
-    return _dormant(spark, d).groupBy("store_id").agg(F.count("*").alias("items"), F.count("book_id").alias("linked"), F.countDistinct("book_id").alias("books"))
+    return dormant(spark, d).groupBy("store_id").agg(F.count("*").alias("items"), F.count("book_id").alias("linked"), F.countDistinct("book_id").alias("books"))
 
 
 @query("SELECT book_id, title FROM books b WHERE NOT EXISTS (SELECT 1 FROM store_books s WHERE s.book_id = b.book_id)")

@@ -5,11 +5,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from shelfmark.operators import lifecycle as L
 from shelfmark.plans import adapter as A
 from shelfmark.plans.staging import shared_folder
+from shelfmark.queries.operations import ALIVE, dormant
 from shelfmark.queries.registry import query
 from shelfmark.sources import archive as S
+from shelfmark.sources.prune_job import Leaving, Run
 from shelfmark.streaming import daily
 
 _RANKED = "snapshot_date date, store_id int, kind string, unified string, rank int, store_book_id long, part long, sales_point int"
@@ -54,3 +58,40 @@ def stream_daily(spark, d):
     daily.run_daily(daily.events(spark, d), f"{path}/rows", f"{path}/state")
     rows = spark.read.parquet(f"{path}/rows")
     return rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
+def _kept_and_archived(run, columns):
+    """table, id, state of all rows: those that are still in their table, and those that only the archive has."""
+    out = None
+    for name, key in columns.items():
+        own = [df.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("id"), F.lit(state).alias("state")) for df, state in ((run.table(name), "kept"), (run.archived(name), "archived"))]
+        out = own[0].unionByName(own[1]) if out is None else out.unionByName(own[0]).unionByName(own[1])
+    return out.groupBy("table", "id", "state").agg(F.count("*").alias("rows"))
+
+
+@query(f"""{ALIVE}, left_items AS (SELECT * FROM store_books s WHERE NOT EXISTS (SELECT 1 FROM dormant x WHERE x.store_book_id = s.store_book_id))
+SELECT 'items' AS "table", CAST(store_book_id AS VARCHAR) AS id, CASE WHEN store_book_id IN (SELECT store_book_id FROM dormant) THEN 'archived' ELSE 'kept' END AS state, count(*) AS rows FROM store_books GROUP BY ALL
+UNION ALL SELECT 'books', CAST(book_id AS VARCHAR), CASE WHEN book_id IN (SELECT book_id FROM left_items WHERE book_id IS NOT NULL) THEN 'kept' ELSE 'archived' END, count(*) FROM books GROUP BY ALL""")
+def prune_job(spark, d):
+    """Dormant items, then books that no item is left of, leave their tables for an archive; decisions by hand stay as they are."""
+    path, items, books = _folder(spark, "catalog"), A.store_books(spark, d), A.books(spark, d)
+    items.withColumn("bucket", (F.col("store_book_id") / 8192).cast("int")).write.partitionBy("bucket").parquet(f"{path}/items")
+    books.withColumn("bucket", (F.col("book_id") / 8192).cast("int")).write.partitionBy("bucket").parquet(f"{path}/books")
+    gone = dormant(spark, d).select("store_book_id")
+    empty = L.orphan_books(books, items.join(gone, "store_book_id", "left_anti")).select("book_id")
+    bucket = StructType([StructField("bucket", IntegerType())])
+    run = Run(spark, path, "prune", {"items": Leaving(StructType(items.schema.fields + bucket.fields), "bucket", gone), "books": Leaving(StructType(books.schema.fields + bucket.fields), "bucket", empty)})
+    run.finish()
+    return _kept_and_archived(run, {"items": "store_book_id", "books": "book_id"})
+
+
+@query("""old AS (SELECT DISTINCT snapshot_date FROM rankings WHERE snapshot_date < DATE '2001-11-04' - 400 ORDER BY 1 LIMIT 14)
+SELECT 'rankings' AS "table", CAST(snapshot_date AS VARCHAR) AS id, CASE WHEN snapshot_date IN (SELECT snapshot_date FROM old) THEN 'archived' ELSE 'kept' END AS state, count(*) AS rows FROM rankings GROUP BY ALL""")
+def archive_job(spark, d):
+    """The oldest days beyond retention, at most fourteen a run, go from the lists to the archive, each day by itself."""
+    path, rows = _folder(spark, "lists"), A.rankings(spark, d)
+    rows.repartition("snapshot_date").write.partitionBy("snapshot_date").parquet(f"{path}/rankings")
+    days = L.archive_plan(rows, "snapshot_date", "2001-11-04", 90, 400).select("snapshot_date")
+    run = Run(spark, path, "archive", {"rankings": Leaving(rows.schema, "snapshot_date", days)}, "snapshot_date")
+    run.finish()
+    return _kept_and_archived(run, {"rankings": "snapshot_date"})

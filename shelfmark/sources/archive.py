@@ -34,6 +34,10 @@ def write_archive(df: DataFrame, day: str, path: str, files: int = 4) -> DataFra
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """day, line of an archive; no rows if it has no file."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day=*/*.gz")
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files):
+        return spark.createDataFrame([], "day string, line string")
     return spark.read.schema("value string, day string").text(path).select("day", F.col("value").alias("line"))
 
 
