@@ -99,7 +99,12 @@ def derived_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crawl_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log_id, store_id, snapshot_date, status, items, finished (null: never)."""
-    return table(spark, sf_dir, "events").select(
+    return logs_of(table(spark, sf_dir, "events"))
+
+
+def logs_of(events: DataFrame) -> DataFrame:
+    """The rows of `crawl_logs` of events, which may be a stream."""
+    return events.select(
         F.col("event_id").alias("log_id"), (F.col("user_id") % 3 + 1).cast("int").alias("store_id"), F.to_date("ts").alias("snapshot_date"),
         F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.floor("value").cast("int").alias("items"),
         F.when(F.col("event_type") != "signup", F.col("ts")).alias("finished"), F.col("event_type"), F.col("user_id"),

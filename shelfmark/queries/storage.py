@@ -14,7 +14,7 @@ from shelfmark.queries.operations import ALIVE, dormant
 from shelfmark.queries.registry import query
 from shelfmark.sources import archive as S
 from shelfmark.sources.prune_job import Leaving, Run
-from shelfmark.streaming import daily
+from shelfmark.streaming import daily, keyed
 
 _RANKED = "snapshot_date date, store_id int, kind string, unified string, rank int, store_book_id long, part long, sales_point int"
 
@@ -95,3 +95,30 @@ def archive_job(spark, d):
     run = Run(spark, path, "archive", {"rankings": Leaving(rows.schema, "snapshot_date", days)}, "snapshot_date")
     run.finish()
     return _kept_and_archived(run, {"rankings": "snapshot_date"})
+
+
+@query("""WITH RECURSIVE asked AS (SELECT event_id AS request_id, user_id, ts, ts + to_hours(CAST(least(greatest(CASE WHEN event_id % 7 = 0 THEN 3 ELSE event_id % 5 END, 1), 3) AS INTEGER)) AS until, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+fold AS (SELECT request_id, user_id, k, true AS granted, until AS e1, TIMESTAMP '1970-01-01' AS e2 FROM asked WHERE k = 1
+  UNION ALL SELECT a.request_id, a.user_id, a.k, least(e1, e2) <= a.ts, CASE WHEN least(e1, e2) <= a.ts THEN a.until ELSE e1 END, CASE WHEN least(e1, e2) <= a.ts THEN greatest(e1, e2) ELSE e2 END FROM fold f JOIN asked a ON a.user_id = f.user_id AND a.k = f.k + 1)
+SELECT request_id, user_id, granted FROM fold""", derived=False)
+def stream_quota(spark, d):
+    """Every event as a user's request for a link of nought to four hours, or of no stated length."""
+    path, rows = _folder(spark, "stream"), daily.events(spark, d)
+    hours = F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 5).cast("int")
+    keyed.written(keyed.quota(rows.select(F.col("event_id").alias("request_id"), "user_id", "ts", hours.alias("hours"))), f"{path}/rows", f"{path}/state")
+    return spark.read.schema("request_id long, user_id long, granted boolean").parquet(f"{path}/rows")
+
+
+@query("""own AS (SELECT log_id, store_id, event_type, snapshot_date, items FROM crawl_logs WHERE status = 'success' AND items > 0),
+lists_of AS (SELECT store_id, event_type, list(items ORDER BY snapshot_date, log_id) AS v FROM own GROUP BY ALL),
+days AS (SELECT l.store_id, l.event_type, l.snapshot_date, (SELECT count(*) FROM own o WHERE o.store_id = l.store_id AND o.event_type = l.event_type AND o.snapshot_date < l.snapshot_date) AS n
+  FROM (SELECT DISTINCT store_id, event_type, snapshot_date FROM crawl_logs) l),
+base AS (SELECT store_id, event_type, snapshot_date, CASE WHEN n > 0 THEN list_sort(v[greatest(n - 6, 1):n])[CAST(floor(least(n, 7) / 2) AS BIGINT) + 1] END AS baseline FROM days LEFT JOIN lists_of USING (store_id, event_type)),
+judged AS (SELECT log_id, items, baseline, CAST(CASE WHEN baseline IS NULL THEN 10 ELSE floor(least(baseline, 40) * CASE WHEN finished IS NOT NULL THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END) END AS INTEGER) AS floor FROM crawl_logs JOIN base USING (store_id, event_type, snapshot_date))
+SELECT log_id, items, baseline, floor, items IS NULL OR items < floor AS low FROM judged""")
+def stream_alarms(spark, d):
+    """Runs as they arrive, each held against the last seven good ones of earlier days of its store and kind."""
+    path, logs = _folder(spark, "stream"), A.logs_of(daily.events(spark, d))
+    logs = logs.select("store_id", "event_type", "log_id", "snapshot_date", "items", (F.col("status") == "success").alias("good"), F.col("finished").isNotNull().alias("ended"))
+    keyed.written(keyed.alarms(logs, ["store_id", "event_type"], 40), f"{path}/rows", f"{path}/state")
+    return spark.read.schema("log_id long, items int, baseline int, floor int, low boolean").parquet(f"{path}/rows")
