@@ -5,7 +5,7 @@ These return what would go or stay; nothing is deleted in place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.plans.staging import staged
@@ -81,6 +81,52 @@ def capacity(measured: DataFrame, limit_mb: float, today: str) -> DataFrame:
     return one.withColumn("state", state)
 
 
+def growth_a_day(first_seen: DataFrame, today: Column, days: Column, sizes: DataFrame, window: int = 3) -> Column:
+    """MB by which the catalog grows a day; null if it can't be told: fewer than two days of data, or no new item.
+
+    first_seen: first_seen of each item. The items that were new in the last `window` days before today (fewer, if there aren't as many behind the first day,
+    which has everything new) are weighed with the catalog's bytes for each item. sizes: group, bytes, items.
+    """
+    span = F.least(F.lit(window), days - 1)
+    new = first_seen.where((F.col("first_seen") < today) & (F.col("first_seen") >= F.date_sub(today, span.cast("int")))).agg(F.count("*")).scalar()
+    weight = sizes.where("`group` = 'catalog'").agg(F.try_divide(F.sum("bytes").cast("double"), F.sum("items"))).scalar()
+    return F.when((span > 0) & (new > 0) & (weight > 0), new / span * weight / 1e6)
+
+
+def capacity_by_group(sizes: DataFrame, days: Column, growth: Column, limit_mb: float, keep: int, log_keep: int, prune_days: int | None = None, horizon: int = 365) -> DataFrame:
+    """One row: MB in all and by group, MB a day, MB a year on, days until the limit, and the first thing that is wrong.
+
+    sizes: group (daily: leaves after `keep` days, at least 14; slow: leaves after `log_keep`; any other: the catalog), bytes. growth: MB a day of the catalog,
+    null if unknown. prune_days: what the catalog is pruned to, None if it isn't. days_left is 999 if the limit is never met.
+    """
+    mb = lambda group: F.coalesce(F.sum(F.when(F.col("group") == group, F.col("bytes"))), F.lit(0)) / 1e6
+    one = sizes.agg((F.coalesce(F.sum("bytes"), F.lit(0)) / 1e6).alias("total"), mb("daily").alias("daily"), mb("slow").alias("slow"))
+    one = one.withColumn("catalog", F.greatest(F.lit(0.0), F.col("total") - F.col("daily") - F.col("slow"))).withColumn("_days", F.greatest(F.lit(1), days)).withColumn("growth", growth)
+    grown, ahead = F.coalesce("growth", F.lit(0.0)), F.lit(horizon) if prune_days is None else F.greatest(F.lit(0), F.lit(prune_days) - F.col("_days"))
+    one = one.withColumn("per_day", F.col("daily") / F.col("_days"))
+    one = one.withColumn("steady", F.col("catalog") + grown * ahead + F.col("per_day") * max(14, keep) + F.col("slow") / F.col("_days") * max(1, log_keep))
+    rate = F.col("per_day") + F.col("slow") / F.col("_days") + grown
+    left = F.when((F.col("steady") <= limit_mb) | (rate <= 0), 999).otherwise(F.floor(F.greatest(F.lit(0.0), limit_mb - F.col("total")) / rate)).cast("long")
+    stale = F.lit(False) if prune_days is None else (grown > 0) & (F.col("catalog") > grown * prune_days * 2)
+    never = F.lit(prune_days is None) & (grown > 0)
+    state = F.when(F.col("growth").isNull(), "growth unknown").when(never, "never pruned").when(stale, "not pruned lately").when(F.col("steady") > limit_mb, "over the limit in a year")
+    one = one.withColumn("days_left", left).withColumn("state", state.when(F.col("days_left") < 7, "full within a week").when(F.col("total") > limit_mb * 0.9, "nearly full").otherwise("ok"))
+    return one.select(*(F.round(c, 6).alias(c) for c in ("total", "daily", "slow", "catalog", "growth", "per_day", "steady")), "days_left", "state")
+
+
+def trim_by_list(rankings: DataFrame, depths: DataFrame, by_kind: dict[str, int], otherwise: int) -> DataFrame:
+    """List rows beyond the depth of their store's list of that kind and category; beyond their kind's, if depths has none for it.
+
+    depths: store_id, kind, unified, depth. Of several for one list the greatest counts, so that nothing goes too early.
+    """
+    depth = F.lit(otherwise)
+    for kind, n in by_kind.items():
+        depth = F.when(F.col("kind") == kind, F.lit(n)).otherwise(depth)
+    keys = ["store_id", "kind", "unified"]
+    own = rankings.join(depths.groupBy(*keys).agg(F.max("depth").alias("_depth")), keys, "left")
+    return own.where(F.col("rank") > F.coalesce("_depth", depth)).select(*rankings.columns)
+
+
 def prune_log(logs: DataFrame, day: str, today: str, keep_days: int) -> DataFrame:
     """Log rows that stay; at least 30 days do."""
     return logs.where(F.col(day) >= F.date_sub(F.lit(today).cast("date"), max(30, keep_days)))

@@ -57,6 +57,29 @@ def join_pairs(ids: DataFrame) -> DataFrame:
     return x.join(F.broadcast(y), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
+def join_requests(chosen: DataFrame, items: DataFrame, most: int = 6) -> DataFrame:
+    """request, n, verdict of rows (request, id): ok, few (not two different ids), many (more than `most`) or gone (an id that no item has)."""
+    ids = chosen.where("request IS NOT NULL").select("request", F.when(F.col("id") > 0, F.col("id")).alias("id")).distinct()
+    known = ids.join(items.select(F.col("store_book_id").alias("id"), F.lit(1).alias("_known")).distinct(), "id", "left")
+    counted = known.groupBy("request").agg(F.count("id").alias("n"), F.count("_known").alias("_found"))
+    verdict = F.when(F.col("n") < 2, "few").when(F.col("n") > most, "many").when(F.col("_found") < F.col("n"), "gone").otherwise("ok")
+    return counted.select("request", "n", verdict.alias("verdict"))
+
+
+def forced_joins(matches: DataFrame, chosen: DataFrame, items: DataFrame, most: int = 6) -> DataFrame:
+    """Matches after people's requests (request, id) to join items: all pairs of a request that is ok are merged by hand.
+
+    A pair that was not there gets score 0 and the automatic decision 'rejected', which undoing it restores; one that was there keeps both. A request
+    has `most` ids at most, so its pairs are few.
+    """
+    ids = chosen.where("id > 0").select("request", "id").distinct().join(join_requests(chosen, items, most).where("verdict = 'ok'").select("request"), "request", "left_semi")
+    few = ids.groupBy("request").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    pairs = few.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b").distinct().withColumn("_forced", F.lit(True))
+    out = matches.select("a", "b", "score", "decision", "auto_decision").join(pairs, ["a", "b"], "full_outer")
+    fresh = F.col("decision").isNull() & F.col("score").isNull()
+    return out.select("a", "b", F.coalesce("score", F.lit(0)).alias("score"), F.when(F.col("_forced"), "manual_merge").otherwise(F.col("decision")).alias("decision"), F.when(fresh, "rejected").otherwise(F.col("auto_decision")).alias("auto_decision"))
+
+
 def parse_decisions(lines: DataFrame) -> DataFrame:
     """CSV lines (n, line: id,decision,note) to id, decision, note, bucket; the last good line of an id counts.
 

@@ -245,3 +245,54 @@ def delete_cascade(spark, d):
     left, _ = L.cascade({"books": books, "items": items, "lists": lists, "favorites": favorites}, keys, "books", books.where("id % 50 = 0"))
     parts = [df.agg(F.count("*").alias("n"), (F.count("title") if t == "favorites" else F.lit(0).cast("long")).alias("emptied")).select(F.lit(t).alias("t"), "n", "emptied") for t, df in left.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("""seen AS (SELECT store_book_id, min(snapshot_date) AS first_seen FROM rankings GROUP BY 1), ends AS (SELECT max(snapshot_date) AS today, date_diff('day', min(snapshot_date), max(snapshot_date)) + 1 AS days FROM rankings),
+sizes AS (SELECT (SELECT count(*) FROM rankings) * 48 AS daily, (SELECT count(*) FROM crawl_logs) * 96 AS slow, (SELECT count(*) FROM store_books) * 256 + (SELECT count(*) FROM books) * 160 AS catalog, (SELECT count(*) FROM store_books) AS items),
+base AS (SELECT (daily + slow + catalog) / 1e6 AS total, daily / 1e6 AS daily, slow / 1e6 AS slow, catalog / 1e6 AS catalog, days, (SELECT count(*) FROM seen, ends WHERE first_seen < today AND first_seen >= today - 900) AS new, catalog / items AS weight FROM sizes, ends),
+grown AS (SELECT *, CASE WHEN new > 0 THEN new / 900 * weight / 1e6 END AS growth, daily / days AS per_day FROM base),
+far AS (SELECT *, catalog + coalesce(growth, 0) * 365 + per_day * 90 + slow / days * 180 AS steady FROM grown)
+SELECT round(total, 6) AS total, round(daily, 6) AS daily, round(slow, 6) AS slow, round(catalog, 6) AS catalog, round(growth, 6) AS growth, round(per_day, 6) AS per_day, round(steady, 6) AS steady,
+CAST(CASE WHEN steady <= 1 THEN 999 ELSE floor(greatest(0, 1 - total) / (per_day + slow / days + coalesce(growth, 0))) END AS BIGINT) AS days_left,
+CASE WHEN growth IS NULL THEN 'growth unknown' WHEN growth > 0 THEN 'never pruned' WHEN steady > 1 THEN 'over the limit in a year' ELSE 'other' END AS state FROM far""")
+def capacity_groups(spark, d):
+    """Lists, logs and catalog against a limit of 1 MB, nothing pruning the catalog; lists come by the month, so growth is that of the last 900 days."""
+    rows, items = A.rankings(spark, d), A.store_books(spark, d)
+    size = lambda df, group, wide, n: df.agg(F.count("*").alias("n")).select(F.lit(group).alias("group"), (F.col("n") * wide).alias("bytes"), (F.col("n") * n).alias("items"))
+    sizes = size(rows, "daily", 48, 0).union(size(A.crawl_logs(spark, d), "slow", 96, 0)).union(size(items, "catalog", 256, 1)).union(size(A.books(spark, d), "catalog", 160, 0))
+    today = rows.agg(F.max("snapshot_date")).scalar()
+    days = rows.agg(F.datediff(F.max("snapshot_date"), F.min("snapshot_date")) + 1).scalar()
+    growth = L.growth_a_day(I.last_seen(rows, "store_book_id", "snapshot_date"), today, days, sizes, 900)
+    return L.capacity_by_group(sizes, days, growth, 1.0, 90, 180)
+
+
+@query("""depths AS (SELECT DISTINCT store_id, kind, unified, CAST(5 + length(unified) * store_id AS INTEGER) AS depth FROM rankings WHERE length(unified) % 2 = 1)
+SELECT r.* FROM rankings r LEFT JOIN depths d USING (store_id, kind, unified) WHERE rank > coalesce(depth, CASE kind WHEN 'weekly' THEN 30 ELSE 20 END)""")
+def trim_by_list(spark, d):
+    """What goes if each store's lists of a kind and category have a depth of their own, and those with names of even length their kind's."""
+    rows = A.rankings(spark, d)
+    depths = rows.where(F.length("unified") % 2 == 1).select("store_id", "kind", "unified").distinct().withColumn("depth", 5 + F.length("unified") * F.col("store_id"))
+    return L.trim_by_list(rows, depths, {"weekly": 30}, 20)
+
+
+_CHOSEN = """chosen AS (SELECT DISTINCT l_orderkey AS request, CASE WHEN l_linenumber = 4 AND l_orderkey % 5 = 0 THEN l_partkey * 3 + 9000000000 ELSE l_partkey * 3 + l_suppkey % 3 + 1 END AS id FROM lineitem),
+requests AS (SELECT request, count(*) AS n, CASE WHEN count(*) < 2 THEN 'few' WHEN count(*) > 6 THEN 'many' WHEN count(s.store_book_id) < count(*) THEN 'gone' ELSE 'ok' END AS verdict FROM chosen c LEFT JOIN store_books s ON s.store_book_id = c.id GROUP BY 1)"""
+
+
+def _chosen(spark, d):
+    lines = A.table(spark, d, "lineitem")
+    lost = (F.col("l_linenumber") == 4) & (F.col("l_orderkey") % 5 == 0)
+    return lines.select(F.col("l_orderkey").alias("request"), F.when(lost, F.col("l_partkey") * 3 + 9_000_000_000).otherwise(F.col("l_partkey") * 3 + F.col("l_suppkey") % 3 + 1).alias("id"))
+
+
+@query(f"{_CHOSEN} SELECT * FROM requests")
+def join_requests(spark, d):
+    """The items of an order as one person's request to join them; some name an item that is gone."""
+    return V.join_requests(_chosen(spark, d), A.store_books(spark, d))
+
+
+@query(f"""{_CHOSEN}, pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM chosen x JOIN chosen y ON x.request = y.request AND x.id < y.id JOIN requests r ON r.request = x.request AND verdict = 'ok')
+SELECT coalesce(m.a, p.a) AS a, coalesce(m.b, p.b) AS b, coalesce(score, 0) AS score, CASE WHEN p.a IS NOT NULL THEN 'manual_merge' ELSE decision END AS decision, CASE WHEN m.a IS NULL THEN 'rejected' ELSE auto_decision END AS auto_decision
+FROM book_matches m FULL JOIN pairs p ON m.a = p.a AND m.b = p.b""")
+def forced_joins(spark, d):
+    return V.forced_joins(A.book_matches(spark, d), _chosen(spark, d), A.store_books(spark, d))
