@@ -5,14 +5,15 @@ space), on bytes. An item is
 looked for as a whole if it is short, else by overlapping passages of PASSAGE bytes: one that is found within its edit
 budget (RATE of its length) marks the document.
 
-Of a longer item, a copied stretch is sure to be found from PASSAGE + STRIDE - 1 = 143 bytes on; one of 96 to 142 bytes only if
+Of a longer item, a copied stretch is sure to be found from PASSAGE + STRIDE - 1 = 103 bytes on; one of 96 to 102 bytes only if
 it happens to hold a whole passage, a shorter one or one edited beyond the budget in every passage not at all.
 
 By the q-gram lemma, text within e edits of a passage of n bytes shares n - q + 1 - q * e of its q-grams, all on
 diagonals that differ by at most e. Each batch of documents goes through three sieves: all its q-gram hashes against a
 bitmap of the benchmark's; places with too few hits within a passage's reach are dropped; the rest are expanded to
-(passage, diagonal) and counted in overlapping diagonal bands. Regions that reach the count are verified by alignment
-within the band, for all candidates of a batch at once.
+(item, diagonal, place in the item) and dealt into overlapping diagonal bands, where a window that slides over the item
+counts for all its passages. Passages that reach the count are verified by alignment
+within the band, for all candidates of a batch at once. The index holds each q-gram of an item once, however densely its passages lie.
 
 The benchmark is a stated query set. Its texts go to the workers in blocks of at most BLOCK_BYTES, one pass over the
 documents each, so its size has no limit; a worker makes a block's index itself, which takes some 150 MB for a full block.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import blocks, fresh_name, mix
 
 Q = 8
-PASSAGE, STRIDE = 96, 48
+PASSAGE, STRIDE = 96, 8
 #: Edits allowed for each byte of a passage.
 RATE = 0.08
 #: Benchmark text that one pass over the documents looks for.
@@ -79,11 +80,11 @@ def budget_of(n: int, q: int = Q) -> int:
 
 
 class Passages:
-    """What is looked for, with the index of its q-grams."""
+    """What is looked for: passages of the items, and one index of the items' q-grams for all passages that overlap."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.item: list[int] = []
-        self.text: list[np.ndarray] = []
+        ids: list[int] = []
+        texts: list[np.ndarray] = []
         self.short: dict[bytes, set[int]] = {}
         for item, raw in items:
             data = np.frombuffer(raw, np.uint8)
@@ -93,17 +94,28 @@ class Passages:
                 if len(own):
                     self.short.setdefault(own.tobytes(), set()).add(item)
                 continue
-            starts = [0] if len(own) <= PASSAGE else [*range(0, len(own) - PASSAGE, STRIDE), len(own) - PASSAGE]
-            for s in starts:
-                self.item.append(item)
-                self.text.append(own if len(starts) == 1 else own[s : s + PASSAGE])
-        self.size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.array([budget_of(len(t)) for t in self.text], np.int64)
-        self.needed = np.maximum(1, self.size - Q + 1 - Q * self.edits)
-        grams = [qgrams(t) for t in self.text]
+            ids.append(item)
+            texts.append(own)
+        none = np.zeros(0, np.int64)
+        #: Of each item: length, bytes of its passages, edits and shared q-grams they need, number of the first, how many.
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.window = np.minimum(self.length, PASSAGE)
+        self.allowed = np.array([budget_of(int(n)) for n in self.window], np.int64)
+        self.needed = np.maximum(1, self.window - Q + 1 - Q * self.allowed)
+        self.passages = 1 + -(-(self.length - self.window) // STRIDE)
+        self.first = np.cumsum(self.passages) - self.passages
+        self.pad = int(self.length.max()) if texts else 0
+        # Of each passage: item, start in it, length, edits, place in `data`.
+        own = np.repeat(np.arange(len(texts)), self.passages)
+        self.item = np.array(ids, np.int64)[own] if texts else none
+        self.start = np.minimum((np.arange(len(own)) - self.first[own]) * STRIDE, (self.length - self.window)[own]) if texts else none
+        self.size, self.edits = (self.window[own], self.allowed[own]) if texts else (none, none)
+        self.data = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        self.begin = (np.cumsum(self.length) - self.length)[own] + self.start if texts else none
+        grams = [qgrams(t) for t in texts]
         code = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
-        at = np.concatenate([np.arange(len(g), dtype=np.int16) for g in grams]) if grams else np.zeros(0, np.int16)
+        at = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
         order = np.argsort(code, kind="stable")
         self.code, self.owner, self.at = code[order], owner[order], at[order]
         distinct = self.code[np.concatenate([[True], self.code[1:] != self.code[:-1]])] if len(code) else self.code
@@ -112,14 +124,15 @@ class Passages:
         slot = self._slot(distinct)
         np.bitwise_or.at(self.bitmap, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
         #: The least count and the longest reach of any passage, for the sieve that knows no passage.
-        self.least = int(self.needed.min()) if len(self.needed) else 1
-        self.reach = int((self.size + self.edits).max()) if len(self.size) else 1
+        self.least = int(self.needed.min()) if texts else 1
+        self.reach = int((self.window + self.allowed).max()) if texts else 1
 
     def _slot(self, code: np.ndarray) -> np.ndarray:
         return ((code * np.uint64(_MULTIPLIER)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, passage, band): band b spans diagonals b * w to (b + 2) * w, w being the passage's edits + 1."""
+        """(document, passage, low): bands span two times w diagonals, w being the passage's edits + 1, and each overlaps
+        the next by w; low is the diagonal from which the band, widened by the edits, is aligned."""
         none = (np.zeros(0, np.int64),) * 3
         code = qgrams(data)
         if not len(code) or not len(self.code):
@@ -144,29 +157,54 @@ class Passages:
         count = right - left
         which = np.repeat(np.arange(len(place)), count)
         entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-        passage, diagonal = self.owner[entry].astype(np.int64), place[which] - self.at[entry]
-        band = diagonal // (self.edits[passage] + 1) + 1
-        # One integer for (document, passage, band); it also stands for band - 1, its overlapping neighbour.
-        bands = len(data) + 3
-        key = (doc[which] * len(self.text) + passage) * bands + band
-        key = np.concatenate([key, key - 1])
+        item, at = self.owner[entry].astype(np.int64), self.at[entry]
+        band = (place[which] - at + self.pad) // (self.allowed[item] + 1) + 1
+        # One integer for (document, item, band); it also stands for band - 1, its overlapping neighbour.
+        bands = len(data) + self.pad + 3
+        key = (doc[which] * len(self.length) + item) * bands + band
+        key, at = np.concatenate([key, key - 1]), np.concatenate([at, at])
         # Counting by a hash first leaves few keys to sort.
         slot = (key.astype(np.uint64) * np.uint64(_MULTIPLIER) >> np.uint64(44)).astype(np.int64)
         many = np.bincount(slot, minlength=1 << 20)[slot] >= self.least
-        key, n = np.unique(key[many], return_counts=True)
-        passage = key // bands % len(self.text)
-        enough = n >= self.needed[passage]
-        key, passage = key[enough], passage[enough]
-        return key // bands // len(self.text), passage, key % bands - 1
-
-    def verified(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, passage: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, at = key[many], at[many].astype(np.int64)
+        order = np.lexsort((at, key))
+        return self._windows(key[order], at[order], bands)
+
+    def _windows(self, key: np.ndarray, at: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The passages in which a band holds enough q-grams; the places `at` in the item rise within each key.
+
+        A passage is found at the first of its q-grams, from which the one that makes the count must lie in it too.
+        """
+        item = key // bands % len(self.length)
+        row = np.arange(len(key))
+        nth = row + self.needed[item] - 1
+        fits = nth < len(key)
+        row, item, nth = row[fits], item[fits], nth[fits]
+        spread = self.window[item] - Q
+        full = (key[nth] == key[row]) & (at[nth] - at[row] <= spread)
+        row, item, nth, spread = row[full], item[full], nth[full], spread[full]
+        before = np.where((row > 0) & (key[row - 1] == key[row]), at[row - 1], -1)
+        low, high = np.maximum(before + 1, at[nth] - spread), at[row]
+        # Starts at multiples of STRIDE, and the item's last passage, which starts where it ends with the item.
+        last = self.length[item] - self.window[item]
+        least, most = -(-low // STRIDE), np.minimum(high // STRIDE, self.passages[item] - 2)
+        count = np.maximum(most - least + 1, 0)
+        of = np.repeat(np.arange(len(row)), count)
+        steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(least, count)
+        ends = np.flatnonzero((low <= last) & (last <= high))
+        of, steps = np.concatenate([of, ends]), np.concatenate([steps, self.passages[item[ends]] - 1])
+        item, key = item[of], key[row[of]]
+        passage, edits = self.first[item] + steps, self.allowed[item]
+        return key // bands // len(self.length), passage, (key % bands - 1) * (edits + 1) - edits - self.pad + self.start[passage]
+
+    def verified(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, passage: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits within the band of each candidate, and where the match ends; more than allowed if none."""
         out, ends = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        for n, e in {(int(self.size[p]), int(self.edits[p])) for p in passage}:
+        for n, e in set(zip(self.size[passage].tolist(), self.edits[passage].tolist(), strict=True)):
             own = np.flatnonzero((self.size[passage] == n) & (self.edits[passage] == e))
             for some in np.array_split(own, -(-len(own) // 4096)):
-                low = band[some] * (e + 1) - e
-                out[some], ends[some] = _align(data, offsets[doc[some]], offsets[doc[some] + 1], low, 2 * (e + 1) + 2 * e, np.stack([self.text[p] for p in passage[some]]))
+                pattern = self.data[self.begin[passage[some]][:, None] + np.arange(n)]
+                out[some], ends[some] = _align(data, offsets[doc[some]], offsets[doc[some] + 1], low[some], 2 * (e + 1) + 2 * e, pattern)
         return out, ends
 
 
@@ -223,10 +261,10 @@ def _hits(items):
                     same = [(int(ids[i + d]), item, 0, 0, int(raw_offsets[d + 1] - raw_offsets[d])) for d, own in few for item in sorted(index.short.get(own, ()))]
                     if same:
                         yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*same, strict=True)], schema=schema)
-                doc, passage, band = index.candidates(data, offsets)
+                doc, passage, low = index.candidates(data, offsets)
                 if not len(doc):
                     continue
-                edits, end = index.verified(data, offsets, doc, passage, band)
+                edits, end = index.verified(data, offsets, doc, passage, low)
                 good = edits <= index.edits[passage]
                 doc, passage, edits, end = doc[good], passage[good], edits[good], end[good]
                 # Overlapping bands find a match twice: one row for each passage and end, with the fewest edits.
@@ -238,7 +276,7 @@ def _hits(items):
                 begin = np.maximum(end - index.size[passage], offsets[doc])
                 at = np.append(place, len(raw))
                 base = raw_offsets[doc]
-                yield pa.record_batch([pa.array(ids[i + doc]), pa.array([index.item[p] for p in passage], pa.int64()), pa.array(edits), pa.array(at[begin] - base), pa.array(at[end] - base)], schema=schema)
+                yield pa.record_batch([pa.array(ids[i + doc]), pa.array(index.item[passage]), pa.array(edits), pa.array(at[begin] - base), pa.array(at[end] - base)], schema=schema)
 
     return run
 

@@ -127,4 +127,4 @@ def test_a_text_of_one_letter_is_no_worst_case():
     index = Passages([(1, b"a" * 500)])
     data = np.full(20_000, 97, np.uint8)
     doc, passage, _ = index.candidates(data, np.array([0, len(data)]))
-    assert len(doc) and set(passage.tolist()) <= set(range(len(index.text)))
+    assert len(doc) and set(passage.tolist()) <= set(range(len(index.item)))
