@@ -170,6 +170,16 @@ def archive_seal(spark, d):
     return S.unbroken(S.file_digests(spark, path), S.file_digests(spark, path))
 
 
+@query("SELECT CAST(snapshot_date AS VARCHAR) AS day, day(snapshot_date) % 5 <> 0 AS intact FROM rankings GROUP BY snapshot_date")
+def archive_broken_seal(spark, d):
+    """Digests are kept, then every fifth day's files are written again with other ranks: those days are no longer intact."""
+    path, rows = f"{shared_folder(spark)}/sealed-{uuid.uuid4().hex}", A.rankings(spark, d)
+    S.write_archive(rows, "snapshot_date", path)
+    S.file_digests(spark, path).write.parquet(f"{path}-digests")
+    S.write_archive(rows.where(F.dayofmonth("snapshot_date") % 5 == 0).withColumn("rank", F.col("rank") + 1), "snapshot_date", path)
+    return S.unbroken(spark.read.parquet(f"{path}-digests"), S.file_digests(spark, path))
+
+
 @query("""SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'W' || p_partkey WHEN 1 THEN 'E' || p_partkey ELSE 'T' || p_partkey END AS author FROM part""", derived=False)
 def role_author(spark, d):
     k, s = F.col("p_partkey"), F.col("p_partkey").cast("string")
