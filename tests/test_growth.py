@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
+from oracle import SMALL, connection, difference
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401
 from shelfmark.operators import matching as M
+from shelfmark.queries.registry import ORACLES, QUERIES
 
 ITEM = "id long, store_id int, title string, author string, publisher string, editions array<string>, set_volumes int, volume int, pub_ym string, isbn13 string, list_price long"
 
@@ -18,3 +22,13 @@ def test_fill_candidates_meet_by_month_and_publisher(spark):
     assert {tuple(r) for r in M.fill_candidates(items, 70).where("a = 1").collect()} == {(1, 2), (1, 5), (1, 6)}
     sided = items.withColumn("s", F.when(F.col("id").isin(1, 5), "open").otherwise("single"))
     assert {tuple(r) for r in M.fill_candidates(sided, 70, "s").where("a = 1").collect()} == {(1, 2), (1, 6)}
+
+
+@pytest.mark.parametrize("name", ["price_context", "price_parse"])
+def test_prices_of_high_event_numbers(spark, tmp_path, name):
+    """The numbers of a table of sixty times the events."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.withColumn("event_id", F.col("event_id") + 5_900_000).write.parquet(f"{tmp_path}/events.parquet")
+    con = connection()
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert difference(QUERIES[name](spark, str(tmp_path)), ORACLES[name], con) == ""
