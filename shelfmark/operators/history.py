@@ -10,9 +10,12 @@ from shelfmark.operators.ranking import period
 
 
 def book_history(rankings: DataFrame, store_books: DataFrame, book_ids: list[int]) -> DataFrame:
-    """Best row for each book, date, store, period and category. Days without data have no row."""
+    """Best row for each book, date, store, period and category. Days without data have no row.
+
+    The items of the given ids are sent to the lists, which are not shuffled for them.
+    """
     own = store_books.where(F.col("book_id").isin(book_ids)).select("store_book_id", "book_id")
-    rows = rankings.join(own, "store_book_id").withColumn("period", period(F.col("kind")))
+    rows = rankings.join(F.broadcast(own), "store_book_id").withColumn("period", period(F.col("kind")))
     best = F.min_by(F.struct("rank", "sales_point"), F.struct("rank", "kind", "store_book_id")).alias("best")
     return rows.groupBy("book_id", "snapshot_date", "store_id", "period", "unified").agg(best).select("book_id", "snapshot_date", "store_id", "period", "unified", "best.rank", "best.sales_point")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
 from shelfmark.operators import matching as M
+from shelfmark.plans import adapter as A
 from shelfmark.queries.registry import ORACLES, QUERIES
 
 ITEM = "id long, store_id int, title string, author string, publisher string, editions array<string>, set_volumes int, volume int, pub_ym string, isbn13 string, list_price long"
@@ -32,3 +33,22 @@ def test_prices_of_high_event_numbers(spark, tmp_path, name):
     con = connection()
     con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert difference(QUERIES[name](spark, str(tmp_path)), ORACLES[name], con) == ""
+
+
+def test_ranks_are_written_once_an_item_and_month(spark):
+    A.rankings(spark, SMALL)
+    (path,) = (v for (app, d, _), v in A._WRITTEN.items() if app == spark.sparkContext.applicationId and d == SMALL and "rank" in v.rsplit("/", 1)[1])
+    months = A.table(spark, SMALL, "lineitem").select(F.trunc("l_shipdate", "month"), F.col("l_suppkey") % 3, "l_partkey").distinct().count()
+    assert spark.read.parquet(path).count() == months
+
+
+@pytest.mark.parametrize("name", ["book_history", "trim_by_list"])
+def test_lists_are_not_shuffled_for_a_short_table(spark, name):
+    """However large the tables are estimated, which a threshold of -1 stands for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "BroadcastHashJoin" in joins[0]
