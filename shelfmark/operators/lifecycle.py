@@ -117,13 +117,13 @@ def capacity_by_group(sizes: DataFrame, days: Column, growth: Column, limit_mb:
 def trim_by_list(rankings: DataFrame, depths: DataFrame, by_kind: dict[str, int], otherwise: int) -> DataFrame:
     """List rows beyond the depth of their store's list of that kind and category; beyond their kind's, if depths has none for it.
 
-    depths: store_id, kind, unified, depth. Of several for one list the greatest counts, so that nothing goes too early.
+    depths: store_id, kind, unified, depth; a row for each list, so it is sent to the list rows, which stay where they are. Of several for one list the greatest counts, so that nothing goes too early.
     """
     depth = F.lit(otherwise)
     for kind, n in by_kind.items():
         depth = F.when(F.col("kind") == kind, F.lit(n)).otherwise(depth)
     keys = ["store_id", "kind", "unified"]
-    own = rankings.join(depths.groupBy(*keys).agg(F.max("depth").alias("_depth")), keys, "left")
+    own = rankings.join(F.broadcast(depths.groupBy(*keys).agg(F.max("depth").alias("_depth"))), keys, "left")
     return own.where(F.col("rank") > F.coalesce("_depth", depth)).select(*rankings.columns)
 
 
