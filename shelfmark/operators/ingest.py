@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,10 +46,17 @@ def twin_lists(rankings: DataFrame, keys: list[str], item: str) -> DataFrame:
 
 
 def dedupe_ranks(rows: DataFrame, keys: list[str], item: str, rank: str) -> DataFrame:
-    """First occurrence of each item in a list, and whether more than a tenth of the list was dropped."""
-    own = rows.withColumn("_k", F.row_number().over(W.partitionBy(*keys, item).orderBy(rank)))
-    dropped = F.count_if(F.col("_k") > 1).over(W.partitionBy(*keys)) / F.count("*").over(W.partitionBy(*keys))
-    return own.withColumn("failed", dropped > 0.1).where("_k = 1").drop("_k")
+    """First occurrence of each item in a list, and whether more than a tenth of the list was dropped.
+
+    Rows meet by list and item only; what a list has dropped is summed from there, a row a list, and sent back.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, item, rank)]
+    # A null comes first, as in an order.
+    first = F.min(F.struct(rank, *rest)) if rest else F.struct(F.when(F.count(rank) == F.count("*"), F.min(rank)).alias(rank))
+    own = rows.groupBy(*keys, item).agg(first.alias("_first"), F.count("*").alias("_n"))
+    lists = own.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(((F.sum("_n") - F.count("*")) / F.sum("_n") > 0.1).alias("failed"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return own.join(F.broadcast(lists), same).select(*(F.col(f"_first.{c}").alias(c) if c in (rank, *rest) else F.col(c) for c in rows.columns), "failed")
 
 
 def recycled_pages(rows: DataFrame, keys: list[str], page: str, item: str, share: float = 0.3) -> DataFrame:
