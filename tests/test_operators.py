@@ -180,6 +180,16 @@ def test_blocks_of_any_size(spark, seed):
     assert accepted(M.block_pairs(items, most=None)) == accepted(M.block_pairs(items, most=10**6)) != {}
 
 
+def test_pairs_of_blocks_are_made_once(spark, monkeypatch):
+    """Titles with many items and keys with many titles are cut, and no pair is dealt once more to find its like."""
+    monkeypatch.setattr(M, "IDS_A_ROW", 2)
+    monkeypatch.setattr(M, "ROWS_A_BLOCK", 3)
+    rows = [item(k, 1 + k % 3, title=f"salt{'abcdefg'[k % 7] * (k % 4)}", author=f"w{k % 2}", isbn13=str(k % 5)) for k in range(60)]
+    found = M.block_pairs(spark.createDataFrame(rows, ITEMS).repartition(3), most=None)
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_candidates_to_fill_with(spark, seed):
     items = spark.createDataFrame(title_rows(seed, 90), ITEMS).repartition(4)
