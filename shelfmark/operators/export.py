@@ -14,12 +14,15 @@ def csv_line(*fields: Column) -> Column:
     return F.concat_ws(",", *(csv_field(f.cast("string")) for f in fields))
 
 
-def readable(rankings: DataFrame, items: DataFrame, stores: DataFrame) -> DataFrame:
+def readable(rankings: DataFrame, items: DataFrame, stores: DataFrame, lists: Column | None = None) -> DataFrame:
     """snapshot_date, store_id, kind, unified, rank, line: list rows with names in place of ids.
 
-    items: store_book_id, title; stores: store_id, store. Rows whose item or store is unknown stay, with blanks.
+    items: store_book_id, title; stores: store_id, store. Rows whose item or store is unknown stay, with blanks. lists: an array of
+    (kind, unified, rank), if a row of rankings stands for several lists; it is told for each of them when its names are known.
     """
-    named = rankings.join(items.select("store_book_id", "title"), "store_book_id", "left").join(stores, "store_id", "left")
+    named = rankings.join(items.select("store_book_id", "title"), "store_book_id", "left").join(F.broadcast(stores), "store_id", "left")
+    if lists is not None:
+        named = named.select("snapshot_date", "store_id", "store", "title", "sales_point", F.inline(lists))
     line = csv_line(F.col("snapshot_date"), F.col("store"), F.col("kind"), F.col("unified"), F.col("rank"), F.col("title"), F.col("sales_point"))
     return named.select("snapshot_date", "store_id", "kind", "unified", "rank", line.alias("line"))
 

@@ -56,6 +56,17 @@ def test_lists_are_not_shuffled_for_a_short_table(spark, name):
     assert "BroadcastHashJoin" in joins[0]
 
 
+def test_names_come_to_an_items_month_once(spark):
+    """readable_export deals a row an item and month to the titles, not one for each of its lists."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["readable_export"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = [line for line in plan.splitlines() if "Join " in line or "Generate " in line]
+    assert "Generate" in steps[0] and sum("Generate" in s for s in steps) == 1 and sum("SortMergeJoin" in s for s in steps) == 1
+
+
 def test_a_list_is_no_window_of_one_task(spark):
     """What a list has dropped is summed from its items; of equal items the first rank stays, a null rank before all."""
     rows = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("a", 3, 7), (None, 1, 5), (None, None, 5), (None, 2, None)], "list string, rank int, item long")
