@@ -66,6 +66,7 @@ class Bands:
         self.budget: list[int] = []
         self.parts: list[int] = []
         self.slack: list[int] = []
+        self.tags: list[np.ndarray] = []
 
     def upto(self, size: int) -> None:
         while not self.high or self.low[-1] <= size:
@@ -81,6 +82,7 @@ class Bands:
             self.budget.append(budget)
             self.slack.append(slack)
             self.parts.append(budget + 1 + slack)
+            self.tags.append(mix(np.arange(budget + 1 + slack, dtype=np.uint64) + np.uint64(len(self.parts) << 40)))
             self.low.append(self._next(high, low))
 
     def _next(self, high: int, low: int) -> int:
@@ -94,35 +96,43 @@ class Bands:
         return [b for b in range(len(self.high)) if self.low[b] <= size <= self.high[b]]
 
 
-def digests(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
-    """A set's class, of which `bits` bits are used, and a second digest, as signed integers."""
-    with np.errstate(over="ignore"):
-        total = mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(own))
-        twin = (mix(own + np.uint64(0x14057B7EF767814F)) * np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)
-        cls, check = mix(np.array([total, twin + np.uint64(len(own))]))
-        return int((cls >> np.uint64(64 - bits)).astype(np.int64)), int(check.astype(np.int64))
+def digests(sets: list[np.ndarray], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's class, of which `bits` bits are used, and a second digest, as signed integers; many sets in one pass."""
+    n, own = np.array([len(s) for s in sets], np.uint64), np.concatenate(sets)
+    total, twin, some = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), n > 0
+    if len(own):
+        begin = (np.cumsum(n) - n)[some].astype(np.int64)
+        total[some] = np.add.reduceat(mix(own ^ np.uint64(0x5851F42D4C957F2D)), begin)
+        twin[some] = np.add.reduceat(mix(own + np.uint64(0x14057B7EF767814F)) * np.uint64(0x2545F4914F6CDD1D), begin)
+    return (mix(total ^ n) >> np.uint64(64 - bits)).view(np.int64), mix(twin + n).view(np.int64)
+
+
+def classes_of(sets: list[np.ndarray], bits: int, shared: frozenset[int]) -> list[int]:
+    return [check if cls in shared else cls for cls, check in zip(*(d.tolist() for d in digests(sets, bits)), strict=True)]
 
 
 def class_of(own: np.ndarray, bits: int, shared: frozenset[int]) -> int:
-    cls, check = digests(own, bits)
-    return check if cls in shared else cls
-
-
-def parts_of(own: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set: one for each part of its sketch that has a bit, in each of its bands."""
-    out = []
-    top, code = own >> np.uint64(32), mix(own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    for b in bands.of(len(own)):
-        count = bands.parts[b]
-        part = (top * np.uint64(count)) >> np.uint64(32)
-        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        fold = np.bitwise_xor.reduceat(code, begin)
-        tag = mix(part[begin] + np.uint64((b + 1) << 40))
-        out.append(mix(fold + tag))
-        if count - len(begin) > bands.slack[b]:
-            # Too many empty parts for the pigeonhole; two such sets share one of their first budget + 1 shingles.
-            out.append(mix(own[: bands.budget[b] + 1] + np.uint64((b + 1) << 41)))
-    return np.concatenate(out).astype(np.int64)
+    return classes_of([own], bits, shared)[0]
+
+
+def parts_of(sets: list[np.ndarray], bands: Bands) -> list[np.ndarray]:
+    """The join keys of each set: one for each part of its sketch that has a bit, in each of its bands; many sets in one pass."""
+    codes, at, out, size = mix(np.concatenate(sets) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), 0, [], []
+    for own in sets:
+        top, code, keys = own >> np.uint64(32), codes[at : at + len(own)], 0
+        at += len(own)
+        for b in bands.of(len(own)):
+            count = bands.parts[b]
+            part = (top * np.uint64(count)) >> np.uint64(32)
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            out.append(np.bitwise_xor.reduceat(code, begin) + bands.tags[b][part[begin]])
+            keys += len(begin)
+            if count - len(begin) > bands.slack[b]:
+                # Too many empty parts for the pigeonhole; two such sets share one of their first budget + 1 shingles.
+                out.append(own[: bands.budget[b] + 1] + np.uint64((b + 1) << 41))
+                keys += len(out[-1])
+        size.append(keys)
+    return np.split(mix(np.concatenate(out)).view(np.int64), np.cumsum(size)[:-1])
 
 
 def _sizes(words: int, bits: int):
@@ -132,8 +142,8 @@ def _sizes(words: int, bits: int):
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(1)):
                 sets = shingle_sets(data, offsets, words)
-                two = [digests(s, bits) for s in sets]
-                yield pa.record_batch([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in two], pa.int64()) for k in (0, 1))], schema=schema)
+                two = digests(sets, bits)
+                yield pa.record_batch([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, two)], schema=schema)
 
     return run
 
@@ -145,15 +155,16 @@ def _parts(words: int, num: int, den: int, bits: int, shared: frozenset[int]):
         bands, seen = Bands(num, den), set()
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(1)):
-                keys, ids = [], []
-                for own in shingle_sets(data, offsets, words):
-                    if len(own) and (cls := class_of(own, bits, shared)) not in seen:
+                sets, new, ids = shingle_sets(data, offsets, words), [], []
+                for own, cls in zip(sets, classes_of(sets, bits, shared), strict=True):
+                    if len(own) and cls not in seen:
                         if len(seen) < REMEMBERED:
                             seen.add(cls)
-                        keys.append(parts_of(own, bands))
-                        ids.append(np.full(len(keys[-1]), cls))
-                if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], schema=schema)
+                        new.append(own)
+                        ids.append(cls)
+                if new:
+                    keys = parts_of(new, bands)
+                    yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(ids, np.int64), [len(k) for k in keys]))], schema=schema)
 
     return run
 

@@ -68,7 +68,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     for d in range(docs):
         n = int(count[d])
         if n >= words:
-            out.append(np.unique(full[begin[d] : begin[d] + n - words + 1]))
+            own = np.sort(full[begin[d] : begin[d] + n - words + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif n:
             with np.errstate(over="ignore"):
                 own = (hashes[begin[d] : begin[d + 1]] * weight[:n]).sum(dtype=np.uint64) + np.uint64(n)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from oracle import SMALL, connection, difference
 from test_ngram_join import near_copies
 
 from shelfmark.llm import ngram_join
-from shelfmark.llm.ngram_join import class_links, ngram_jaccard_join, ngram_jaccard_links
+from shelfmark.llm.common import mix
+from shelfmark.llm.ngram_join import Bands, class_links, digests, ngram_jaccard_join, ngram_jaccard_links, parts_of
 from shelfmark.llm.queries import BESIDE, BESIDE_ORACLES
 
 
@@ -72,3 +74,11 @@ def test_query_equals_its_oracle(spark, name):
 
 def test_empty_table(frame):
     assert ngram_jaccard_links(frame([])).collect() == []
+
+
+def test_digests_and_parts_of_many_sets_in_one_pass():
+    """The values that sets taken one by one had; an empty set amid others takes nothing of them."""
+    a = np.sort(mix(np.arange(1, 9, dtype=np.uint64)))
+    cls, check = digests([a, a[:0], a[:1], a[:0]])
+    assert cls.tolist() == [6700754434738972403, 0, -8631314881253153158, 0] and check.tolist() == [4323554576567205842, 0, 1238383602690714843, 0]
+    assert [(len(p), int(np.bitwise_xor.reduce(p))) for p in parts_of([a, a[:1]], Bands(85, 100))] == [(2, 3801069770206336730), (1, 7996378503476682859)]
