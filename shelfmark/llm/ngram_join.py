@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -40,8 +40,8 @@ from shelfmark.llm.shingles import shingle_sets
 
 #: A band's largest size over its smallest.
 BAND_RATIO = 1.6
-#: A pivot's partners are verified in so many groups at least, and in one for each PIVOT_PAIRS pairs of all.
-PIVOT_SALTS, PIVOT_PAIRS = 16, 50_000
+#: Partners of a pivot that are verified in one group about.
+PIVOT_PARTNERS = 64
 #: Heads of a part that meet the others together.
 HEAD_BLOCK = 256
 #: Classes that several different sets may have by chance before the join stops: 2^64 classes make that all but impossible.
@@ -209,15 +209,24 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, count: int, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b), of which there are `count`, those that reach the threshold; texts: cls, text.
+def near_sketches(num: int, den: int) -> Column:
+    """Whether a pair of sketches x and y leaves open that their sets reach the threshold: the distance of two sketches can't
+    exceed the symmetric difference, which can't exceed what the sizes allow."""
+    distance = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    return (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (distance * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of the candidate pairs (a, b) those that reach the threshold; texts: cls, text.
 
     A pivot a is sent once to each of its salted groups, its partners follow in order, so a task holds one set at a time.
     """
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(PIVOT_SALTS, count // PIVOT_PAIRS))).cast("int"))
+    large = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_PARTNERS).alias("salts")).where("salts > 1"), "large-pivots")
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    pairs = pairs.join(large, "a", "left").select("a", "b", salt.alias("salt"))
     asked = pairs.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("cls"))
     asked = asked.union(pairs.select("a", "salt", F.lit(1), F.col("b")))
-    rows = asked.join(texts, "cls").select("a", "salt", "role", "cls", "text")
+    rows = staged(asked, "asked").join(texts, "cls").select("a", "salt", "role", "cls", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(_verify(words, num, den), "a long, b long")
 
@@ -265,13 +274,14 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, bits: int = 64) ->
     in_part = W.partitionBy("part").orderBy("cls")
     met = staged(parts.withColumn("first", F.first("cls").over(in_part)).where("cls <> first").select("part", "first", "cls"), "met")
     rows = met.count()
-    members = met.select("part", "cls").unionByName(met.select("part", F.col("first").alias("cls"))).distinct()
+    members = staged(met.select("part", "cls").unionByName(met.select("part", F.col("first").alias("cls"))).distinct(), "unweighed", rows)
+    drop_staged(met)
     # The more a set shares with others, the more likely it links them: it leads the groups of its parts.
     weight = members.groupBy("part").agg(F.count("*").alias("size")).join(members, "part").groupBy("cls").agg(F.sum("size").alias("weight"))
-    members = staged(members.join(weight, "cls").select("part", "cls", "weight"), "members", rows)
+    unweighed, members = members, staged(members.join(weight, "cls").select("part", "cls", "weight"), "members", rows)
+    drop_staged(unweighed)
     lead = members.groupBy("part").agg(F.max(F.struct("weight", "cls")).alias("lead")).select("part", F.col("lead.cls").alias("a"))
     pairs = staged(members.join(lead, "part").where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "pairs", rows)
-    drop_staged(met)
 
     wanted = members.select("cls").distinct()
     chosen = sizes.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls")
@@ -281,16 +291,18 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, bits: int = 64) ->
         texts = texts.select("text", "cls").mapInArrow(_own_class(words, bits, shared), "cls long, text string").dropDuplicates(["cls"])
     texts = staged(texts.select("cls", "text"), "texts")
 
+    # The dense sketches sift the pairs before any text is dealt to them.
+    sketches = staged(texts.mapInArrow(_sketches(words), "cls long, n long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))), "sketches", rows)
+    near, met = near_sketches(num, den), pairs
+    pairs = met.join(sketches.alias("x"), F.col("a") == F.col("x.cls")).join(sketches.alias("y"), F.col("b") == F.col("y.cls"))
+    pairs = staged(pairs.where(near).select("a", "b"), "pairs", rows)
+    drop_staged(met)
     count = pairs.count()
-    links = staged(verified(pairs, count, texts, words, num, den), "links", count, 5_000)
+    links = staged(verified(pairs, texts, words, num, den), "links", count, 5_000)
     rooted = staged(components(links), "rooted", rows)
     drop_staged(links)
-    # In parts whose members are not of one component yet, the dense sketches sift the pairs that were not compared: the
-    # distance of two sketches can't exceed the symmetric difference, which can't exceed the sizes' budget.
-    sketches = staged(texts.mapInArrow(_sketches(words), "cls long, n long, " + ", ".join(f"s{k} long" for k in range(SKETCH_LONGS))), "sketches", rows)
+    # In parts whose members are not of one component yet, the sketches sift the pairs that were not compared.
     by_weight = W.partitionBy("part").orderBy(F.desc("weight"), F.desc("cls"))
-    distance = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
-    near = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num) & (distance * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num))
     for low, high in ((1, LEADERS), (LEADERS, None)):
         placed = members.join(rooted, "cls", "left").select("part", "cls", "weight", F.coalesce("root", "cls").alias("root"))
         split = placed.groupBy("part").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
@@ -306,7 +318,7 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, bits: int = 64) ->
         more = heads.alias("x").join(others.alias("y"), apart & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs", rows)
         if found := more.count():
-            links = staged(verified(more, found, texts, words, num, den), "links", found, 5_000)
+            links = staged(verified(more, texts, words, num, den), "links", found, 5_000)
             if links.take(1):
                 rooted = staged(components(links.unionByName(rooted.select(F.col("cls").alias("a"), F.col("root").alias("b")))), "rooted", rows)
             drop_staged(links)
@@ -474,9 +486,10 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     drop_staged(texts)
     joined, columns, own = _placed(sizes, rooted, "cls", "root"), docs.columns, fresh_name("own", docs.columns)
     whole, none = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
-    lead = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(f"{own}_id"), F.col("cls").alias(f"{own}_cls"))
     if not sizes.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return whole.join(lead, F.col("doc_id") == F.col(f"{own}_id"), "left_semi").unionByName(none)
+        # Those that go are the fewer, and written first, so that texts are not dealt for a short table.
+        gone = staged(joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(f"{own}_id")), "gone")
+        return whole.join(gone, F.col("doc_id") == F.col(f"{own}_id"), "left_anti").unionByName(none)
     # Rows share a doc_id: of each component the least row by doc_id and class, and of equal rows one.
     alone = F.when(F.col("root").isNull(), F.col("doc_id"))
     first = joined.groupBy("root", alone.alias("alone")).agg(F.min(F.struct("doc_id", "cls")).alias("first")).select("first.doc_id", "first.cls")

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import ngram_join
+from shelfmark.llm.common import SHUFFLES_GO, staged
 from shelfmark.llm.ngram_join import Bands, ngram_jaccard_join, one_of_each
 
 
@@ -110,3 +112,31 @@ def test_repeated_ids(frame, prose):
     rows = [(1, prose(50, 1)), (1, prose(50, 2)), (2, prose(50, 2)), (3, prose(50, 3))]
     got = sorted((r.doc_id, r.component_id) for r in ngram_jaccard_join(frame(rows)).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def test_no_text_is_dealt_to_pairs_that_sketches_close(spark, prose, monkeypatch):
+    """Documents that share half of their words have equal parts, but no pair of them comes to be verified."""
+    asked, real = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *more: asked.append(pairs.count()) or real(pairs, *more))
+    rows = [(k, f"{prose(60, 1)} {prose(60, 100 + k)}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()) == brute(rows, 5, 80, 100)
+    assert asked and not any(asked)
+
+
+def test_a_pivot_of_many_partners_is_verified_in_groups(spark, prose, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIVOT_PARTNERS", 2)
+    rows = near_copies(prose, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs).collect()) == brute(rows, 5, 80, 100)
+
+
+def test_what_was_shuffled_for_a_staged_table_goes(spark):
+    files = lambda: {str(f.getName()) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if str(f.getName()).startswith("shuffle_")}
+    before, rows = files(), spark.range(1000).withColumn("k", F.col("id") % 7).groupBy("k").count()
+    out = staged(rows, "counted")
+    end = time.monotonic() + 10
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 7 and spark.conf.get(SHUFFLES_GO) == "false"
