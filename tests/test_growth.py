@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import pytest
 from oracle import SMALL, connection, difference
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
+from shelfmark.operators import clusters as C
 from shelfmark.operators import ingest as I
 from shelfmark.operators import matching as M
 from shelfmark.plans import adapter as A
@@ -84,3 +88,35 @@ def test_an_archive_deals_rows_and_not_lines(spark):
     plan = told(rows.withColumn("n", F.col("n") * 1.5))
     assert plan.index("RepartitionByExpression") < plan.index("to_json")
     assert sorted(r.line for r in S.dealt_lines(rows, "day", 4).collect()) == ['{"day":"a","n":1,"t":null}', '{"day":"b","n":2,"t":"x"}']
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.6, 0.78, 1.0])
+def test_alike_titles_equal_brute_force(spark, least):
+    """Titles of one to twelve letters, so that one bigram, two or more must be in common."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice("pq"), "".join(rng.choice("abcé") for _ in range(rng.randint(0, 12))) if rng.random() < 0.95 else None) for i in range(250)]
+    grams = {i: {t[k : k + 2] for k in range(len(t) - 1)} or {t} for i, _, t in rows if t}
+    key = {i: k for i, k, _ in rows}
+    want = {(a, b) for a, x in grams.items() for b, y in grams.items() if a < b and key[a] == key[b] and len(x & y) >= least * len(x | y) - 1e-12}
+    pairs = [tuple(r) for r in M.alike_titles(spark.createDataFrame(rows, "id long, k string, title string"), least, "k").collect()]
+    assert sorted(pairs) == sorted(want) and want
+
+
+def test_titles_meet_in_two_bigrams(spark):
+    """Titles that share one rare bigram only are no row of any join."""
+    rows = [(i, f"qz{'abcdefghijklmnoprstuvwxy'[i % 24] * 2}{'abcdefghijklmnoprstuvwxy'[i // 24] * 2}mnop{i:03d}") for i in range(400)]
+    M.alike_titles(spark.createDataFrame(rows, "id long, title string").withColumn("_all", F.lit(1)), 0.78, "_all").collect()
+    folder = spark.conf.get("spark.checkpoint.dir")
+    index = max(Path(folder).glob("gram-index-*"), key=lambda p: p.stat().st_mtime)
+    largest = spark.read.parquet(str(index)).groupBy("code").count().agg(F.max("count")).first()[0]
+    assert largest < 100
+
+
+def test_repair_by_hand_is_one_job_of_rows(spark):
+    """No cluster is a Python group of its own, and what is made is written, not made for every reader."""
+    items = spark.createDataFrame([(i, "house", None, 1) for i in range(6)], "id long, publisher string, volume int, store_id int")
+    links = spark.createDataFrame([(0, 1, 90, "auto_high"), (1, 2, 80, "auto_low"), (3, 4, 90, "auto_high"), (4, 5, 70, "manual_merge")], "a long, b long, score int, decision string")
+    manual = spark.createDataFrame([(2, 0, "manual_split"), (3, 4, "manual_split"), (4, 5, "manual_merge")], "a long, b long, decision string")
+    out = C.repair(C.components(links, items), links, manual, items)
+    assert {tuple(r) for r in out.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 4), (5, 4)}
+    assert "Python" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Pandas" not in plan
